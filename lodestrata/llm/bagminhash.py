@@ -9,9 +9,10 @@ of time and only up to a horizon by which all components have one, so the cost i
 
 Texts that share a band of components are candidates; pairs are verified on the whole multisets. Distinct texts are
 compared by their normalised form's digest; copies are members of their class. In each bucket all texts are compared
-with one leader; where verified links do not join a whole bucket, its texts outside the leader's class are compared with
-all texts of other classes that the triangle inequality (1 - weighted Jaccard is a metric) does not exclude. So
-no link between different texts of a bucket can join classes unseen, and a bucket of many copies is not paired out.
+with one leader, the one that meets most others; where verified links do not join a whole bucket, its texts outside
+the leader's class are compared with all texts of other classes that share a rare unit of their prefixes, which
+every pair of that similarity does. So no link between texts of a bucket can join classes unseen, and a bucket of many
+copies is not paired out.
 """
 
 from __future__ import annotations
@@ -234,6 +235,42 @@ def _texts(base: DataFrame, nodes: DataFrame, uri: str) -> DataFrame:
     return common.stash(base.join(few, "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm")), uri)
 
 
+def _units(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for a, b in common.text_batches(batch, 1):
+            texts = batch.column(1).slice(a, b - a).cast(pa.binary()).to_pylist()
+            doc, h, w = bags(*shingles(texts))
+            # the k-th copy of a shingle is a unit of its own, so that multisets become sets
+            nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+            units = _mix(np.repeat(h, w) + nth.astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=w, minlength=len(texts)).astype(np.int64))])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(units))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["node", "units"])
+
+
+def _sharing_prefix(left: DataFrame, texts: DataFrame, similar: float, uri: str) -> DataFrame:
+    """(a, b): pairs of the texts `left` (node, n, label, odd) in different classes, one of them odd, that can be similar.
+
+    In any order of all units, two sets of that similarity share one of their first n - ceil(similar * n) + 1. With rare
+    units first, texts that were changed in many places have only units of their own there, and meet nobody.
+    """
+    units = texts.join(left.select("node"), "node", "left_semi").mapInArrow(_units, "node binary, units array<long>")
+    rows = common.stash(units.select("node", F.size("units").alias("n"), F.explode("units").alias("u")), f"{uri}/units")
+    counts = rows.groupBy("u").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    first = (F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1).cast("int")
+    ranked = rows.join(counts, "u", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "u"))).alias("us"))
+    prefix = ranked.select("node", F.posexplode(F.slice("us", F.lit(1), first)).alias("p", "x")).filter("x.c > 1").select("node", "p", F.col("x.u").alias("u"))
+    prefix = common.stash(prefix.join(left, "node"), f"{uri}/prefix")
+    odd = prefix.filter("odd").select("u", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "label", "p")])
+    # by their first common unit two similar sets have room behind it for all that they must share
+    needed = F.ceil((F.col("n1") + F.col("n")) * (similar / (1 + similar)) - 1e-9)
+    fits = (F.least(F.col("n1") - F.col("p1"), F.col("n") - F.col("p")) >= needed) & (F.col("label1") != F.col("label")) & (~F.col("odd") | (F.col("node1") < F.col("node"))) & (F.least("n", "n1") >= F.greatest("n", "n1") * similar - 1e-9)
+    met = odd.join(prefix, "u").filter(fits)
+    return met.select(F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, uri: str, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row per row of docs: key, class_id (the smallest key of its class), class_size, n_shingles, links, kept.
 
@@ -248,8 +285,12 @@ def classes(docs: DataFrame, uri: str, key: str = "doc_id", text: str = "text",
     signed = common.stash(base.mapInArrow(_sign, "node binary, n long, bands array<long>").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), f"{uri}/signed")
 
     buckets = signed.select("node", "n", F.explode("bands").alias("band"))
-    leaders = buckets.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "leader")
-    held = common.stash(buckets.join(leaders, "band"), f"{uri}/held")  # texts that share a bucket, with its leader
+    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shared = common.stash(buckets.join(sizes, "band"), f"{uri}/shared")
+    # the leader is the text that meets most others, which is near the middle of its copies
+    met = shared.groupBy("node").agg(F.sum("m").alias("met"))
+    leaders = shared.join(met, "node").groupBy("band").agg(F.max_by("node", F.struct("met", "node")).alias("leader"))
+    held = common.stash(shared.join(leaders, "band").select("band", "node", "n", "leader"), f"{uri}/held")
     star = held.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     star = common.stash(star, f"{uri}/star")
     texts = _texts(base, held.select("node").distinct(), f"{uri}/texts")
@@ -258,21 +299,13 @@ def classes(docs: DataFrame, uri: str, key: str = "doc_id", text: str = "text",
     labels = components(linked, f"{uri}/cc1")
 
     # buckets that the links have not joined: texts outside the leader's class against those of other classes
-    own = held.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = held.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     head = labels.select(F.col("node").alias("leader"), F.col("label").alias("head"))
-    own = own.join(head, "leader", "left").withColumn("head", F.coalesce("head", "leader"))
-    own = own.join(seen.select(F.col("a").alias("leader"), F.col("b").alias("node"), "s"), ["leader", "node"], "left").withColumn("d", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(1 - F.col("s")))
-    split = own.filter("label != head").select("band").distinct()
-    own = common.stash(own.join(split, "band", "left_semi").select("band", "node", "n", "label", "head", "d"), f"{uri}/split")
-    odd = own.filter("label != head").select("band", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "label", "d")])
-    room = 1 - similar + 1e-9
-    pairs = odd.join(own, "band").filter(
-        (F.col("label1") != F.col("label"))
-        & ((F.col("label") == F.col("head")) | (F.col("node1") < F.col("node")))
-        & (F.least("n", "n1") >= similar * F.greatest("n", "n1"))
-        & (F.abs(F.col("d") - F.col("d1")) <= room)
-    )
-    pairs = pairs.select(F.least("node", "node1").alias("a"), F.greatest("node", "node1").alias("b")).distinct()
+    own = own.join(head, "leader", "left").withColumn("odd", F.col("label") != F.coalesce("head", "leader"))
+    split = own.filter("odd").select("band").distinct()
+    left = own.join(split, "band", "left_semi").groupBy("node", "n", "label").agg(F.max("odd").alias("odd"))
+    left = common.stash(left, f"{uri}/left")
+    pairs = _sharing_prefix(left, texts, similar, uri)
     pairs = pairs.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = common.stash(_verify(common.stash(pairs, f"{uri}/pairs"), texts).filter(F.col("s") >= similar), f"{uri}/more")
     links = linked.unionByName(more)
