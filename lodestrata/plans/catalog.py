@@ -460,18 +460,18 @@ def _dense(hits):
     return hits.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query(with_(V.DENSE) + "SELECT query_id, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM dists QUALIFY rank <= 15")
+@query(with_(V.DENSE) + "SELECT query_id, id, CASE WHEN abs(distance) < 5e-7 THEN 0.0::DOUBLE ELSE round(distance, 6) END AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM dists QUALIFY rank <= 15")
 def dense_search(spark, sf):
     return _dense(retrieval.dense_search(V.dense_queries(spark, sf), V.vectors(spark, sf)))
 
 
-@query(with_(V.DENSE) + "SELECT * FROM (SELECT query_id, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM dists WHERE version = q_version QUALIFY rank <= 15) WHERE distance < 0.7")
+@query(with_(V.DENSE) + "SELECT * FROM (SELECT query_id, id, CASE WHEN abs(distance) < 5e-7 THEN 0.0::DOUBLE ELSE round(distance, 6) END AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM dists WHERE version = q_version QUALIFY rank <= 15) WHERE distance < 0.7")
 def dense_filtered(spark, sf):
     q = V.table(spark, sf, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("wanted"))
     return _dense(retrieval.dense_search(q, V.vectors(spark, sf), where=F.col("version") == F.col("wanted"), most=0.7))
 
 
-@query(with_(V.DENSE) + "SELECT query_id, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM dists WHERE version = 0 QUALIFY rank <= 5")
+@query(with_(V.DENSE) + "SELECT query_id, id, CASE WHEN abs(distance) < 5e-7 THEN 0.0::DOUBLE ELSE round(distance, 6) END AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM dists WHERE version = 0 QUALIFY rank <= 5")
 def glossary_search(spark, sf):
     return _dense(retrieval.dense_search(V.dense_queries(spark, sf), V.vectors(spark, sf).filter("version = 0"), 5))
 
@@ -483,7 +483,7 @@ merged AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(list
 fused AS (SELECT query_id, id, rrf, distance, CASE WHEN first >= 1000 THEN score END AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, first) AS rank FROM merged QUALIFY rank <= 15)"""
 
 
-@query(with_(V.BM25, V.DENSE, RRF) + "SELECT query_id, id, rank::INT AS rank, round(rrf, 8) AS rrf_score, round(distance, 6) AS distance, round(score, 4) AS bm25_score FROM fused")
+@query(with_(V.BM25, V.DENSE, RRF) + "SELECT query_id, id, rank::INT AS rank, round(rrf, 8) AS rrf_score, CASE WHEN abs(distance) < 5e-7 THEN 0.0::DOUBLE ELSE round(distance, 6) END AS distance, round(score, 4) AS bm25_score FROM fused")
 def rrf_fuse(spark, sf):
     q = V.keyword_queries(spark, sf).filter("query_id < 20")
     sparse = retrieval.bm25_search(q, V.chunks(spark, sf), F.col("raw_text"), 40).select("query_id", F.col("pos").alias("id"), "rank", "score")

@@ -1,0 +1,178 @@
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lodestrata.operators import chunks, evaluate, filters, flow, layout, retrieval, splitter, structure, tables
+
+GRID = "id int, rows array<array<string>>"
+
+
+def table(spark, rows, mode="reference"):
+    t = tables.preprocess(spark.createDataFrame([(1, rows)], GRID), header_mode=mode)
+    return t.withColumn("md", tables.markdown(F.col("header"), F.col("body"), F.col("notes"))).first()
+
+
+def test_one_line_header_modes(spark):
+    rows = [["Bit", "Name"], ["0", "a"], [None, "b"], ["NOTE 1 x NOTE 2 y", None]]
+    kept = table(spark, rows)
+    assert kept.header == ["", ""] and kept.body[0] == ["Bit", "Name"]
+    fixed = table(spark, rows, "fixed")
+    assert fixed.header == ["Bit", "Name"] and fixed.body == [["0", "a"], ["0", "b"]] and fixed.notes == "NOTE 1 x\nNOTE 2 y"
+    assert fixed.md == "| Bit | Name |\n| --- | ---- |\n| 0 | a |\n| 0 | b |\n\n**Notes:**\nNOTE 1 x\nNOTE 2 y"
+
+
+def test_two_line_header_and_leading_blanks(spark):
+    rows = [["CMD", "", ""], [None, "Type", "Arg\nument"], ["INDEX", None, None], ["CMD0", "bc", "x"], ["", "y", ""], ["NOTE in the middle", "", ""], ["CMD1", "a", "b"]]
+    t = table(spark, rows)
+    assert t.header == ["CMD INDEX", "Type", "Arg ument"]
+    assert [r[0] for r in t.body] == ["CMD0", "CMD0", "NOTE in the middle", "CMD1"] and t.notes == ""
+
+
+@pytest.mark.parametrize("rows", [None, [], [[None, ""]], [["a"]]])
+def test_odd_tables(spark, rows):
+    assert table(spark, rows) is not None
+
+
+def test_row_groups_and_packing(spark):
+    rows = [["Bit", "V"], ["a", "1"], ["b", "2"], ["a", "3"]]
+    t = tables.preprocess(spark.createDataFrame([(1, rows)], GRID), header_mode="fixed")
+    groups = t.select(tables.row_groups(F.col("header"), F.col("body"), F.col("notes"), F.lit("OCR")).alias("g")).first().g
+    assert [g.key for g in groups] == ["a", "b"] and groups[0].markdown.startswith("**Register Context: OCR**\n\n| Bit | V |") and groups[0].markdown.endswith("| a | 3 |")
+    parts = t.select(tables.pack_rows(F.col("header"), F.col("body"), F.col("notes"), F.lit(0), 40).alias("p")).first().p
+    assert [line for p in parts for line in p.split("\n")[2:]] == ["| a | 1 |", "| b | 2 |", "| a | 3 |"] and len(parts) == 3
+
+
+def test_plausible(spark):
+    wide = [["x"] + [None] * 9, ["a"] * 10]
+    full = [["a"] * 10, ["b"] * 10]
+    got = spark.createDataFrame([(1, wide), (2, full), (3, [["a", None]])], GRID).select("id", tables.is_plausible(F.col("rows")).alias("p")).collect()
+    assert {r.id: r.p for r in got} == {1: False, 2: True, 3: True}
+
+
+def test_section_ends_and_pages(spark):
+    toc = [("s", 0, 1, "1 A", 3), ("s", 1, 2, "1.1 B", 3), ("s", 2, 3, "1.1.1 C", 4), ("s", 3, 1, "2 D", 4), ("s", 4, 1, "Bibliography", 9)]
+    df = spark.createDataFrame(toc, "source string, toc_ord int, level int, title string, page_start int").withColumn("total_pages", F.lit(12))
+    secs = structure.sections(df)
+    assert {r.toc_ord: r.page_end for r in secs.collect()} == {0: 3, 1: 3, 2: 4, 3: 8, 4: 12}
+    assert {r.page: r.toc_ord for r in structure.page_sections(secs).collect()} == {3: 1, 4: 2, **dict.fromkeys(range(5, 9), 3), **dict.fromkeys(range(9, 13), 4)}
+    blocks = spark.createDataFrame([("s", 1, "1.1 b. "), ("s", 2, "1.1 B more"), ("s", 3, "1.1 Bx"), ("s", 4, "2 d\nx")], "source string, block_id int, text string")
+    assert {r.block_id: r.heading_ord for r in structure.headings(blocks, secs).collect()} == {1: 1, 2: 1, 3: None, 4: 3}
+
+
+def model_islands(rows):
+    out, last, n = [], None, 0
+    for page, ord_, kind, sec, page_sec in rows:
+        if kind == "definition":
+            continue
+        if last is None or sec != last[3] or (page != last[0] and page_sec != last[3]) or kind != last[2] or kind in flow.BREAKING:
+            n += 1
+        last = (page, ord_, kind, sec)
+        if kind in flow.FLOWING:
+            out.append((ord_, n))
+    return out
+
+
+def test_islands(spark):
+    rng = random.Random(3)
+    rows = [(i // 6, i, rng.choice(["text", "text", "register", "table", "definition"]), rng.choice([1, 1, 1, 2, None]), rng.choice([1, 2])) for i in range(120)]
+    df = spark.createDataFrame([("s", *r) for r in rows], "source string, page int, block_ord int, kind string, section_ord int, page_ord int")
+    assert sorted((r.block_ord, r.island) for r in flow.islands(df).collect()) == sorted(model_islands(rows))
+
+
+boxes = st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60), st.integers(1, 20), st.integers(1, 20)).map(lambda b: (b[0], b[1], b[0] + b[2], b[1] + b[3])), max_size=14)
+
+
+@given(boxes, st.randoms())
+@settings(max_examples=60, deadline=None)
+def test_merged_boxes(bs, rng):
+    merged = layout.merge_boxes(bs, 4)
+    again = list(bs)
+    rng.shuffle(again)
+    assert layout.merge_boxes(again, 4) == merged
+    assert sum(b[4] for b in merged) == len(bs)
+    for i, a in enumerate(merged):
+        assert not any(a[0] - 4 < b[2] and a[2] + 4 > b[0] and a[1] - 4 < b[3] and a[3] + 4 > b[1] for b in merged[i + 1 :])
+
+
+def test_captions_and_labels(spark):
+    page = "page int, box int, x0 double, y0 double, x1 double, y1 double"
+    figure = spark.createDataFrame([(1, 7, 0.0, 100.0, 100.0, 200.0)], page)
+    texts = [(1, 1, "Figure 1 - far one", 0.0, 240.1, 10.0, 250.0), (1, 2, "Figure 2 - near", 0.0, 240.0, 10.0, 250.0), (1, 3, "Figure 3 - over", 0.0, 190.0, 10.0, 210.0), (1, 4, " in ", 90.0, 195.0, 110.0, 205.0)]
+    t = spark.createDataFrame(texts, "page int, block_ord int, text string, x0 double, y0 double, x1 double, y1 double")
+    got = layout.nearest_caption(figure, t, ["page"], "box").first()
+    assert got.caption == "Figure 2 - near" and got.dist == 40
+    assert layout.labels_in_boxes(t, figure, ["page"], "box").first().labels == "Figure 3 - over\nin"
+
+
+@given(st.text(alphabet="ab. \n", max_size=400), st.integers(8, 40), st.integers(0, 7))
+@settings(max_examples=150, deadline=None)
+def test_splitter(text, size, overlap):
+    parts = splitter.split_text(text, size, overlap)
+    assert all(p and len(p) <= size for p in parts)
+    assert {c for c in text if not c.isspace()} == {c for p in parts for c in p if not c.isspace()}
+    at = 0
+    for p in parts:  # in order, covering the text up to white space
+        at = text.find(p, max(0, at - overlap - size))
+        assert at >= 0
+
+
+def test_splitter_sizes(spark):
+    rows = [("text", "w " * 1400), ("text", "w " * 1401), ("register", "x" * 4200), ("register", "y" * 4201), ("text", "  "), ("text", None)]
+    df = spark.createDataFrame(rows, "kind string, t string")
+    got = splitter.split_frame(df, "t", F.col("kind"))
+    assert sorted(r["count"] for r in got.groupBy("kind", "t").count().collect()) == [1, 1, 2, 2]
+
+
+def test_rrf(spark):
+    d = spark.createDataFrame([(1, "a", 1, 0.1), (1, "b", 2, 0.2)], "query_id int, id string, rank int, distance double")
+    s = spark.createDataFrame([(1, "b", 1, 9.0), (1, "c", 2, 8.0), (1, "c", 3, 7.0)], "query_id int, id string, rank int, score double")
+    got = retrieval.fuse(d, s).orderBy("rank").collect()
+    assert [r.id for r in got] == ["b", "c", "a"] or [r.id for r in got][0] == "b"
+    assert got[0].bm25_score is None and {r.id: r.bm25_score for r in got}["c"] == 8.0
+    alone = retrieval.fuse(d, s.limit(0)).orderBy("rank").collect()
+    assert [r.id for r in alone] == ["a", "b"] and abs(alone[0].rrf_score - 1 / 61) < 1e-12
+
+
+def test_bm25_by_hand(spark):
+    import math
+
+    docs = spark.createDataFrame([(0, "a a b"), (1, "a c"), (2, "a d d d"), (3, "")], "pos int, raw string")
+    q = spark.createDataFrame([(1, "d d zz")], "query_id int, query string")
+    got = retrieval.bm25_search(q, docs, F.col("raw"), 4, pad_zero=True).orderBy("rank").collect()
+    idf, avg = math.log(4 - 1 + 0.5) - math.log(1.5), 9 / 4
+    assert [r.pos for r in got] == [2, 0, 1, 3]
+    assert abs(got[0].score - 2 * idf * 3 * 2.5 / (3 + 1.5 * (0.25 + 0.75 * 4 / avg))) < 1e-9
+    _, terms, _ = retrieval.build_bm25(docs, F.col("raw"))
+    raw = {t: math.log(4 - n + 0.5) - math.log(n + 0.5) for t, n in (("a", 3), ("b", 1), ("c", 1), ("d", 1))}
+    assert abs({r.term: r.idf for r in terms.collect()}["a"] - 0.25 * sum(raw.values()) / 4) < 1e-12
+
+
+def test_first_seen_is_idempotent(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, None)], "ord int, k string")
+    once = filters.first_seen(df, ["k"], ["ord"])
+    assert sorted(r.ord for r in once.collect()) == [1, 3]
+    assert sorted(r.ord for r in filters.first_seen(once, ["k"], ["ord"]).collect()) == [1, 3]
+
+
+def test_noise_and_validity(spark):
+    rows = [("text", "continued on next page", False), ("text", "JEDEC Standard No. 84 page of it", False), ("definition", "CMD: Command", False), ("table", "x" * 79, False), ("table", "x" * 25, True), ("text", None, False)]
+    df = spark.createDataFrame(rows, "kind string, raw string, is_row boolean")
+    assert [bool(r.v) for r in df.select(filters.is_valid(F.col("kind"), F.col("raw"), F.col("is_row")).alias("v")).collect()] == [False, False, True, False, True, False]
+
+
+def test_zip_records_checks_places(spark):
+    q = spark.createDataFrame([(0, "q", None)], "ord int, question string, reference string")
+    good = spark.createDataFrame([(0, "a", ["c"])], "ord int, response string, contexts array<string>")
+    assert evaluate.zip_records(q, good).first().reference == ""
+    with pytest.raises(Exception, match="no match"):
+        evaluate.zip_records(q, good.withColumn("ord", F.lit(1))).collect()
+
+
+def test_definition_chunks(spark):
+    base = spark.createDataFrame([("Terms", "CMD: a command of the bus"), ("Terms of use", "CMD: a command of the bus")], "section_title string, raw_text string")
+    rows = base.withColumns({"source": F.lit("a-B51.pdf"), "version": F.lit("5.1"), "page_start": F.lit(3), "page_end": F.lit(3), "section_path": F.array(F.lit("3")), "heading_level": F.lit(1), "section_label": F.lit("3 Terms"), "section_front": F.lit(True)})
+    got = chunks.definition_chunks(rows).collect()
+    assert len(got) == 1 and got[0].term == "CMD" and not got[0].is_front_matter and got[0].text == "[eMMC 5.1 | 3 Terms | Page 3]\nCMD: a command of the bus"
