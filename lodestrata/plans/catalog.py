@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import formulas, ids
 from ..functions import text as X
 from ..operators import assistant, chunks, evaluate, filters, flow, layout, retrieval, splitter, structure, tables
-from ..sources import files
+from ..plugins import HashingEmbedder
+from ..session import working_folder
+from ..sources import files, store
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -643,6 +645,45 @@ def eval_samples(spark, sf):
     return evaluate.zip_records(records, responses).select("ord", "user_input", "response", "reference")
 
 
+@query(with_(V.CHUNKS) + """SELECT id, CASE WHEN section_path <> '' THEN 'dist=' || printf('%.3f', id / 1000.0::DOUBLE) WHEN is_row_chunk THEN 'rrf=' || printf('%.4f', id / 1000.0::DOUBLE) ELSE 'bm25-only' END AS shown FROM chunks""")
+def score_texts(spark, sf):
+    c, v = V.chunks(spark, sf), F.col("id") / 1000
+    return c.select("id", retrieval.score_text(F.when(F.col("section_path") != "", v), F.when(F.col("is_row_chunk"), v)).alias("shown"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, 8 + (lang = 'en')::INT AS n_keys, lang || '/' || source AS path FROM documents")
+def vector_records(spark, sf):
+    """The metadata hold what has a value: here eight keys, and a term for one language."""
+    none = F.lit(None).cast("string")
+    d = V.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("chunk_id"), "source", F.col("lang").alias("version"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.array("lang", "source").alias("section_path"), none.alias("section_title"),
+        none.alias("heading_level"), F.lit("text").alias("content_type"), F.lit(False).alias("is_front_matter"), none.alias("chunk_index"), none.alias("is_row_chunk"), none.alias("figure_caption"), F.when(F.col("lang") == "en", "t").alias("term"),
+        none.alias("parent_chunk_id"), F.col("text").alias("raw_text"), "text",
+    )
+    r = store.vector_record(d)
+    return r.select("id", F.size("metadata").alias("n_keys"), F.element_at("metadata", F.lit("section_path")).alias("path"))
+
+
+@query(with_(V.DENSE) + """, g AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM dists WHERE version = 0 QUALIFY rank <= 5)
+SELECT query_id, string_agg('[' || rank || '] glossary p.' || id || chr(10) || 'entry ' || id, chr(10) || chr(10) ORDER BY rank) AS answer, count(*) AS n_excerpts FROM g GROUP BY query_id""")
+def explain_terms(spark, sf):
+    g = V.vectors(spark, sf).filter("version = 0").withColumns({"source": F.lit("glossary"), "page_start": F.col("id").cast("int"), "document": F.concat(F.lit("entry "), F.col("id").cast("string"))})
+    return assistant.explain_terms(V.dense_queries(spark, sf).withColumn("query", F.lit("t")), g)
+
+
+@query(with_(V.CHUNKS) + rf"SELECT version, count(DISTINCT id) AS docs, count(DISTINCT id) FILTER (content_type = 'definition') AS glossary FROM chunks WHERE {BODY} AND length({TRIM.format('raw_text')}) >= CASE content_type WHEN 'text' THEN 20 WHEN 'table' THEN 25 WHEN 'definition' THEN 8 WHEN 'register' THEN 40 ELSE 30 END GROUP BY version")
+def incremental_index(spark, sf):
+    """What the store holds after the first half has been indexed, then everything, then everything again."""
+    none = F.lit(None).cast("string")
+    c = V.chunks(spark, sf).withColumns({"chunk_id": F.col("id").cast("string"), "page_end": F.lit(1), "section_path": F.array("section_path"), "heading_level": F.lit(1), "chunk_index": F.col("id"), "figure_caption": none, "term": none, "parent_chunk_id": none, "line": F.col("id")})
+    half = c.agg(F.max("id")).first()[0] // 2
+    s = store.VectorStore(spark, working_folder(spark, "store"))
+    for part in (c.filter(F.col("id") <= half), c, c):
+        store.index_chunks(s, part, HashingEmbedder)
+    docs = s.collection().groupBy("version").agg(F.count("*").alias("docs"))
+    return docs.join(s.collection("glossary").groupBy("version").agg(F.count("*").alias("glossary")), "version", "left").withColumn("glossary", F.coalesce("glossary", F.lit(0)))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Keyword and vector search, fused: the engine end to end."""
     return rrf_fuse(spark, sf)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +25,9 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the driver and the executors share: the session's spark.checkpoint.dir, or a local one where that is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
