@@ -184,7 +184,7 @@ def collection_counts(spark, sf):
 # -- structure and flow ---------------------------------------------------------------------------------------------
 
 
-@query(with_(V.TOC) + "SELECT page, toc_ord FROM page_map")
+@query(with_(V.TOC) + "SELECT page::INT AS page, toc_ord FROM page_map")
 def page_section_map(spark, sf):
     return structure.page_sections(structure.section_ends(V.toc(spark, sf))).select("page", "toc_ord")
 
