@@ -91,10 +91,20 @@ def text_posteriors(texts: list[str], model: np.ndarray) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame, text: str = "text", label: str = "lang", rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """The models, fitted on the `rows` labelled texts with the least hash, copies aside."""
-    labelled = docs.filter(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("t"), F.lower(F.substring_index(F.col(label), "-", 1)).alias("l"))
-    sample = labelled.withColumn("h", F.xxhash64("t")).orderBy("h", "l").limit(rows).collect()
-    distinct = {r["t"]: r["l"] for r in sample}
-    return fit(list(distinct), list(distinct.values()))
+    labelled = docs.filter(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("t"), F.lower(F.substring_index(F.col(label), "-", 1)).alias("l"), F.xxhash64(text).alias("h"))
+    # hashes are even, so a bound on them leaves about twice the rows that are wanted; copies count once and move only their hashes
+    share = min(1.0, 2 * rows / max(1, labelled.count()))
+    while True:
+        edge = -(1 << 63) + int(share * (1 << 64)) - 1
+        few = labelled.select("h").filter(F.col("h") <= edge).distinct()
+        least = sorted(r["h"] for r in few.orderBy("h").limit(rows).collect())
+        if share >= 1 or len(least) >= rows:
+            break
+        share = min(1.0, share * 4)
+    if not least:
+        return fit([], [])
+    sample = labelled.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.min(F.struct("l", "t")).alias("x")).select("x.*").collect()
+    return fit([r["t"] for r in sample], [r["l"] for r in sample])
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], uri: str, text: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, keep: list[str] | None = None) -> DataFrame:
