@@ -279,7 +279,17 @@ def classes(docs: DataFrame, uri: str, key: str = "doc_id", text: str = "text",
     of verified links of the row's distinct text. kept: the key is class_id. Null keys stay null and are never class_id unless all keys
     of the class are null; rows that repeat a key and a text are marked alike. Only key and text are read.
     """
-    base = docs.select(F.col(key).cast("long").alias("id"), normal(text).alias("norm")).withColumn("node", F.unhex(F.md5(F.col("norm").cast("binary"))))
+    return _classes(docs, uri, key, text, similar).drop("node")
+
+
+def node(text: str | Column) -> Column:
+    """The digest by which classes() tells texts apart."""
+    return F.unhex(F.md5(normal(text).cast("binary")))
+
+
+def _classes(docs: DataFrame, uri: str, key: str, text: str, similar: float) -> DataFrame:
+    """classes() with each row's node."""
+    base = docs.select(F.col(key).cast("long").alias("id"), normal(text).alias("norm"), node(text).alias("node"))
     rows = common.stash(base.select("id", "node"), f"{uri}/rows")
     base = base.select("node", "norm")
     signed = common.stash(base.mapInArrow(_sign, "node binary, n long, bands array<long>").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), f"{uri}/signed")
@@ -318,12 +328,16 @@ def classes(docs: DataFrame, uri: str, key: str = "doc_id", text: str = "text",
     found = common.stash(found, f"{uri}/found")
     whole = found.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     by_node = common.stash(found.join(whole, "label").select("node", "class_id", "class_size", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), f"{uri}/classes")
-    return rows.join(by_node, "node").select(F.col("id").alias(key), "class_id", "class_size", "n_shingles", "links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return rows.join(by_node, "node").select("node", F.col("id").alias(key), "class_id", "class_size", "n_shingles", "links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, uri: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, one document of each class, all columns."""
-    gone = common.stash(classes(docs, uri, key, text).filter("not kept").select(F.col(key).alias("__gone")).distinct(), f"{uri}/gone")
+    """The rows of docs that stay, one document of each class, all columns.
+
+    A row goes by its text and its key together: the same key on a text of another class, and null keys there, stay.
+    """
+    gone = _classes(docs, uri, key, text, SIMILAR).filter("not kept").select(F.col("node").alias("__node"), F.col(key).alias("__gone")).distinct()
+    gone = common.stash(gone, f"{uri}/gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone, (node(text) == F.col("__node")) & F.col(key).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
