@@ -209,7 +209,7 @@ KINDS = {
     "date_us": (rf"\b(?P<m4>{MONTH}) (?P<d4>\d{{1,2}}), (?P<y4>(?:19|20)\d{{2}})\b", _date("y4", "m4", "d4", lambda m, x: f"{MONTHS[x.month - 1] if m.group('m4') in MONTHS else MONTHS[x.month - 1][:3]} {x.day}, {x.year}")),
     "ip": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", _ip),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
-    "card": (r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)", _card),
+    "card": (r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?!\d|\.\d)", _card),
     "phone": (r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-]|\.\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?![\w-])", _phone),
 }
 PATTERN = "|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items())
@@ -218,6 +218,17 @@ HINT = r"[0-9@=:]"
 _SCAN, _HINT, _SKIP = re.compile(PATTERN), re.compile(HINT), re.compile(r"\w+|.", re.S)
 
 
+def _shorter_card(m, key: bytes):
+    """(match, pseudonym) of the longest card that ends at a separator within m; a date or security code may follow it."""
+    pattern = re.compile(KINDS["card"][0])
+    for cut in range(m.end() - 1, m.start() + 12, -1):
+        if m.string[cut] in " -" and (shorter := pattern.match(m.string, m.start(), cut)) and shorter.end() == cut:
+            new = _card(key, shorter)
+            if new is not None:
+                return shorter, new
+    return None, None
+
+
 def _replace(text: str, start: int, end: int, key: bytes):
     """The first match from start on in a line that ends at end: (kind, start, end, pseudonym), or where to go on, or None."""
     m = _SCAN.search(text, start, end)
@@ -227,6 +238,8 @@ def _replace(text: str, start: int, end: int, key: bytes):
     for kind, (pattern, make) in KINDS.items():
         m2 = m if m.group(kind) is not None else re.compile(pattern).match(text, m.start(), end)
         new = make(key, m2) if m2 else None
+        if new is None and m2 and kind == "card":
+            m2, new = _shorter_card(m2, key)
         if new is not None:
             return kind.partition("_")[0], m2.start(), m2.end(), new
     return _SKIP.match(text, m.start()).end()
