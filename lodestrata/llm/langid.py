@@ -7,7 +7,8 @@ Four pieces of evidence about a document's language are combined by Bayes' rule:
 * the suffix of its address, in the same way;
 * its host: the host's share of each language, smoothed towards its parent domain's, which is smoothed towards the corpus'.
 
-The models are fitted on a bounded sample of labelled rows (`FIT_ROWS` by least hash). All counts behind the other evidence are
+The models are fitted on a bounded sample of labelled rows (`FIT_ROWS` of each label by least hash, so that every label has a
+model, however rare). All counts behind the other evidence are
 grouped aggregations over all rows, of the texts' own posteriors. A document is rejected when the background
 wins, or no language has `ACCEPT` of the posterior.
 """
@@ -17,14 +18,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
 BUCKETS = 1 << 15
-#: labelled rows that the text models are fitted on, at most, and the documented bound of what the driver gets
+#: different texts of each label that its text model is fitted on, at most; the driver gets counts of their trigrams only
 FIT_ROWS = 2_000
 #: trigrams of one text are not independent: a text counts as this many at most
 EFFECTIVE = 48
@@ -59,18 +60,25 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket[keep], np.bincount(doc[keep], minlength=len(texts))
 
 
-def fit(texts: list[str], labels: list[str]) -> tuple[list[str], np.ndarray]:
-    """(languages, log probability of each bucket by language; the last row is the background)."""
-    names = sorted(set(labels) - {NO_LANGUAGE})
-    counts = np.zeros((len(names) + 1, BUCKETS))
-    for i, name in enumerate(names):
-        own = [t for t, x in zip(texts, labels, strict=True) if x == name]
-        counts[i] = np.bincount(trigrams(own)[0], minlength=BUCKETS)
-    counts[:-1] += ALPHA
-    counts[-1] = 1
+def fit(names: list[str], seen: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(languages, log probability of each bucket by language; the last row is the background), from the counts by language and bucket."""
+    counts = np.ones((len(names) + 1, BUCKETS))
+    counts[:-1] = seen + ALPHA
     return names, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
+def _count(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for a, b in common.text_batches(batch, 1, 1_000_000):
+            part = batch.slice(a, b - a)
+            buckets, sizes = trigrams(part.column(1).to_pylist())
+            labels, which = np.unique(np.array(part.column(0).to_pylist(), object), return_inverse=True)
+            both, n = np.unique(np.repeat(which, sizes) * BUCKETS + buckets, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(labels[both // BUCKETS], pa.string()), pa.array(both % BUCKETS, pa.int32()), pa.array(n, pa.int64())], names=["l", "bucket", "n"])
+
+
 def text_posteriors(texts: list[str], model: np.ndarray) -> np.ndarray:
     """Posterior of each language and the background by the text alone, languages alike before it."""
     buckets, sizes = trigrams(texts)
@@ -90,21 +98,35 @@ def text_posteriors(texts: list[str], model: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, text: str = "text", label: str = "lang", rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """The models, fitted on the `rows` labelled texts with the least hash, copies aside."""
-    labelled = docs.filter(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("t"), F.lower(F.substring_index(F.col(label), "-", 1)).alias("l"), F.xxhash64(text).alias("h"))
+    """The models, each fitted on the `rows` texts of its label with the least hash, copies aside. Every label has one,
+    but for NO_LANGUAGE and null; the driver holds one row per label and the models."""
+    spark = docs.sparkSession
+    own = F.lower(F.substring_index(F.col(label), "-", 1))
+    labelled = docs.filter(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("t"), own.alias("l"), F.xxhash64(text).alias("h")).filter(F.col("l") != NO_LANGUAGE)
+    totals = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not totals:
+        return fit([], np.zeros((0, BUCKETS)))
+    names = sorted(totals)
+
+    def below(edges: dict[str, int]) -> DataFrame:
+        some = F.broadcast(spark.createDataFrame([*edges.items()], "l string, edge long"))  # one row per label
+        return labelled.join(some, "l").filter(F.col("h") <= F.col("edge"))
+
     # hashes are even, so a bound on them leaves about twice the rows that are wanted; copies count once and move only their hashes
-    share = min(1.0, 2 * rows / max(1, labelled.count()))
-    while True:
-        edge = -(1 << 63) + int(share * (1 << 64)) - 1
-        few = labelled.select("h").filter(F.col("h") <= edge).distinct()
-        least = sorted(r["h"] for r in few.orderBy("h").limit(rows).collect())
-        if share >= 1 or len(least) >= rows:
-            break
-        share = min(1.0, share * 4)
-    if not least:
-        return fit([], [])
-    sample = labelled.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.min(F.struct("l", "t")).alias("x")).select("x.*").collect()
-    return fit([r["t"] for r in sample], [r["l"] for r in sample])
+    share, edges = {x: min(1.0, 2 * rows / n) for x, n in totals.items()}, {}
+    while share:
+        least = below({x: -(1 << 63) + int(p * (1 << 64)) - 1 for x, p in share.items()}).select("l", "h").distinct()
+        least = least.withColumn("nth", F.row_number().over(Window.partitionBy("l").orderBy("h"))).filter(F.col("nth") <= rows)
+        found = {r["l"]: r for r in least.groupBy("l").agg(F.max("h").alias("edge"), F.count(F.lit(1)).alias("n")).collect()}
+        done = {x for x, p in share.items() if x in found and (p >= 1 or found[x]["n"] >= rows)}
+        edges |= {x: found[x]["edge"] for x in done}
+        share = {x: min(1.0, p * 4) for x, p in share.items() if x not in done}
+    sample = below(edges).groupBy("l", "h").agg(F.min("t").alias("t")).select("l", "t")
+    counted = sample.mapInArrow(_count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros((len(names), BUCKETS))
+    at = np.searchsorted(np.array(names, object), np.array(counted.column("l").to_pylist(), object)) if counted.num_rows else np.zeros(0, int)
+    seen[at, counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    return fit(names, seen)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], uri: str, text: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, keep: list[str] | None = None) -> DataFrame:
