@@ -97,6 +97,12 @@ def normal(sentence: str) -> str:
 
 #: Sentences as the splitter cuts them: a known text with inner full stops or semicolons is several pieces in a row.
 CUT = r"[.!?;:]+(?:\s+|$)"
+#: Notices stand apart from what is around them by lines without letters or digits (a comment's marks aside), and by URLs.
+BLANK = r"\n[^A-Za-z0-9]*\n|\r[^A-Za-z0-9\n]*\r"
+URL = r"[Hh][Tt][Tt][Pp][Ss]?://\S+"
+#: A line that states a copyright, not one of a wrapped sentence that speaks of "the above copyright notice".
+HOLDER = r"(?:^|[\r\n])[^A-Za-z0-9\r\n]*(?:[Cc]opyright|COPYRIGHT)[ \t]*(?:\([Cc]\)|©|[0-9])[^\r\n]*"
+PARAGRAPH = f"{BLANK}|{HOLDER}|{URL}|{CUT}"
 
 
 def _pieces(sentence: str) -> list[str]:
@@ -119,13 +125,17 @@ def dictionary() -> tuple[dict[str, str], list[tuple[str, str, list[str]]]]:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, rule_id, licence, n_sentences, n_matches, first_sentence), one per row of docs and matching rule.
 
-    Whole texts are scanned twice: as a flow, where sentences run over line ends, and line by line. n_matches counts
+    Whole texts are scanned three times: as a flow, where sentences run over line ends, line by line, and by paragraphs,
+    where they run over line ends but not over blank lines, copyright lines and URLs. n_matches counts
     the matches in the view that has more; first_sentence is the lowest number of a match's first sentence there,
     from 0. A text that is null, empty or has no known sentence gives no row. Rows with equal keys give rows each.
     """
     known, rules = dictionary()
     spark = docs.sparkSession
-    sentences = F.broadcast(spark.createDataFrame([*known.items()], "sentence string, sid string"))  # a fixed table
+    # a known sentence that holds a URL is found without it in the view that cuts there
+    bare = {p: known[normal(x)] for x in SENTENCES.values() if re.search(URL, x) and normal(x) in known for p in [normal(re.sub(URL, " ", x))]}
+    named = [(view, s, i) for view in ("flow", "lines", "paragraphs") for s, i in ({**known, **bare} if view == "paragraphs" else known).items()]
+    sentences = F.broadcast(spark.createDataFrame(named, "view string, sentence string, sid string"))  # a fixed table
     steps = F.broadcast(spark.createDataFrame([(r, x, len(ids), i, s) for r, x, ids in rules for i, s in enumerate(ids)], "rule_id string, licence string, n_sentences int, step int, sid string"))
 
     def cleaned(c):
@@ -135,11 +145,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     kept = kept.withColumn("row", F.monotonically_increasing_id())  # before the rows are split
     flow = F.split("text", CUT)
     lines = F.split("text", rf"[\r\n]+|{CUT}")
-    both = kept.select("row", "key", F.explode(F.array(F.struct(F.lit("flow").alias("view"), flow.alias("s")), F.struct(F.lit("lines").alias("view"), lines.alias("s")))).alias("v"))
+    paragraphs = F.split("text", PARAGRAPH)
+    views = [F.struct(F.lit(name).alias("view"), s.alias("s")) for name, s in (("flow", flow), ("lines", lines), ("paragraphs", paragraphs))]
+    every = kept.select("row", "key", F.explode(F.array(*views)).alias("v"))
     found = (
-        both.select("row", "key", "v.view", F.posexplode("v.s").alias("pos", "raw"))
+        every.select("row", "key", "v.view", F.posexplode("v.s").alias("pos", "raw"))
         .withColumn("sentence", cleaned("raw"))
-        .join(sentences, "sentence")
+        .join(sentences, ["view", "sentence"])
         .select("row", "key", "view", "pos", "sid")
     )
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("row", "view").orderBy("pos")))
@@ -155,7 +167,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def scan_sql(table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
-    """The same in DuckDB."""
+    """The flow and line views in DuckDB, which has no paragraph view."""
     known, rules = dictionary()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     sentences = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in known.items())
