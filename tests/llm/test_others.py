@@ -236,6 +236,39 @@ def test_nearest_edges(spark, uri):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0, uri("a")).count() == 0
 
 
+def test_forest_prunes(rng):
+    """At the defaults, nine tenths of the nearest of evenly spread vectors, by scoring an eighth of a shard."""
+    x = rng.standard_normal((24_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = np.arange(0, len(x), 200)
+    forest = ann.Forest(x, 1.0)
+    score = x[q] @ x.T
+    score[np.arange(len(q)), q] = -2
+    want = np.argpartition(-score, 20, axis=1)[:, :20]
+    met = list(forest.candidates(x[q], ann.CANDIDATES))
+    assert np.mean([np.isin(w, m).mean() for w, m in zip(want, met, strict=True)]) >= 0.9
+    assert np.mean([len(m) for m in met]) <= 0.14 * len(x)
+
+
+def test_forest_finds_equal_strings_and_asks_for_all(rng):
+    x = np.concatenate([np.repeat(rng.standard_normal((1, 16)), 50, axis=0) + 1e-6 * rng.standard_normal((50, 16)), rng.standard_normal((950, 16))])
+    forest = ann.Forest(x, float(np.linalg.norm(x, axis=1).max()))
+    (met,) = forest.candidates(x[:1], 50)
+    assert set(range(50)) <= set(met.tolist())
+    assert [len(m) for m in forest.candidates(x[:3], 5000)] == [1000] * 3
+
+
+def test_many_shards_and_blocks(spark, uri, monkeypatch, rng):
+    monkeypatch.setattr(ann, "SHARD", 30)
+    monkeypatch.setattr(ann, "BLOCK", 3)
+    rows = [(i, rng.standard_normal(5 if i % 7 else 3).round(2).tolist()) for i in range(260)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, uri("a"), k=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert dict(got) == {q: [j for _, j in w] for q, w in brute_nearest(rows, lambda i: i % 20 == 0, 4).items()}
+
+
 # -- pipeline -------------------------------------------------------------------------------------------------------
 
 
