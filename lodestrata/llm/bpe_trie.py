@@ -16,6 +16,7 @@ import functools
 import hashlib
 import json
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,6 +27,10 @@ from .common import text_batches
 from .segment import PieceCache, cut, is_safe, ragged
 
 
+#: characters of a word that the trie holds; what is beyond is walked along the word itself
+LONG = 64
+
+
 @functools.cache
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself where printable, else the next from 256 on."""
@@ -114,14 +119,13 @@ class TrieBpe:
         self.fits[a, b] = ok
         return ok
 
-    def _last(self, prefix: str, before: list[int], table: dict[str, int], sizes: dict[str, list[int]]) -> int:
-        """The last token of the encoding of prefix, whose shorter prefixes end in before[1:], by length."""
-        n = len(prefix)
+    def _last(self, word: str, n: int, before, table: dict[str, int], sizes: dict[str, list[int]]) -> int:
+        """The last token of the encoding of word[:n], whose shorter prefixes end in before[1:], by length."""
         fits = self.fits
-        lengths = sizes.get(prefix[-3:]) or sizes.get(prefix[-2:]) or sizes.get(prefix[-1:], ())
+        lengths = sizes.get(word[max(0, n - 3) : n]) or sizes.get(word[max(0, n - 2) : n]) or sizes.get(word[n - 1 : n], ())
         for k in lengths:
             if k < n:
-                t = table.get(prefix[n - k :])
+                t = table.get(word[n - k : n])
                 if t is not None:
                     b = before[n - k]
                     if b >= 0:
@@ -131,43 +135,49 @@ class TrieBpe:
                         if ok:
                             return t
             elif k == n:
-                t = table.get(prefix)
+                t = table.get(word[:n])
                 if t is not None:
                     return t
         return -1
 
+    def _ids(self, word: str, before) -> list[int]:
+        """The word's ids, from its last symbol with the word-end suffix back."""
+        t, at, ids = self._last(word, len(word), before, self.final, self.final_sizes), len(word), []
+        while t >= 0:
+            ids.append(t)
+            at -= self.width[t]
+            t = before[at] if at else -1
+        return ids[::-1]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct words in byte-level characters."""
+        """Ids of distinct words in byte-level characters. Words beyond LONG characters share their first LONG with others at most."""
         root: dict = {}
         for i, w in enumerate(words):
             node = root
-            for ch in w[:-1]:
+            for ch in w[: min(len(w) - 1, LONG)]:
                 below = node.get(ch)
                 if below is None:
                     below = node[ch] = {}
                 node = below
             node.setdefault("", []).append((w, i))
         out: list[list[int]] = [[] for _ in words]
-        last = [-1] * (max(map(len, words), default=0) + 1)
-        width, inner, final, inner_sizes, final_sizes = self.width, self.inner, self.final, self.inner_sizes, self.final_sizes
+        last = array("i", bytes(4 * (max(map(len, words), default=0) + 1)))
+        last[0] = -1
+        inner, inner_sizes = self.inner, self.inner_sizes
         stack = [(root, "")]
         while stack:
             node, prefix = stack.pop()
             if prefix:
-                last[len(prefix)] = self._last(prefix, last, inner, inner_sizes)
+                last[len(prefix)] = self._last(prefix, len(prefix), last, inner, inner_sizes)
             for ch, below in node.items():
                 if ch:
                     stack.append((below, prefix + ch))
                     continue
                 for w, i in below:
-                    if not w:
-                        continue
-                    t, at, ids = self._last(w, last, final, final_sizes), len(w), []
-                    while t >= 0:
-                        ids.append(t)
-                        at -= width[t]
-                        t = last[at] if at else -1
-                    out[i] = ids[::-1]
+                    if w:
+                        for n in range(LONG + 1, len(w)):
+                            last[n] = self._last(w, n, last, inner, inner_sizes)
+                        out[i] = self._ids(w, last)
         return out
 
     def show(self, ids: list[int]) -> str:
@@ -194,7 +204,7 @@ class TrieBpe:
 
 @functools.lru_cache(maxsize=1)
 def encoder(spec: str) -> tuple[TrieBpe, PieceCache]:
-    return TrieBpe(spec), PieceCache(1_200_000)
+    return TrieBpe(spec), PieceCache()
 
 
 def encode_texts(bpe: TrieBpe, cache: PieceCache, texts: list[str]):

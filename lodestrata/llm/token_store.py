@@ -28,7 +28,11 @@ from .bpe_trie import byte_level
 from .segment import PieceCache, cut, is_safe, ragged
 
 MAGIC, MAX_BITS, BLOCK = b"LSHF", 18, 128
+#: text of a task, about, and of a file: a file's codes are in memory while it is written
+TASK_BYTES, FILE_BYTES = 256 << 20, 64 << 20
 HEADER = "<4sHHIIQQQQ"
+#: tasks that read files, at most
+READERS = 100_000
 
 
 # -- codes ----------------------------------------------------------------------------------------------------------
@@ -184,7 +188,7 @@ class ByteBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.cache = PieceCache(2_000_000)
+        self.cache = PieceCache()
 
     def _fresh(self, words):
         run = self.tokenizer.model.tokenize
@@ -232,66 +236,80 @@ def write_tokens(df: DataFrame, spec: str, uri: str, end_id: int = 2, key: str =
 
     Returns the manifest: file, first (number of ids in all files before), docs, ids. Null texts count as empty (the
     end id alone); a null key is stored as the least long and sorts first; rows with equal keys are all kept, in
-    order of their texts. No rows: no files and an empty manifest.
+    order of their texts' hashes, then of the texts. No rows: no files and an empty manifest.
 
-    One shuffle deals the texts by ranges of key. Each task tokenises its range into a spool file in the shared folder
+    One shuffle deals the texts by ranges of key and hash, so that a key of many rows is split, in as many tasks as the input's
+    size asks for. Each task tokenises its range into spool files of FILE_BYTES of text in the shared folder
     and returns its counts of ids; the driver gets one row per distinct id (bounded by the vocabulary) and one per
-    file. With the code lengths, a second pass turns each spool file into a token file. Files appear whole, by rename,
-    and a repeated task finds or rewrites them.
+    file. With the code lengths, a second pass turns each spool file into a token file. Files appear whole, by rename, under
+    names that hold the task's attempt; those of attempts that the committed counts do not name are never read.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(spec)
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "k").sortWithinPartitions("k", "t")
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-common.input_bytes(df) // TASK_BYTES))
+    rows = rows.repartitionByRange(n, "k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
 
     def spool(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         bpe = byte_bpe(shared.value)
-        part = TaskContext.get().partitionId()
-        keys, sizes, counts, n_ids = [], [], np.zeros(0, np.int64), 0
+        task = TaskContext.get()
+        total = np.zeros(0, np.int64)
 
-        def write(out):
-            nonlocal counts, n_ids
-            import zstandard
-
-            packer = zstandard.ZstdCompressor(level=1)
+        def parts():
             for batch in batches:
                 for a, b in common.text_batches(batch, 1):
-                    ids, lengths = bpe.encode(batch.column(1).slice(a, b - a).to_pylist())
-                    keys.append(batch.column(0).slice(a, b - a).to_numpy())
+                    yield batch.slice(a, b - a)
+
+        rest, k = parts(), 0
+        while (first := next(rest, None)) is not None:
+            keys, sizes, counts = [], [], np.zeros(0, np.int64)
+
+            def write(out, first=first, keys=keys, sizes=sizes):
+                nonlocal counts
+                import zstandard
+
+                packer, held = zstandard.ZstdCompressor(level=1), 0
+                for part in _chained(first, rest):
+                    ids, lengths = bpe.encode(part.column(1).to_pylist())
+                    keys.append(part.column(0).to_numpy())
                     sizes.append(lengths + 1)
                     ids = _with_end(ids, lengths, end_id)
                     seen = np.bincount(ids, minlength=len(counts))
                     seen[: len(counts)] += counts
-                    counts, n_ids = seen, n_ids + len(ids)
+                    counts = seen
                     raw = ids.astype("<u2" if ids.max(initial=0) < 65536 else "<u4")
                     z = packer.compress(raw.tobytes())
                     out.write(struct.pack(SPOOL, len(z) << 1 | (raw.itemsize == 4)) + z)
-            out.write(struct.pack(SPOOL, 0))
-            for a, kind in ((keys, "<i8"), (sizes, "<i8")):
-                z = zlib.compress(np.concatenate([*a, np.zeros(0, np.int64)]).astype(kind).tobytes(), 1)
-                out.write(struct.pack(SPOOL, len(z)) + z)
-
-        first = next(batches, None)
-        if first is None:
-            return
-        batches = _chained(first, batches)
-        common.publish(f"{uri}/spool/{part:06d}", write)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64())], names=["id", "n", "part", "docs"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([n_ids]), pa.array([part], pa.int64()), pa.array([sum(map(len, keys))], pa.int64())], names=["id", "n", "part", "docs"])
-
-    told = common.stash(rows.mapInArrow(spool, "id long, n long, part long, docs long").groupBy("id", "part").agg(F.sum("n").alias("n"), F.max("docs").alias("docs")), f"{uri}/told")
+                    held += part.column(1).nbytes
+                    if held >= FILE_BYTES:
+                        break
+                out.write(struct.pack(SPOOL, 0))
+                for a in (keys, sizes):
+                    z = zlib.compress(np.concatenate([*a, np.zeros(0, np.int64)]).astype("<i8").tobytes(), 1)
+                    out.write(struct.pack(SPOOL, len(z)) + z)
+
+            name = f"{task.partitionId():06d}-{k:06d}-{task.taskAttemptId()}"
+            common.publish(f"{uri}/spool/{name}", write)
+            if len(counts) > len(total):
+                total = np.concatenate([total, np.zeros(len(counts) - len(total), np.int64)])
+            total[: len(counts)] += counts
+            k += 1
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([name]), pa.array([sum(map(len, keys))], pa.int64())], names=["id", "n", "part", "docs"])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64()), pa.nulls(len(used), pa.string()), pa.nulls(len(used), pa.int64())], names=["id", "n", "part", "docs"])
+
+    told = common.stash(rows.mapInArrow(spool, "id long, n long, part string, docs long"), f"{uri}/told")  # the committed attempts' files
+    told = told.groupBy("id", "part").agg(F.sum("n").alias("n"), F.max("docs").alias("docs"))
     found = told.toPandas()  # a row for each id of the vocabulary that occurs, and for each file
     by_id = found[found["id"].notna()]
     counts = np.zeros(int(by_id["id"].max()) + 1 if len(by_id) else 0, np.int64)
     counts[by_id["id"].astype(int)] = by_id["n"]
     sizes = spark.sparkContext.broadcast(code_lengths(counts))
     files = found[found["part"].notna()].sort_values("part")
-    manifest = [(f"{uri}/ids/{int(p):06d}.lshf", f"{uri}/spool/{int(p):06d}", int(d), int(m)) for p, d, m in zip(files["part"], files["docs"], files["n"], strict=True)]
+    manifest = [(f"{uri}/ids/{p}.lshf", f"{uri}/spool/{p}", int(d), int(m)) for p, d, m in zip(files["part"], files["docs"], files["n"], strict=True)]
 
     def encode(batches):
         import pyarrow as pa
@@ -308,7 +326,7 @@ def write_tokens(df: DataFrame, spec: str, uri: str, end_id: int = 2, key: str =
                 yield pa.RecordBatch.from_arrays([pa.array([target])], names=["file"])
 
     if manifest:
-        spark.createDataFrame(manifest, "file string, spool string, docs long, ids long").repartition(len(manifest), "file").mapInArrow(encode, "file string").agg(F.count("*")).collect()
+        spark.createDataFrame(manifest, "file string, spool string, docs long, ids long").repartition(len(manifest)).mapInArrow(encode, "file string").agg(F.count("*")).collect()
     starts = np.cumsum([0, *(m[3] for m in manifest)]).tolist()
     return spark.createDataFrame([(m[0], s, m[2], m[3]) for m, s in zip(manifest, starts, strict=False)], "file string, first long, docs long, ids long")
 
@@ -319,7 +337,7 @@ def _chained(first, rest):
 
 
 def _transcode(f, out, code_sizes) -> None:
-    """A spool file to a token file. The codes are held in memory: a range of documents, as large as a task's share."""
+    """A spool file to a token file. The codes are held in memory: those of FILE_BYTES of text, or of one longer text."""
     import zstandard
 
     opener = zstandard.ZstdDecompressor()
@@ -383,8 +401,7 @@ def read_tokens(manifest: DataFrame, key: str = "doc_id", keep_ids: bool = False
 
     schema = "k long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
     files = manifest.select("file", "first")
-    n = files.sparkSession.sparkContext.defaultParallelism
-    found = files.repartition(max(1, n * 4), "file").mapInArrow(work, schema)
+    found = files.repartition(min(max(1, files.count()), READERS)).mapInArrow(work, schema)
     return found.withColumn("k", F.when(F.col("k") != F.lit(-(2**63)), F.col("k"))).withColumnRenamed("k", key)
 
 

@@ -4,11 +4,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lodestrata.llm import bpe_trie, token_store
+from lodestrata.llm import bpe_trie, segment, token_store
 
 BYTE, WORD = (open(public_tokenizers.path(n), encoding="utf-8").read() for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 T3, T6 = Tokenizer.from_str(BYTE), Tokenizer.from_str(WORD)
@@ -71,7 +72,7 @@ def test_length_limit_and_optimum():
 
 def expected(rows, end=2):
     start, out = 0, []
-    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), seed=42)).astype(np.int64), r[1] or "")):
         ids = [*T3.encode(text or "", add_special_tokens=False).ids, end]
         out.append((key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -86,6 +87,49 @@ def test_files_round_trip(odd_docs, uri):
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in ids)
 
 
+def test_files_are_rolled_and_a_common_key_is_split(spark, uri, monkeypatch):
+    monkeypatch.setattr(token_store, "FILE_BYTES", 2_000)
+    rows = [(7 if i % 2 else i, f"the bus {i} width of a card " * 20) for i in range(120)] + [(None, "x")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        manifest = token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), BYTE, uri("tokens"))
+        assert manifest.count() > 8
+        assert sorted((tuple(r) for r in token_store.read_tokens(manifest).collect()), key=lambda r: r[1]) == expected(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_colliding_hashes_give_right_ids(monkeypatch):
+    """Pieces whose hashes are equal are told apart by their characters."""
+    whole = segment._hashes
+    monkeypatch.setattr(segment, "_hashes", lambda *a: whole(*a) % np.uint64(5))
+    texts = ["the bus width of a card is 8 bits", "cards and buses, widths", "the the bus"]
+    bpe, cache = bpe_trie.TrieBpe(WORD), segment.PieceCache()
+    for _ in range(2):
+        for t, (ids, _) in zip(texts, bpe_trie.encode_texts(bpe, cache, texts), strict=True):
+            assert ids.tolist() == T6.encode(t, add_special_tokens=False).ids
+    byte = token_store.ByteBpe(BYTE)
+    for _ in range(2):
+        assert byte.encode(texts)[0].tolist() == [i for t in texts for i in T3.encode(t, add_special_tokens=False).ids]
+
+
+def test_long_words_lines_and_scripts():
+    rng = np.random.default_rng(3)
+    word = "".join(rng.choice(list("abcdefgh"), 300_000))
+    texts = [word, "word and " * 300_000, "日本語" * 20_000, word[:70] + " " + word[:64] + " " + word[:65]]
+    check_trie(texts)
+    check_byte(texts)
+
+
+def test_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(segment, "WINDOW", 7)
+    cache, bpe = segment.PieceCache(most=20, most_chars=100), bpe_trie.TrieBpe(WORD)
+    for k in range(6):
+        texts = [f"w{k}x{i} and the longerword{i}" for i in range(9)]
+        for t, (ids, _) in zip(texts, bpe_trie.encode_texts(bpe, cache, texts), strict=True):
+            assert ids.tolist() == T6.encode(t, add_special_tokens=False).ids
+
+
 def test_range_read(spark, uri, tmp_path):
     docs = spark.createDataFrame([(i, "the bus width of a card " * i) for i in range(60)], "doc_id long, text string")
     manifest = token_store.write_tokens(docs, BYTE, uri("tokens"))
