@@ -28,8 +28,12 @@ from . import common
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 26, 5
 SIZE = BANDS * ROWS
-#: so many digests (16 bytes each) are sent to all tasks at most; more are joined by a shuffle
-BROADCAST_ROWS = 500_000
+#: so many digests (about 50 bytes each as a broadcast table, so 10 MB) are sent to all tasks at most; more are joined by a shuffle
+BROADCAST_ROWS = 200_000
+#: bytes or words whose wide arrays are in memory at a time
+WINDOW = 1 << 19
+#: rows of a bucket for each copy of its leader's text
+SPREAD = 4_096
 U = np.uint64
 
 
@@ -48,36 +52,56 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, end) of the words of raw, which ends in a blank. A window at a time, whatever the length of a word."""
+    hashes, ends, carried, begun = [], [], np.zeros(1, U), 0
+    for a in range(0, len(raw), WINDOW):
+        part = raw[a : a + WINDOW]
+        blank = part == 32
+        stop = np.flatnonzero(blank)
+        # the place of each byte within its word, which may have begun before the window
+        start = np.concatenate([[begun], stop + a + 1])
+        lengths = np.diff(np.concatenate([[0], stop + 1, [len(part)]]))
+        place = np.arange(a, a + len(part)) - np.repeat(start, lengths)
+        mixed = _mix((part.astype(U) << U(40)) + place.astype(U) + U(0x9E3779B97F4A7C15))
+        mixed[blank] = 0
+        total = np.concatenate([np.zeros(1, U), np.cumsum(mixed, dtype=U)])
+        sums = total[stop] - total[start[:-1].clip(a) - a]
+        if len(stop):
+            sums[:1] += carried
+            begun = int(start[-1])
+            carried = total[-1:] - total[begun - a : begun - a + 1]
+        else:
+            carried = carried + total[-1:]
+        real = stop + a > start[:-1]
+        hashes.append(_mix(sums[real]))
+        ends.append(stop[real] + a)
+    return np.concatenate(hashes), np.concatenate(ends)
+
+
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of all shingles, number of shingles of each text). Fewer words than five make one shingle; none, none."""
     raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     if not len(raw):
         return np.zeros(0, U), np.zeros(len(texts), np.int64)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    blank = raw == 32
-    ends = np.flatnonzero(blank)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    at = np.arange(len(raw), dtype=U)
-    place = at - np.repeat(starts, ends - starts + 1).astype(U)
-    mixed = _mix((raw.astype(U) << U(40)) + place + U(0x9E3779B97F4A7C15))
-    mixed[blank] = 0
-    total = np.concatenate([np.zeros(1, U), np.cumsum(mixed, dtype=U)])
-    word = _mix(total[ends] - total[starts])
-    text_ends = np.cumsum(sizes + 1)
-    doc = np.searchsorted(text_ends, starts, "right")
-    real = ends > starts
-    word, doc = word[real], doc[real]
+    word, ends = _words(raw)
+    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), ends, "left")
     n_words = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(n_words) - n_words
-    # the words of a shingle, mixed with their places; a text of fewer words has those alone
     padded = np.concatenate([word, np.zeros(WORDS, U)])
-    place_in = np.arange(len(word)) - first[doc]
-    out = np.zeros(len(word), U)
-    for k in range(WORDS):
-        inside = place_in + k < n_words[doc]
-        out += np.where(inside, _mix(padded[k : k + len(word)] + U((k + 1) * 0xD6E8FEB86659FD93 % 2**64)), U(0))
-    keep = (place_in + WORDS <= n_words[doc]) | (place_in == 0)
-    return _mix(out[keep]), np.bincount(doc[keep], minlength=len(texts))
+    out, n_shingles = [], np.zeros(len(texts), np.int64)
+    for a in range(0, len(word), WINDOW):
+        own = doc[a : a + WINDOW]
+        place_in = np.arange(a, a + len(own)) - first[own]
+        # the words of a shingle, mixed with their places; a text of fewer words has those alone
+        part = np.zeros(len(own), U)
+        for k in range(WORDS):
+            inside = place_in + k < n_words[own]
+            part += np.where(inside, _mix(padded[a + k : a + k + len(own)] + U((k + 1) * 0xD6E8FEB86659FD93 % 2**64)), U(0))
+        keep = (place_in + WORDS <= n_words[own]) | (place_in == 0)
+        out.append(_mix(part[keep]))
+        n_shingles += np.bincount(own[keep], minlength=len(texts))
+    return np.concatenate([*out, np.zeros(0, U)]), n_shingles
 
 
 def bags(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,10 +246,13 @@ def components(edges: DataFrame, uri: str) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, s) with the similarity of the two texts of each pair."""
+    """(a, b, s) with the similarity of the two texts of each pair. pairs: a, b and copies, the number of copies of a's text that its pairs
+    are dealt out over."""
     left = texts.select(F.col("node").alias("a"), F.col("norm").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("norm").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_similarity, "a binary, b binary, s double")
+    dealt = pairs.withColumn("copy", F.pmod(F.xxhash64("b"), "copies").cast("int"))
+    heads = pairs.select("a", "copies").distinct().join(left, "a").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return dealt.join(right, "b").join(heads, ["a", "copies", "copy"]).select("a", "b", "x", "y").mapInArrow(_similarity, "a binary, b binary, s double")
 
 
 def _texts(base: DataFrame, nodes: DataFrame, uri: str) -> DataFrame:
@@ -300,8 +327,8 @@ def _classes(docs: DataFrame, uri: str, key: str, text: str, similar: float) ->
     # the leader is the text that meets most others, which is near the middle of its copies
     met = shared.groupBy("node").agg(F.sum("m").alias("met"))
     leaders = shared.join(met, "node").groupBy("band").agg(F.max_by("node", F.struct("met", "node")).alias("leader"))
-    held = common.stash(shared.join(leaders, "band").select("band", "node", "n", "leader"), f"{uri}/held")
-    star = held.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    held = common.stash(shared.join(leaders, "band").select("band", "node", "n", "leader", "m"), f"{uri}/held")
+    star = held.filter("node != leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg((F.max("m") / SPREAD + 1).cast("int").alias("copies"))
     star = common.stash(star, f"{uri}/star")
     texts = _texts(base, held.select("node").distinct(), f"{uri}/texts")
     seen = common.stash(_verify(star, texts), f"{uri}/seen")
@@ -317,7 +344,7 @@ def _classes(docs: DataFrame, uri: str, key: str, text: str, similar: float) ->
     left = common.stash(left, f"{uri}/left")
     pairs = _sharing_prefix(left, texts, similar, uri)
     pairs = pairs.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = common.stash(_verify(common.stash(pairs, f"{uri}/pairs"), texts).filter(F.col("s") >= similar), f"{uri}/more")
+    more = common.stash(_verify(common.stash(pairs.withColumn("copies", F.lit(1)), f"{uri}/pairs"), texts).filter(F.col("s") >= similar), f"{uri}/more")
     links = linked.unionByName(more)
     if more.limit(1).count():
         labels = components(links, f"{uri}/cc2")

@@ -179,7 +179,10 @@ def deduplicate(docs: DataFrame, uri: str, history: Column | None = None, key: s
 
 
 def keep_one(docs: DataFrame, uri: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns."""
-    mark = "__digest"
-    keep = deduplicate(docs, uri, None, key, text).filter("kept").select(F.unhex("text_sha256").alias(mark), F.col("keep_id").alias("__keep")).distinct()
-    return docs.withColumn(mark, digest(text)).join(keep, mark).filter(F.col(key).cast("long").eqNullSafe(F.col("__keep"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, all columns.
+
+    Texts meet the winners by digest and key together, which a large group's texts are spread over. docs must not have
+    columns that begin with two underscores.
+    """
+    keep = deduplicate(docs, uri, None, key, text).filter("kept").select(F.unhex("text_sha256").alias("__digest"), F.col("keep_id").alias("__keep")).distinct()
+    return docs.join(keep, (digest(text) == F.col("__digest")) & F.col(key).cast("long").eqNullSafe(F.col("__keep")), "left_semi")

@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from . import common
 
 ROUNDS = 10
+#: characters that one permutation covers at most
+CHARS = 256
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
@@ -60,7 +62,9 @@ def permute(key: bytes, kind: str, x: int, size: int, allowed=None, back: bool =
 
 
 def permute_chars(key: bytes, kind: str, s: str, back: bool = False) -> str:
-    """Letters and digits of s within their class; the rest stays."""
+    """Letters and digits of s within their class; the rest stays. Parts of CHARS characters are permuted each by itself."""
+    if len(s) > CHARS:
+        return "".join(permute_chars(key, f"{kind}+{a}" if a else kind, s[a : a + CHARS], back) for a in range(0, len(s), CHARS))
     classes = [next((c for c in (LOWER, UPPER, DIGITS) if ch in c), None) for ch in s]
     size = 1
     for c in classes:
@@ -196,12 +200,15 @@ def _token(key, m):
     return s[:n] + permute_chars(key, "token", s[n:])
 
 
+# How tokens begin.
+PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "sk-", "sk_live_", "pk_live_", "xoxa-", "xoxb-", "xoxp-", "AIza"]
+
 MONTH = "|".join(f"{m}|{m[:3]}\\.?" for m in MONTHS)
 #: kind -> (pattern, replacement); the first that matches at a place wins.
 KINDS = {
     "secret": (r"(?P<label>\b(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|token)[ \t]*[=:][ \t]*[\"']?)(?P<value>[A-Za-z0-9_+/=.-]{6,})", _secret),
-    "token": (r"\b(?P<prefix>AKIA|ASIA|ghp_|gho_|ghs_|sk-|sk_live_|pk_live_|xox[abp]-|AIza)[A-Za-z0-9_-]{16,}", _token),
-    "email": (r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", _email),
+    "token": (rf"\b(?P<prefix>{"|".join(PREFIXES)})[A-Za-z0-9_-]{{16,}}", _token),
+    "email": (r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", _email),
     "iban": (r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b", _iban),
     "date_iso": (r"(?<![\d-])(?P<y1>\d{4})-(?P<m1>\d{2})-(?P<d1>\d{2})(?![\d-])", _date("y1", "m1", "d1", lambda m, x: x.isoformat())),
     "date_dmy": (r"(?<![\d/.])(?P<d2>\d{2})(?P<sep>[/.])(?P<m2>\d{2})(?P=sep)(?P<y2>(?:19|20)\d{2})(?![\d/])", _date("y2", "m2", "d2", lambda m, x: f"{x.day:02d}{m.group('sep')}{x.month:02d}{m.group('sep')}{x.year}")),
@@ -213,19 +220,26 @@ KINDS = {
     "phone": (r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-]|\.\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?![\w-])", _phone),
 }
 PATTERN = "|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items())
-#: Every kind has one of these characters, and none crosses a line's end: other lines are not scanned.
+#: Every kind has one of these characters, or begins as a token does, and none crosses a line's end: other lines are not scanned.
 HINT = r"[0-9@=:]"
 _SCAN, _HINT, _SKIP = re.compile(PATTERN), re.compile(HINT), re.compile(r"\w+|.", re.S)
+_KINDS = {kind: re.compile(pattern) for kind, (pattern, _) in KINDS.items()}
+_HINT_TOKEN = re.compile("|".join([HINT, *map(re.escape, PREFIXES)]))
 
 
 def _shorter_card(m, key: bytes):
     """(match, pseudonym) of the longest card that ends at a separator within m; a date or security code may follow it."""
-    pattern = re.compile(KINDS["card"][0])
-    for cut in range(m.end() - 1, m.start() + 12, -1):
-        if m.string[cut] in " -" and (shorter := pattern.match(m.string, m.start(), cut)) and shorter.end() == cut:
-            new = _card(key, shorter)
-            if new is not None:
-                return shorter, new
+    shown = m.group()
+    digits = _digits(shown)
+    n = len(digits)
+    for at in range(len(shown) - 1, 12, -1):
+        if shown[at] not in DIGITS:
+            if 13 <= n <= 19 and not luhn(digits[:n]) and (shorter := _KINDS["card"].match(m.string, m.start(), m.start() + at)) and shorter.end() == m.start() + at:
+                new = _card(key, shorter)
+                if new is not None:
+                    return shorter, new
+        else:
+            n -= 1
     return None, None
 
 
@@ -235,8 +249,8 @@ def _replace(text: str, start: int, end: int, key: bytes):
     if m is None:
         return None
     # where the check of the kind that matched fails, another may still match at this place
-    for kind, (pattern, make) in KINDS.items():
-        m2 = m if m.group(kind) is not None else re.compile(pattern).match(text, m.start(), end)
+    for kind, (_, make) in KINDS.items():
+        m2 = m if m.group(kind) is not None else _KINDS[kind].match(text, m.start(), end)
         new = make(key, m2) if m2 else None
         if new is None and m2 and kind == "card":
             m2, new = _shorter_card(m2, key)
@@ -248,7 +262,8 @@ def _replace(text: str, start: int, end: int, key: bytes):
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int, str]]]:
     """(text with pseudonyms, [(kind, start, end in the original, pseudonym)])."""
     out, found, at, pos = [], [], 0, 0
-    while (hint := _HINT.search(text, pos)) is not None:
+    hints = _HINT_TOKEN if any(p in text for p in PREFIXES) else _HINT
+    while (hint := hints.search(text, pos)) is not None:
         start = max(pos, text.rfind("\n", pos, hint.start()) + 1)
         end = text.find("\n", hint.start())
         end = len(text) if end < 0 else end
