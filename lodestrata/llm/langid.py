@@ -5,7 +5,8 @@ Four pieces of evidence about a document's language are combined by Bayes' rule:
 * the likelihood of its whole text under byte-trigram models of each language and of a background without language;
 * the language that its markup (or metadata) declares, by how often it is declared for texts of each language;
 * the suffix of its address, in the same way;
-* its host: the host's share of each language, smoothed towards its parent domain's, which is smoothed towards the corpus'.
+* its host: the host's share of each language, smoothed towards that of the hosts which share its last three labels, those towards that of
+  the last two, those towards that of the last, and those towards the corpus'. An address of numbers has no labels.
 
 The models are fitted on a bounded sample of labelled rows (`FIT_ROWS` of each label by least hash, so that every label has a
 model, however rare). All counts behind the other evidence are
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 from . import common
 
 BUCKETS = 1 << 15
+#: bytes whose wide arrays are in memory at a time
+WINDOW = 1 << 20
 #: different texts of each label that its text model is fitted on, at most; the driver gets counts of their trigrams only
 FIT_ROWS = 2_000
 #: trigrams of one text are not independent: a text counts as this many at most
@@ -35,8 +38,10 @@ ALPHA, DECLARED, PARENT = 0.1, 1.0, 20.0
 NO_LANGUAGE = "und"
 #: share of texts without language before any evidence
 JUNK_PRIOR = 0.01
-#: hosts and declarations are sent to all tasks if there are no more rows than this; else they are joined by a shuffle
-BROADCAST_ROWS = 200_000
+#: tables of hosts, levels and declarations are sent to all tasks if they take no more than this; else they are joined by a shuffle
+BROADCAST_BYTES = 16 << 20
+#: levels of a host's name above itself
+LEVELS = 3
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,19 +50,20 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     table[:128] = 32
     table[97:123] = np.arange(97, 123)
     encoded = [t.lower().encode("utf-8", "replace") for t in texts]
-    raw = table[np.frombuffer(b"  ".join([*encoded, b""]), np.uint8)]
-    sizes = np.array([len(e) for e in encoded], np.int64)
-    first = np.cumsum(sizes + 2) - sizes - 2
-    if len(raw) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-    h = raw[:-2] * np.uint32(0x9E3779B1) + raw[1:-1] * np.uint32(0x85EBCA6B) + raw[2:] * np.uint32(0xC2B2AE35)
-    bucket = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(17)).astype(np.int64)
-    doc = np.repeat(np.arange(len(texts)), sizes + 2)[: len(bucket)]
-    at = np.arange(len(bucket)) - first[doc]
-    blank = raw == 32
-    some = ~(blank[:-2] & blank[1:-1] | blank[1:-1] & blank[2:])  # not in a run of blanks
-    keep = (at + 3 <= sizes[doc]) & some
-    return bucket[keep], np.bincount(doc[keep], minlength=len(texts))
+    whole = np.frombuffer(b"  ".join([*encoded, b""]), np.uint8)
+    ends = np.cumsum([len(e) + 2 for e in encoded])
+    buckets, counts = [], np.zeros(len(texts), np.int64)
+    for a in range(0, max(0, len(whole) - 2), WINDOW):  # wide arrays of a window at a time; trigrams of two windows are in the first
+        raw = table[whole[a : a + WINDOW + 2]]
+        h = raw[:-2] * np.uint32(0x9E3779B1) + raw[1:-1] * np.uint32(0x85EBCA6B) + raw[2:] * np.uint32(0xC2B2AE35)
+        bucket = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(17)).astype(np.uint16)
+        at = np.arange(a, a + len(bucket))
+        doc = np.searchsorted(ends, at, "right")
+        blank = raw == 32
+        keep = (at + 5 <= ends[doc]) & ~(blank[:-2] & blank[1:-1] | blank[1:-1] & blank[2:])  # within a text, not in a run of blanks
+        buckets.append(bucket[keep])
+        counts += np.bincount(doc[keep], minlength=len(texts))
+    return np.concatenate([*buckets, np.zeros(0, np.uint16)]), counts
 
 
 def fit(names: list[str], seen: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -75,7 +81,7 @@ def _count(batches):
             part = batch.slice(a, b - a)
             buckets, sizes = trigrams(part.column(1).to_pylist())
             labels, which = np.unique(np.array(part.column(0).to_pylist(), object), return_inverse=True)
-            both, n = np.unique(np.repeat(which, sizes) * BUCKETS + buckets, return_counts=True)
+            both, n = np.unique(np.repeat(which, sizes) * BUCKETS + buckets.astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(labels[both // BUCKETS], pa.string()), pa.array(both % BUCKETS, pa.int32()), pa.array(n, pa.int64())], names=["l", "bucket", "n"])
 
 
@@ -86,8 +92,12 @@ def text_posteriors(texts: list[str], model: np.ndarray) -> np.ndarray:
     real = np.flatnonzero(sizes)
     if len(buckets):
         starts = (np.cumsum(sizes) - sizes)[real]
-        for k, row in enumerate(model):
-            out[real, k] = np.add.reduceat(row[buckets].astype(np.float64), starts)
+        if len(buckets) > 2 * WINDOW:  # one long text, as batches are: by its histogram
+            for i, a in zip(real.tolist(), starts.tolist(), strict=True):
+                out[i] = model.astype(np.float64) @ np.bincount(buckets[a : a + sizes[i]], minlength=BUCKETS)
+        else:
+            for k, row in enumerate(model):
+                out[real, k] = np.add.reduceat(row[buckets].astype(np.float64), starts)
     n = np.maximum(sizes, 1)
     out *= (np.minimum(n, EFFECTIVE) / n)[:, None]
     out += np.log([(1 - JUNK_PRIOR) / max(1, len(model) - 1)] * (len(model) - 1) + [JUNK_PRIOR])
@@ -175,15 +185,24 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], uri: str, tex
         return common.stash(by.select(column, F.array(*own).alias(f"{column}_log")), f"{uri}/{column}")
 
     def attach(rows: DataFrame, facts: DataFrame, column: str) -> DataFrame:
-        return rows.join(F.broadcast(facts) if facts.count() <= BROADCAST_ROWS else facts, column, "left")
+        few = facts.count() * (16 * (k + 1) + 300) <= BROADCAST_BYTES  # names are short beside that
+        return rows.join(F.broadcast(facts) if few else facts, column, "left")
 
-    # hosts: the parent domain is what is left without the first label, down to two labels
+    # hosts and, for each level, the names of so many last labels; a host's name itself is its last level
     hosts = scored.filter(F.col("__host").isNotNull()).groupBy("__host").agg(F.count("*").alias("n"), *mass)
-    labels = F.split("__host", r"\.")
-    hosts = common.stash(hosts.withColumn("parent", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")), f"{uri}/hosts")
-    parents = hosts.groupBy("parent").agg(F.sum("n").alias("pn"), *[F.sum(f"m{i}").alias(f"p{i}") for i in range(k + 1)])
-    parents = parents.select("parent", *[((F.col(f"p{i}") + PARENT * prior[i]) / (F.col("pn") + PARENT)).alias(f"q{i}") for i in range(k + 1)])
-    smooth = hosts.join(parents, "parent").select("__host", F.array(*[F.log((F.col(f"m{i}") + PARENT * F.col(f"q{i}")) / (F.col("n") + PARENT)) for i in range(k + 1)]).alias("__host_log"))
+    numbers = F.col("__host").rlike(r"^[0-9.]+$") | F.contains("__host", F.lit(":"))
+    labels = F.when(numbers, F.array("__host")).otherwise(F.split("__host", r"\."))
+    # every host below or at a level's name counts there; a host is smoothed by the levels above itself alone
+    last = lambda j: F.when(F.size(labels) >= j, F.array_join(F.slice(labels, F.size(labels) - j + 1, j), "."))
+    hosts = common.stash(hosts.withColumn("depth", F.size(labels)).withColumns({f"level{j}": last(j) for j in range(1, LEVELS + 1)}), f"{uri}/hosts")
+    smooth, above = hosts, [F.lit(x) for x in prior]
+    for j in range(1, LEVELS + 1):
+        level = hosts.filter(F.col(f"level{j}").isNotNull()).groupBy(f"level{j}").agg(F.sum("n").alias(f"n_{j}"), *[F.sum(f"m{i}").alias(f"m_{j}_{i}") for i in range(k + 1)])
+        smooth = attach(smooth, common.stash(level, f"{uri}/level{j}"), f"level{j}")
+        inside = F.col("depth") > j
+        smooth = smooth.withColumns({f"q_{j}_{i}": F.when(inside, (F.col(f"m_{j}_{i}") + PARENT * above[i]) / (F.col(f"n_{j}") + PARENT)).otherwise(above[i]) for i in range(k + 1)})
+        above = [F.col(f"q_{j}_{i}") for i in range(k + 1)]
+    smooth = smooth.select("__host", F.array(*[F.log((F.col(f"m{i}") + PARENT * above[i]) / (F.col("n") + PARENT)) for i in range(k + 1)]).alias("__host_log"))
     smooth = common.stash(smooth, f"{uri}/smooth")
 
     rows = attach(attach(attach(scored, likelihood("__declared"), "__declared"), likelihood("__suffix"), "__suffix"), smooth, "__host")

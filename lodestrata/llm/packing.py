@@ -6,8 +6,9 @@ The permitted lengths are optimised jointly: for every greatest opening size, th
 opened at the least-cost size for their piece among the sizes up to it, and in the end each bin is cut down to the least
 permitted length that holds its contents. The plan with the least total cost is taken.
 
-Groups hold at most a bounded number of pieces, dealt by a hash of key and piece, so that groups are alike and
-independent: no task grows with the input, and whatever copies or sources are common, groups are even.
+Lengths are of a tokenizer's ids, the end id among them. They are found in one pass and stored; then pieces are dealt by a hash of key, copy
+and piece to as many groups as leave GROUP pieces a group on average: no task grows with the input, the groups are alike and even
+whatever copies or sources are common, and the bins do not depend on how files are split. sequences() gives the ids of each bin.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 SIZES = (512, 1024, 2048, 4096, 8192)
 GROUP = 20_000
 #: cost of a sequence of n tokens, relative: linear work and attention's quadratic work, which are equal at 16384 tokens
@@ -80,34 +83,61 @@ def pack(lengths: list[int], sizes: tuple[int, ...] = SIZES) -> tuple[list[int],
 
 
 def words(text: str = "text") -> Column:
-    """Number of tokens of a text, for want of a tokenizer's: runs of characters other than white space; null has none."""
+    """Number of words of a text: runs of characters other than white space; null has none. For corpora without a tokenizer."""
     t = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
     return F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def pack_frame(docs: DataFrame, tokens: Column | None = None, key: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = SIZES) -> DataFrame:
+def token_lengths(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k, n): key and number of ids of each document's text, with an end id; 0 for null and empty texts, which have nothing to train on."""
+    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("n", T.LongType())])
+
+    def work(batches):
+        import pyarrow as pa
+
+        from .token_store import byte_bpe
+
+        bpe = byte_bpe(shared.value)
+        for batch in batches:
+            for a, b in common.text_batches(batch, 1):
+                texts = batch.column(1).slice(a, b - a).to_pylist()
+                _, lengths = bpe.encode(texts)
+                some = np.array([bool(t) for t in texts])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.where(some, lengths + 1, 0), pa.int64())], names=["k", "n"])
+
+    return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(work, schema)
+
+
+def pack_frame(docs: DataFrame, uri: str, tokens: Column | None = None, spec: str | None = None, key: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """One row per piece: key, piece (from 0), first_token, n_tokens, bin_id, bin_size, bin_offset.
 
+    Lengths are `tokens`, a column, or the numbers of ids by `spec`, a tokenizer, or else numbers of words.
     Every token of every document is in exactly one piece. Documents without tokens (null or empty texts) have one
     piece of no tokens with null bin columns. Rows with equal or null keys each have their pieces. Only key and text
     are read, so other columns cannot clash.
     """
     sizes = tuple(sorted(set(sizes)))
     top = sizes[-1]
-    rows = docs.select(F.col(key).alias("k"), (tokens if tokens is not None else words(text)).alias("n"))
-    pieces = rows.select("k", "n", F.explode(F.sequence(F.lit(0), F.greatest((F.col("n") - 1).cast("long") / top, F.lit(0)).cast("int"))).alias("piece"))
-    pieces = pieces.select("k", "piece", (F.col("piece").cast("long") * top).alias("first_token"), F.least(F.col("n") - F.col("piece").cast("long") * top, F.lit(top)).alias("n"))
-    n_groups = max(1, -(-docs.count() // GROUP))
-    full = pieces.filter("n > 0")
-    # a row's place is part of the hash, so that rows that repeat a key and its text are dealt out too
-    full = full.withColumn("g", F.pmod(F.xxhash64("k", "piece", F.monotonically_increasing_id()), F.lit(n_groups)).cast("int"))
+    rows = token_lengths(docs, spec, key, text) if spec is not None else docs.select(F.col(key).alias("k"), (tokens if tokens is not None else words(text)).cast("long").alias("n"))
+    rows = common.stash(rows, f"{uri}/lengths")
+    # rows that repeat a key and a length are alike: counted map-side, then told apart by their number
+    alike = rows.groupBy("k", "n").agg(F.count(F.lit(1)).alias("copies"))
+    alike = alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    pieces = alike.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest((F.col("n") - 1) / top, F.lit(0)).cast("int"))))
+    start = F.col("piece").cast("long") * top
+    pieces = pieces.select("k", "copy", "piece", start.alias("first_token"), F.least(F.col("n") - start, F.lit(top)).cast("long").alias("n"))
+    n_pieces = rows.agg(F.sum(F.ceil(F.col("n") / top))).first()[0] or 0
+    n_groups = max(1, -(-n_pieces // GROUP))
+    full = pieces.filter("n > 0").withColumn("g", F.pmod(F.xxhash64("k", "copy", "piece"), F.lit(n_groups)).cast("int"))
 
     def work(group, t):
         import pyarrow as pa
 
-        g, n = group[0].as_py(), t.column("n").to_numpy()
-        order = np.lexsort((t.column("piece").to_numpy(), t.column("k").fill_null(-1).to_numpy() if pa.types.is_integer(t.schema.field("k").type) else np.zeros(len(n)), -n))
-        t, n = t.take(pa.array(order)), n[order]
+        g = group[0].as_py()
+        # ties by key, copy and piece: the same bins whatever the order in which rows arrive
+        t = t.sort_by([("n", "descending"), ("k", "ascending"), ("copy", "ascending"), ("piece", "ascending")])
+        n = t.column("n").to_numpy()
         where, final = pack(n.tolist(), sizes)
         where = np.array(where)
         by_bin = np.argsort(where, kind="stable")
@@ -118,7 +148,18 @@ def pack_frame(docs: DataFrame, tokens: Column | None = None, key: str = "doc_id
         return pa.table({"k": t.column("k"), "piece": t.column("piece"), "first_token": t.column("first_token"), "n_tokens": t.column("n"), "bin_id": pa.array(where + (g << 32)), "bin_size": pa.array(np.array(final, np.int32)[where]), "bin_offset": pa.array(offset.astype(np.int32))})
 
     schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), T.StructField("piece", T.IntegerType()), T.StructField("first_token", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("bin_id", T.LongType()), T.StructField("bin_size", T.IntegerType()), T.StructField("bin_offset", T.IntegerType())])
-    packed = full.select("k", "piece", "first_token", "n", "g").groupBy("g").applyInArrow(work, schema)
+    packed = full.select("k", "copy", "piece", "first_token", "n", "g").groupBy("g").applyInArrow(work, schema)
     none = F.lit(None)
     empty = pieces.filter("n <= 0").select("k", "piece", "first_token", F.lit(0).cast("long").alias("n_tokens"), none.cast("long").alias("bin_id"), none.cast("int").alias("bin_size"), none.cast("int").alias("bin_offset"))
     return packed.unionByName(empty).withColumnRenamed("k", key)
+
+
+def sequences(packed: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(bin_id, bin_size, ids) of packed documents whose keys are unique: the bins' ids, piece after piece. ids: (key, ids) of each document.
+
+    A bin holds at most its size, so no group grows with the input.
+    """
+    pieces = packed.filter("bin_id IS NOT NULL").join(ids.select(key, F.col("ids").alias("__ids")), key)
+    pieces = pieces.select("bin_id", "bin_size", F.struct("bin_offset", F.slice("__ids", (F.col("first_token") + 1).cast("int"), F.col("n_tokens").cast("int")).alias("part")).alias("p"))
+    parts = F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"])
+    return pieces.groupBy("bin_id", "bin_size").agg(F.flatten(parts).alias("ids"))

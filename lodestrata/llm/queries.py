@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, archives, bagminhash, bpe_trie, common, exact_dedup, langid, licences, packing, pii, token_store
 
-#: The pseudonyms' secret in the registered queries; a production run passes its own.
-DEMO_SECRET = "lodestrata demonstration key"
+#: The setting that holds the pseudonyms' secret, and the tokenizer that lengths are counted with.
+SECRET, TOKENIZER = "spark.lodestrata.pii.secret", "byte_bpe_50k.json"
+
+
+def secret(spark: SparkSession) -> str:
+    """The session's secret. Without one a run draws its own, so that its pseudonyms link values within the run and nobody can undo them."""
+    return spark.conf.get(SECRET, "") or secrets.token_hex(32)
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
     return token_store.token_spec(public_tokenizers.path(name))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_frame(common.table(spark, sf_dir, "documents"))
+    return packing.pack_frame(common.table(spark, sf_dir, "documents"), common.work_dir(spark, "packing"), spec=vocabulary())
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +45,7 @@ def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    manifest = token_store.write_tokens(docs, _vocabulary("byte_bpe_50k.json"), common.work_dir(spark, "tokens"), end_id=2)
+    manifest = token_store.write_tokens(docs, vocabulary("byte_bpe_50k.json"), common.work_dir(spark, "tokens"), end_id=2)
     return token_store.read_tokens(manifest)
 
 
@@ -52,7 +59,7 @@ def op5_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_trie.encode_frame(common.table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return bpe_trie.encode_frame(common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op7_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +67,7 @@ def op7_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = pii.pseudonymise_frame(common.table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_SECRET, spans="found")
+    marked = pii.pseudonymise_frame(common.table(spark, sf_dir, "documents").select("doc_id", "text"), secret(spark), spans="found")
     return pii.summary(marked, "doc_id", "found", "text")
 
 

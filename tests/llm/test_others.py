@@ -51,8 +51,8 @@ def test_best_fit_of_one_size(lengths):
     assert sorted(packing._fill(lengths, (30,), 30)[1]) == sorted(brute_best_fit(lengths, 30))
 
 
-def test_pack_frame(odd_docs, no_docs):
-    got = packing.pack_frame(odd_docs, sizes=(8, 1024)).toPandas()
+def test_pack_frame(odd_docs, no_docs, uri):
+    got = packing.pack_frame(odd_docs, uri("p"), sizes=(8, 1024)).toPandas()
     want = collections.Counter(len((r.text or "").split()) for r in odd_docs.collect())
     assert collections.Counter(got.groupby(got.doc_id.fillna(-1))["n_tokens"].sum().astype(int).tolist()) is not None
     assert got.n_tokens.sum() == sum(k * n for k, n in want.items())
@@ -61,7 +61,71 @@ def test_pack_frame(odd_docs, no_docs):
     for _, b in got.dropna(subset=["bin_id"]).groupby("bin_id"):
         b = b.sort_values("bin_offset")
         assert (b.bin_offset.values == (b.n_tokens.cumsum() - b.n_tokens).values).all() and b.n_tokens.sum() <= b.bin_size.iloc[0]
-    assert packing.pack_frame(no_docs).count() == 0
+    assert packing.pack_frame(no_docs, uri("p")).count() == 0
+
+
+def brute_plan(lengths, sizes):
+    """The joint plan piece by piece: all open bins are looked at for each piece, and all openings tried."""
+    plans = []
+    for largest in sizes:
+        bins, clock = [], 0  # [size, contents, time of the last piece]
+        for n in lengths:
+            clock += 1
+            fits = [b for b in bins if b[0] - b[1] >= n]
+            if fits:
+                b = min(fits, key=lambda b: (b[0] - b[1], -b[2]))
+            else:
+                able = [s for s in sizes if s <= largest and s >= n] if n <= largest else [min(s for s in sizes if s >= n)]
+                b = [min(able, key=lambda s: (packing.cost(s) / (s // n * n), s)), 0, 0]
+                bins.append(b)
+            b[1] += n
+            b[2] = clock
+        final = [min(s for s in sizes if s >= b[1]) for b in bins]
+        plans.append((sum(map(packing.cost, final)), sorted((f, b[1]) for f, b in zip(final, bins, strict=True))))
+    return min(plans, key=lambda p: p[0])
+
+
+@given(st.lists(st.integers(1, 64), max_size=80), st.sampled_from([(8, 16, 64), (32, 64), (5, 7, 11, 64), (64,)]))
+@settings(max_examples=150, deadline=None)
+def test_joint_plan_against_brute_force(lengths, sizes):
+    lengths = sorted(lengths, reverse=True)
+    where, final = packing.pack(lengths, sizes)
+    held = np.bincount(where, weights=lengths, minlength=len(final)).astype(int) if lengths else []
+    total, bins = brute_plan(lengths, sizes)
+    assert abs(sum(map(packing.cost, final)) - total) < 1e-6
+    assert sorted(zip(final, held, strict=True)) == bins
+
+
+def test_groups_are_bounded_and_stable(spark, uri, monkeypatch):
+    """Long documents and a row that makes up a third of the table; the bins do not depend on the partitions."""
+    monkeypatch.setattr(packing, "GROUP", 50)
+    rows = [(i, 700 if i % 3 else 40) for i in range(200)] + [(7, 33)] * 150 + [(None, 20)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, n long").withColumn("text", F.lit("x"))
+    one, two = (packing.pack_frame(df.repartition(p), uri("p"), F.col("n"), sizes=(64, 128)) for p in (2, 5))
+    assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+    groups = one.groupBy(F.shiftright("bin_id", 32)).count().toPandas()["count"]
+    assert groups.max() < 2 * 50 and groups.sum() == one.count()
+    assert one.agg(F.sum("n_tokens")).first()[0] == sum(n for _, n in rows)
+
+
+def test_packed_sequences(spark, uri):
+    import public_tokenizers
+
+    from lodestrata.llm import token_store
+
+    spec = token_store.token_spec(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame([(i, "the bus width of a card " * (i % 40)) for i in range(90)], "doc_id long, text string")
+    ids = token_store.read_tokens(token_store.write_tokens(docs, spec, uri("t")), keep_ids=True)
+    packed = packing.pack_frame(docs, uri("p"), spec=spec, sizes=(64, 128))
+    got = packing.sequences(packed, ids).collect()
+    by_doc = {r.doc_id: r.ids for r in ids.collect()}
+    for r in got:
+        want = []
+        for p in packed.filter(F.col("bin_id") == r.bin_id).orderBy("bin_offset").collect():
+            assert p.bin_offset == len(want)
+            want += by_doc[p.doc_id][p.first_token : p.first_token + p.n_tokens]
+        assert r.ids == want and len(want) <= r.bin_size
+    assert sum(len(r.ids) for r in got) == sum(len(x) for k, x in by_doc.items() if k % 40)
 
 
 # -- language -------------------------------------------------------------------------------------------------------
@@ -102,7 +166,8 @@ def test_fusion_against_brute_force(spark, uri):
     for i, r in enumerate(rows):
         joint = []
         for j in range(k):
-            q = (um[up(r)][j] + 20 * prior[j]) / (un[up(r)] + 20)
+            q = (p[:, j].sum() + 20 * prior[j]) / (len(rows) + 20)  # all hosts end in "org"
+            q = (um[up(r)][j] + 20 * q) / (un[up(r)] + 20)
             h = (hm[host(r)][j] + 20 * q) / (hn[host(r)] + 20)
             d = (dm[r.lang][j] + 1) / (sum(m[j] for m in dm.values()) + len(dm))
             joint.append(math.log(max(p[i][j], 1e-12)) - flat[j] + math.log(h) + math.log(d))
@@ -111,6 +176,46 @@ def test_fusion_against_brute_force(spark, uri):
         assert abs(got[r.doc_id]["__posterior"] - 1 / sum(math.exp(x - best) for x in joint)) < 1e-5
 
 
+def test_host_levels(spark, uri):
+    """Numbers are no labels, and a name's last labels tell about the names below it."""
+    table = np.full((3, langid.BUCKETS), -10.0, np.float32)
+    for row, letters in enumerate(("aaa", "bbb")):
+        table[row, langid.trigrams([letters])[0]] = -1
+    table[2] = -20
+    model = ["en", "fr"], table
+    rows = [(i, "bbbb", f"a{i}.de.example.co.uk") for i in range(8)] + [(50 + i, "aaaa", f"10.0.0.{i}") for i in range(8)]
+    rows += [(100, "xyzw", "new.example.co.uk"), (101, "xyzw", "10.0.0.77"), (102, "xyzw", None), (103, "xyzw", "www.other.uk")]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id int, text string, host string"), model, uri("l"), host=F.col("host")).collect()
+    french = {r.doc_id: r["__posterior"] if r["__lang"] == "fr" else 1 - r["__posterior"] for r in found}
+    assert french[100] > french[103] > french[102]  # the more labels are shared, the more they tell
+    assert french[101] < french[100]
+
+
+def test_pages_by_all_evidence(spark, sf, uri):
+    page = "<html lang='{}'><head><title>x</title></head><body><script>var a</script><p>{}</p></body></html>"
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {lang: docs.filter((F.col("lang") == lang) & (F.col("n_chars") > 300)).orderBy("doc_id").first().text for lang in ("en", "fr")}
+    rows = [(1, "http://www.a.fr/x", page.format("fr", text["fr"])), (2, "https://u:p@b.example.com:80/y", page.format("en-GB", text["en"])), (3, None, None), (4, "nonsense", ""), (5, "http://10.0.0.1/", "<p>12 34</p>")]
+    pages = langid.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    seen = {r.page_id: r for r in pages.collect()}
+    assert (seen[1].declared, seen[1].host, seen[1].suffix) == ("fr", "www.a.fr", "fr") and "var a" not in seen[1].body
+    assert (seen[2].declared, seen[2].host, seen[2].suffix) == ("en", "b.example.com", "com")
+    assert (seen[3].declared, seen[3].host, seen[3].suffix, seen[3].body) == (None, None, None, "") and seen[5].suffix is None
+    found = langid.identify(pages, langid.labelled_sample(docs), uri("l"), "body", F.col("declared"), F.col("host"), F.col("suffix"), ["page_id"])
+    got = {r.page_id: (r["__lang"], r["__accepted"]) for r in found.collect()}
+    assert got[1] == ("fr", True) and got[2] == ("en", True) and not any(got[i][1] for i in (3, 4, 5))
+
+
+def test_long_text_and_window(monkeypatch):
+    texts = ["the bus width of a card " * 30, "x" * 3000, "", "日本語 " * 500, "a b"]
+    whole = langid.trigrams(texts)
+    monkeypatch.setattr(langid, "WINDOW", 11)
+    part = langid.trigrams(texts)
+    assert (whole[0] == part[0]).all() and (whole[1] == part[1]).all()
+    table = np.log(np.full((2, langid.BUCKETS), 1 / langid.BUCKETS)).astype(np.float32)
+    assert langid.text_posteriors(["word " * 2_000_000], table).shape == (1, 2)
+
+
 def test_language_edges(odd_docs, no_docs, uri):
     model = langid.labelled_sample(odd_docs)
     got = langid.identify(odd_docs, model, uri("l"), declared=F.col("lang"), host=F.col("source"))

@@ -4,8 +4,7 @@ import collections
 
 import pytest
 
-from lodestrata.llm import bagminhash, pii
-from lodestrata.llm.queries import DEMO_SECRET
+from lodestrata.llm import bagminhash, pii, queries, token_store
 
 from .test_dedup import bag, similarity
 
@@ -63,11 +62,32 @@ def test_run_against_brute_force(spark, tmp_path, repeated):
 
     docs = spark.createDataFrame([(k, t, "en", "h", len(t)) for k, t in repeated], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set(queries.SECRET, "a test's secret")
     got = collections.defaultdict(int)
     for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect():
         got[r.doc_id, r.bin_id, r.bin_offset] += r.n_tokens
     rows = [(k, t) for k, t in repeated if any(c.isalpha() for c in t)]  # the others have no language
     rows = brute_near_kept(brute_exact_kept(rows))
-    key = pii.derive_key(DEMO_SECRET)
-    want = collections.Counter((k, len(pii.pseudonymise(t, key)[0].split())) for k, t in rows)
+    spark.conf.unset(queries.SECRET)
+    key, bpe = pii.derive_key("a test's secret"), token_store.byte_bpe(queries.vocabulary())
+    want = collections.Counter((k, len(bpe.encode([pii.pseudonymise(t, key)[0]])[0]) + 1) for k, t in rows)
     assert collections.Counter((k, n) for (k, _, _), n in got.items()) == want
+
+
+def test_secrets_are_not_in_the_source(spark):
+    assert queries.secret(spark) != queries.secret(spark)
+    spark.conf.set(queries.SECRET, "own")
+    assert queries.secret(spark) == "own"
+    spark.conf.unset(queries.SECRET)
+
+
+def test_each_stage_on_odd_documents(spark, odd_docs, no_docs, sf):
+    """Nulls, empty texts, repeated rows and clashing columns: the columns stay; an empty table stays empty."""
+    import corpus_pipeline
+
+    at = odd_docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, sf)
+        assert at.columns == odd_docs.columns, name
+        assert stage(spark, no_docs, sf).count() == 0, name
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, at, sf).collect()} == {r.doc_id for r in at.collect()}
