@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import bagminhash, common, exact_dedup, langid, packing, pii
-from lodestrata.llm.queries import DEMO_SECRET
+from lodestrata.llm.queries import secret, vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
@@ -30,13 +30,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noq
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """All documents, with pseudonyms for personal data."""
-    return pii.pseudonymise_frame(docs, DEMO_SECRET).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, with pseudonyms for personal data by the session's secret (spark.lodestrata.pii.secret)."""
+    return pii.pseudonymise_frame(docs, secret(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """All documents' pieces in their bins."""
-    return packing.pack_frame(docs)
+    """All documents' pieces, by a tokenizer's ids, in their bins."""
+    return packing.pack_frame(docs, common.work_dir(spark, "packing"), spec=vocabulary())
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("pii", private), ("packing", pack)]
@@ -46,8 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's table goes as soon as the next one's is written."""
     docs = common.table(spark, sf_dir, "documents")
-    uri = common.work_dir(spark, "pipeline")
+    uri, before = common.work_dir(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         docs = common.stash(stage(spark, docs, sf_dir), f"{uri}/{name}")
+        if before is not None:
+            common.remove(before)
+        before = f"{uri}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
