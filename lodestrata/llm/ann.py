@@ -231,7 +231,8 @@ def nearest(vectors: DataFrame, is_query: Column, uri: str, k: int = 20, trees:
                 "score": pa.array([s for b in best for s, _ in b], pa.float64()),
             })
 
-        best = dealt.groupBy("m", "block", "share").applyInArrow(search, schema)
+        # as many tasks as there are blocks and shares: the rows are few, what is done with them is not
+        best = dealt.repartition(min(2 * blocks * shares, 100_000), "m", "block", "share").groupBy("m", "block", "share").applyInArrow(search, schema)
     best = best.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
