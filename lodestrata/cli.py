@@ -1,4 +1,4 @@
-"""Command line: ingest page models, index chunks, search, report. `python -m lodestrata.cli --help`."""
+"""Command line: ingest page models, index chunks, search, ask, evaluate, report. `python -m lodestrata.cli --help`."""
 
 from __future__ import annotations
 
@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions import text as X
-from .operators import evaluate, filters
+from .operators import answers as A
+from .operators import filters
 from .operators import retrieval as R
 from .plans.ingest import ingest
-from .plugins import HashingEmbedder, JsonPageDecoder, embedding
+from .plugins import EchoGenerator, HashingEmbedder, JsonPageDecoder, embedding
 from .sources import files
+from .sources.keywords import KeywordIndex
 from .sources.store import VectorStore, index_chunks
 
 
@@ -42,11 +44,52 @@ def parser(config: Config) -> argparse.ArgumentParser:
     a.add_argument("--store", default=config.store)
     a.add_argument("--version", default="")
     a.add_argument("-n", type=int, default=3)
-    a = sub.add_parser("report", help="means of metric columns of a JSON lines file, by pipeline")
+    a = sub.add_parser("build-bm25", help="chunks to the stored keyword index; running it again adds what is new")
+    a.add_argument("chunks", nargs="?", default=config.chunks)
+    a.add_argument("--keywords", default=config.keywords)
+    for name, what in (("ask", "answer one question"), ("chat", "answer the lines of the input, one after the other; `reset` begins a new thread"), ("eval", "responses and contexts of the pipelines for a file of questions"), ("verify", "a report on the best hits of a file of questions")):
+        a = sub.add_parser(name, help=what)
+        if name == "ask":
+            a.add_argument("question")
+        elif name != "chat":
+            a.add_argument("questions")
+            a.add_argument("output")
+            a.add_argument("--first", type=int, help="the first questions only")
+        a.add_argument("--chunks", default=config.chunks)
+        a.add_argument("--store", default=config.store)
+        a.add_argument("--version", default=config.default_version)
+        a.add_argument("--show-sources", action="store_true")
+    a = sub.add_parser("report", help="a Markdown report of a JSON lines file of results (pipeline, id, type, question, metrics)")
     a.add_argument("results")
+    a.add_argument("--output", help="write it there; else it is printed")
     return p
 
 
+def _searches(spark: SparkSession, args: argparse.Namespace) -> tuple:
+    """(chunks, retrievals by pipeline) over the store and the chunk files."""
+    chunks = files.read_chunks(spark, args.chunks)[0].withColumnRenamed("chunk_id", "id").filter(~F.col("is_front_matter"))
+    chunks = chunks.withColumn("pos", F.xxhash64("id"))
+    vectors = VectorStore(spark, args.store).collection().select("id", "version", "vector")
+
+    def hybrid(use_bm25: bool):
+        return lambda q: R.hybrid(q, chunks, vectors, args.version, use_bm25)
+
+    return chunks, {"dense_rag": hybrid(False), "hybrid_rag": hybrid(True)}
+
+
+def _asked(spark: SparkSession, texts: list[str]):
+    rows = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+    return rows.withColumn("vector", embedding(HashingEmbedder, F.col("query")))
+
+
+def _answer(spark: SparkSession, args: argparse.Namespace, question: str) -> None:
+    chunks, searches = _searches(spark, args)
+    row = A.chain(_asked(spark, [question]), searches["hybrid_rag"], chunks, EchoGenerator).first()
+    if args.show_sources:
+        print(row["context"])
+    print(row["answer"])
+
+
 def main(argv: list[str] | None = None) -> int:
     config = Config.from_env()
     args = parser(config).parse_args(argv)
@@ -68,8 +111,44 @@ def main(argv: list[str] | None = None) -> int:
         where = F.col("version") == args.version if args.version else None
         hits = R.dense_search(q, store.collection(), args.n, where).join(store.collection().select("id", "document"), "id")
         hits.select("rank", F.round(1 - F.col("distance"), 4).alias("score"), "id", X.preview(F.col("document"), 800).alias("text")).orderBy("rank").show(args.n, False)
+    elif args.command == "build-bm25":
+        chunks = files.read_chunks(spark, args.chunks)[0].filter(~F.col("is_front_matter"))
+        index = KeywordIndex(spark, args.keywords, "chunk_id")
+        print({"indexed": index.append(chunks, F.concat_ws(" ", "section_title", "raw_text")), "total": index.size()})
+    elif args.command == "ask":
+        _answer(spark, args, args.question)
+    elif args.command == "chat":
+        thread = 0
+        for line in sys.stdin:
+            question = line.strip()
+            if question in ("exit", "quit"):
+                break
+            if question == "reset":  # nothing is kept between questions but the thread's number
+                thread += 1
+                print(f"thread {thread}")
+            elif question:
+                _answer(spark, args, question)
+    elif args.command in ("eval", "verify"):
+        asked = files.read_questions(spark, args.questions).withColumn("ord", F.monotonically_increasing_id())
+        asked = A.first_questions(asked, args.first) if args.first else asked
+        asked = asked.withColumns({"query_id": F.col("id"), "query": F.col("question")}).withColumn("vector", embedding(HashingEmbedder, F.col("query")))
+        chunks, searches = _searches(spark, args)
+        if args.command == "eval":
+            glossary = VectorStore(spark, args.store).collection("glossary").withColumns({"source": F.element_at("metadata", F.lit("source")), "page_start": F.element_at("metadata", F.lit("page_start"))})
+            told = A.evaluated(asked.select("query_id", "query", "vector"), searches, chunks, EchoGenerator, glossary, [args.version])
+            rows = told.join(asked.select("query_id", "question", "reference"), "query_id").withColumnRenamed("query_id", "id")
+            files.write_responses(rows, args.output, "overwrite")
+        else:
+            hits = searches["dense_rag"](asked.select("query_id", "query", "vector")).drop("version")
+            hits = hits.join(chunks.select("id", "source", "page_start", F.array_join("section_path", "/").alias("section_path"), "section_title", F.col("text").alias("document")), "id")
+            sections = A.verification(asked.select("query_id", "query"), hits).join(asked.select("query_id", "ord"), "query_id").orderBy("ord").collect()  # one of each question
+            files.write_report(spark, ["# Retrieval verification", "", *[r["report"] + "\n---\n" for r in sections]], args.output)
     elif args.command == "report":
-        evaluate.summary(spark.read.json(args.results), ["pipeline"]).show(100, False)
+        lines = A.report(spark.read.json(args.results))
+        if args.output:
+            files.write_report(spark, lines, args.output)
+        else:
+            print("\n".join(lines))
     return 0
 
 

@@ -16,6 +16,7 @@ class Config:
     store: str = "data/store"
     chunks: str = "data/chunks"
     model: str = "hashing"
+    keywords: str = "data/keywords"
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> Config:
@@ -27,4 +28,5 @@ class Config:
             env.get("LODESTRATA_STORE", cls.store),
             env.get("LODESTRATA_CHUNKS", cls.chunks),
             env.get("LODESTRATA_MODEL", cls.model),
+            env.get("LODESTRATA_KEYWORDS", cls.keywords),
         )

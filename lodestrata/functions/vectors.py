@@ -20,6 +20,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), 1 - dot(a, b) / size)
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1, in double precision; null for null, empty and zero vectors and those with a null."""
+    n = norm(a)
+    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+
+
 def normalized(a: Column) -> Column:
     n = norm(a)
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(a.cast("array<double>"))

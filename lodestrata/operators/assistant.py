@@ -17,7 +17,7 @@ def search(queries: DataFrame, variants: Column | None, retrieve, chunks: DataFr
         asked = asked.select("query_id", "query", "vector", "variant_ord").unionByName(more)
     tagged = asked.withColumn("asked_id", F.concat_ws("|", F.col("query_id").cast("string"), "variant_ord"))
     hits = retrieve(tagged.select(F.col("asked_id").alias("query_id"), "query", "vector"))
-    back = hits.withColumnRenamed("query_id", "asked_id").join(F.broadcast(tagged.select("asked_id", "query_id", "variant_ord")), "asked_id")
+    back = hits.withColumnRenamed("query_id", "asked_id").join(tagged.select("asked_id", "query_id", "variant_ord"), "asked_id")
     best = R.merge_variants(back, n)
     text = R.excerpt(F.col("rank"), F.col("source"), F.col("page_start"), F.col("page_end"), F.col("section_path"), F.col("section_title"), F.col("text"))
     return best.join(chunks.select("id", "source", "page_start", "page_end", "section_path", "section_title", "text"), "id").withColumn("excerpt", text)

@@ -60,6 +60,22 @@ def token_overlap(answer: Column, reference: Column) -> tuple[Column, Column]:
     return F.when(F.size(a) > 0, both / F.size(a)), F.when(F.size(r) > 0, both / F.size(r))
 
 
+def verbatim(queries: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
+    """(query_id, id) of the documents (id, text) that hold a query's whole text.
+
+    A document that holds a query of several words holds the run of its second to sixth word between blanks, so the two meet by an equi-join on
+    that run; only queries of fewer words than that are looked for in every document.
+    """
+    parts = F.split("query", " ")
+    asked = queries.withColumn("run", F.when(F.size(parts) >= words + 2, F.array_join(F.slice(parts, 2, words), " ")))
+    run = F.split("text", " ")
+    runs = F.transform(F.sequence(F.lit(1), F.size(run) - words + 1), lambda i: F.array_join(F.slice(run, i, words), " "))
+    met = docs.filter(F.size(run) >= words).select("id", F.explode(F.array_distinct(runs)).alias("run")).join(asked.filter("run IS NOT NULL").select("query_id", "run"), "run").select("query_id", "id").distinct()
+    long = met.join(docs, "id").join(queries, "query_id").filter(F.contains("text", "query")).select("query_id", "id")
+    short = docs.join(asked.filter("run IS NULL"), F.contains("text", "query")).select("query_id", "id")
+    return long.unionByName(short)
+
+
 def ranking_metrics(hits: DataFrame, relevant: DataFrame, k: int = 10, key: str = "id") -> DataFrame:
     """(query_id, mrr, recall, ndcg) at k of hits (query_id, id, rank) against relevant (query_id, id)."""
     n = relevant.groupBy("query_id").agg(F.count_distinct(key).alias("n_relevant"))

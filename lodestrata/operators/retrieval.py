@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.vectors import cosine_distance
+from ..functions.vectors import dot, unit
 from ..profile import BM25_B, BM25_EPSILON, BM25_K1, MAX_DISTANCE, N_RESULTS, N_SPARSE, RRF_K
 
 
@@ -24,32 +24,48 @@ def settled(score: str | Column, digits: int = 9) -> Column:
 # -- keyword --------------------------------------------------------------------------------------------------------
 
 
-def build_bm25(docs: DataFrame, text: Column, pos: str = "pos", epsilon: float = BM25_EPSILON) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, terms, corpus): terms have df and idf, corpus is one row (n, avgdl, mean_idf).
+def bm25_terms(docs: DataFrame, text: Column, pos: str = "pos", epsilon: float = BM25_EPSILON) -> DataFrame:
+    """(term, df, idf, n, avgdl) of all terms. Each text is cut once; only (term, count) pairs are shuffled, combined map-side.
 
-    Negative idf values, of terms in more than half of the documents, become epsilon times the mean idf of all terms.
+    Negative idf values, of terms in more than half of the documents, become epsilon times the mean idf of all terms. No
+    documents, or none with a token: no rows.
     """
-    post = docs.select(F.col(pos), F.explode(X.tokens(F.coalesce(text, F.lit("")))).alias("term")).groupBy("term", pos).agg(F.count("*").alias("tf"))
-    sizes = docs.select(pos, F.size(X.tokens(F.coalesce(text, F.lit("")))).alias("dl"))
-    corpus = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    raw = post.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus), how="cross")
+    tokens = docs.select(X.tokens(F.coalesce(text, F.lit(""))).alias("ts"))
+    corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
+    raw = tokens.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return weighed(raw.join(F.broadcast(corpus), how="cross"), epsilon)  # one row
+
+
+def weighed(raw: DataFrame, epsilon: float = BM25_EPSILON) -> DataFrame:
+    """(term, df, idf, n, avgdl) from (term, df, n, avgdl)."""
     raw = raw.withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
-    terms = raw.join(F.broadcast(mean), how="cross").withColumn("idf", F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf")))
-    return post.join(sizes, pos), terms.select("term", "df", "idf", "n", "avgdl"), corpus.join(F.broadcast(mean), how="cross")
+    return raw.join(F.broadcast(mean), how="cross").select("term", "df", F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"), "n", "avgdl")
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) of queries (query_id, query); a token that a query repeats counts again."""
+    return queries.select("query_id", F.explode(X.tokens(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def scored(asked: DataFrame, postings: DataFrame, terms: DataFrame, pos: str = "pos", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """(query_id, pos, score) from asked terms, postings (term, pos, tf, dl) and terms (term, idf, avgdl)."""
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return asked.join(terms, "term").join(postings, "term").groupBy("query_id", pos).agg(F.sum(part).alias("score"))
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, text: Column, pos: str = "pos", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(query_id, pos, score) of the documents that hold a token of the query; a repeated token counts again. queries: query_id, query.
 
-    The query side is the stated one and small; documents are scanned once, reduced to postings of queried terms inside the scan.
+    Documents are scanned for the terms' statistics and for the asked terms' postings; other postings never leave the scan. For more
+    than one search over the same documents, see sources.keywords.KeywordIndex.
     """
-    asked = queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    post, terms, _ = build_bm25(docs, text, pos)
-    terms = terms.join(asked.select("term").distinct(), "term", "left_semi")
-    hit = asked.join(post.join(terms, "term"), "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("query_id", pos).agg(F.sum(part).alias("score"))
+    asked = asked_terms(queries)
+    names = asked.select("term").distinct()
+    tokens = docs.select(pos, X.tokens(F.coalesce(text, F.lit(""))).alias("ts"))
+    postings = tokens.select(pos, F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(names, "term", "left_semi").groupBy("term", pos, "dl").agg(F.count("*").alias("tf"))
+    terms = bm25_terms(docs, text, pos).join(names, "term", "left_semi")
+    return scored(asked, postings, terms, pos, k1, b)
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, text: Column, n: int = N_SPARSE, pad_zero: bool = False, pos: str = "pos") -> DataFrame:
@@ -57,7 +73,8 @@ def bm25_search(queries: DataFrame, docs: DataFrame, text: Column, n: int = N_SP
     found = bm25_scores(queries, docs, text, pos)
     if pad_zero:
         head = docs.select(pos).orderBy(pos).limit(n)
-        fill = queries.select("query_id").join(F.broadcast(head), how="cross").join(found, ["query_id", pos], "left_anti")
+        fill = queries.select("query_id").join(F.broadcast(head), how="cross")  # n rows
+        fill = fill.join(found, ["query_id", pos], "left_anti")
         found = found.unionByName(fill.withColumn("score", F.lit(0.0)))
     return top(found, ["query_id"], [settled("score").desc(), pos], n)
 
@@ -65,15 +82,17 @@ def bm25_search(queries: DataFrame, docs: DataFrame, text: Column, n: int = N_SP
 # -- vectors --------------------------------------------------------------------------------------------------------
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, n: int = N_RESULTS, where: Column | None = None, most: float | None = None, key: str = "id", broadcast: bool = True) -> DataFrame:
+def dense_search(queries: DataFrame, vectors: DataFrame, n: int = N_RESULTS, where: Column | None = None, most: float | None = None, key: str = "id") -> DataFrame:
     """(query_id, id, distance, rank): the n nearest by cosine distance, ties by id.
 
     `where` filters before ranking (it may use the query's columns); `most` is a bound on the distance after it.
-    queries (query_id, vector, ...) is the stated set: broadcast when it is small, the collection is read once.
+    queries (query_id, vector, ...) is the stated set: Spark sends it to all tasks if its size allows, else it goes through the
+    collection block by block. Vectors are brought to unit length once each, not once a pair.
     """
-    q = queries.withColumnRenamed("vector", "q_vector")
-    pairs = vectors.join(F.broadcast(q) if broadcast else q, where if where is not None else F.lit(True))
-    near = pairs.select("query_id", key, cosine_distance(F.col("vector"), F.col("q_vector")).alias("distance")).filter("distance is not null")
+    q = queries.withColumn("q_unit", unit(F.col("vector"))).drop("vector").filter("q_unit is not null")
+    v = vectors.withColumn("unit", unit(F.col("vector"))).drop("vector").filter("unit is not null")
+    pairs = v.join(q, where if where is not None else F.lit(True)).filter(F.size("unit") == F.size("q_unit"))
+    near = pairs.select("query_id", key, (1 - dot(F.col("unit"), F.col("q_unit"))).alias("distance"))
     best = top(near, ["query_id"], ["distance", key], n)
     return best.filter(F.col("distance") < most) if most is not None else best
 
@@ -136,11 +155,11 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, default_ve
     body = F.concat(F.coalesce("section_title", F.lit("")), F.lit(" "), F.coalesce("raw_text", F.lit("")))
     versions = chunks.select("id", "pos", "version")
     if prefilter_sparse:
-        scores = bm25_scores(queries, chunks, body).join(versions, "pos").join(F.broadcast(queries.select("query_id", "versions")), "query_id").filter(allowed)
+        scores = bm25_scores(queries, chunks, body).join(versions, "pos").join(queries.select("query_id", "versions"), "query_id").filter(allowed)
         sparse = top(scores, ["query_id"], [settled("score").desc(), "pos"], n_sparse)
     else:
         ranked = bm25_search(queries, chunks, body, n_sparse, pad_zero)
-        sparse = rerank(ranked.join(versions, "pos").join(F.broadcast(queries.select("query_id", "versions")), "query_id").filter(allowed))
+        sparse = rerank(ranked.join(versions, "pos").join(queries.select("query_id", "versions"), "query_id").filter(allowed))
     hits = fuse(dense, sparse.select("query_id", "id", "rank", "score"), n)
     hits = hits.select("query_id", "id", "rank", "rrf_score", "distance", "bm25_score")
     if expand:
@@ -195,6 +214,6 @@ def compare_versions(features: DataFrame, versions: list[str], retrieve, chunks:
     named = X.versions_named(F.col("query"))
     asked = asked.withColumn("versions", F.when(F.size(named) > 0, named).otherwise(F.array("wanted"))).withColumn("feature_id", F.col("query_id")).withColumn("query_id", F.concat_ws("|", F.col("query_id").cast("string"), "wanted"))
     hits = retrieve(asked.select("query_id", "query", "vector", "versions"))
-    mine = hits.join(F.broadcast(asked.select("query_id", "feature_id", "wanted")), "query_id").join(chunks.select("id", "version"), "id").filter(F.col("version") == F.col("wanted"))
+    mine = hits.join(asked.select("query_id", "feature_id", "wanted"), "query_id").join(chunks.select("id", "version"), "id").filter(F.col("version") == F.col("wanted"))
     w = Window.partitionBy("feature_id", "version").orderBy("rank")
     return mine.withColumn("rank", F.row_number().over(w)).select("feature_id", "version", "id", "rank")

@@ -436,8 +436,7 @@ def captions(spark, sf):
 
 @query(with_(V.BM25) + "SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_stats(spark, sf):
-    _, terms, _ = retrieval.build_bm25(V.chunks(spark, sf), F.col("raw_text"))
-    return terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.bm25_terms(V.chunks(spark, sf), F.col("raw_text")).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _bm25(spark, sf, n, pad):
@@ -450,12 +449,11 @@ def bm25_search(spark, sf):
     return _bm25(spark, sf, 10, False)
 
 
-@query(with_(V.BM25.replace("FROM benchmark", "FROM (SELECT item_id, left(text, 12) AS text FROM benchmark)")) + """, padded AS (SELECT query_id, pos, score FROM scores UNION ALL SELECT b.item_id, d.doc_id, 0.0 FROM benchmark b, documents d WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.query_id = b.item_id AND s.pos = d.doc_id))
-SELECT query_id, pos, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos)::INT AS rank FROM padded QUALIFY rank <= 40""")
+@query(with_(V.BM25) + """, head AS (SELECT doc_id AS pos FROM documents ORDER BY doc_id LIMIT 400), padded AS (SELECT query_id, pos, score FROM scores UNION ALL SELECT b.item_id, pos, 0.0 FROM benchmark b, head WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.query_id = b.item_id AND s.pos = head.pos))
+SELECT query_id, pos, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos)::INT AS rank FROM padded QUALIFY rank <= 400""")
 def bm25_search_padded(spark, sf):
-    q = V.keyword_queries(spark, sf).withColumn("query", F.expr("left(query, 12)"))
-    hits = retrieval.bm25_search(q, V.chunks(spark, sf), F.col("raw_text"), 40, True)
-    return hits.select("query_id", "pos", F.round("score", 4).alias("score"), "rank")
+    """400 hits a query: where fewer documents hold a token of it, others fill up with no score."""
+    return _bm25(spark, sf, 400, True)
 
 
 def _dense(hits):
@@ -469,7 +467,7 @@ def dense_search(spark, sf):
 
 @query(with_(V.DENSE) + "SELECT * FROM (SELECT query_id, id, CASE WHEN abs(distance) < 5e-7 THEN 0.0::DOUBLE ELSE round(distance, 6) END AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM dists WHERE version = q_version QUALIFY rank <= 15) WHERE distance < 0.7")
 def dense_filtered(spark, sf):
-    q = V.table(spark, sf, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("wanted"))
+    q = V.table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.expr("vec_id div 100").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("wanted"))
     return _dense(retrieval.dense_search(q, V.vectors(spark, sf), where=F.col("version") == F.col("wanted"), most=0.7))
 
 
@@ -479,7 +477,7 @@ def glossary_search(spark, sf):
 
 
 RRF = """dr AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM dists QUALIFY rank <= 15),
-sr AS (SELECT query_id, pos AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM scores WHERE query_id < 20 QUALIFY rank <= 40),
+sr AS (SELECT query_id, pos AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM scores QUALIFY rank <= 40),
 lists AS (SELECT query_id, id, rank, distance, NULL::DOUBLE AS score, 0 AS list FROM dr UNION ALL SELECT query_id, id, rank, NULL, score, 1 FROM sr),
 merged AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(list * 1000 + rank) AS first, min(distance) AS distance, max(score) AS score FROM lists GROUP BY ALL),
 fused AS (SELECT query_id, id, rrf, distance, CASE WHEN first >= 1000 THEN score END AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, first) AS rank FROM merged QUALIFY rank <= 15)"""
@@ -487,7 +485,8 @@ fused AS (SELECT query_id, id, rrf, distance, CASE WHEN first >= 1000 THEN score
 
 @query(with_(V.BM25, V.DENSE, RRF) + "SELECT query_id, id, rank::INT AS rank, round(rrf, 8) AS rrf_score, CASE WHEN abs(distance) < 5e-7 THEN 0.0::DOUBLE ELSE round(distance, 6) END AS distance, round(score, 4) AS bm25_score FROM fused")
 def rrf_fuse(spark, sf):
-    q = V.keyword_queries(spark, sf).filter("query_id < 20")
+    """All benchmark texts as keyword queries, every hundredth vector as a vector query; those with the same number are fused."""
+    q = V.keyword_queries(spark, sf)
     sparse = retrieval.bm25_search(q, V.chunks(spark, sf), F.col("raw_text"), 40).select("query_id", F.col("pos").alias("id"), "rank", "score")
     hits = retrieval.fuse(retrieval.dense_search(V.dense_queries(spark, sf), V.vectors(spark, sf)), sparse)
     return hits.select("query_id", "id", "rank", F.round("rrf_score", 8).alias("rrf_score"), F.round("distance", 6).alias("distance"), F.round("bm25_score", 4).alias("bm25_score"))
@@ -495,16 +494,16 @@ def rrf_fuse(spark, sf):
 
 HYBRID = r"""lang_of AS (SELECT doc_id AS id, lang AS version FROM documents),
 indexed AS (SELECT e.vec_id AS id, embedding::DOUBLE[] AS v, version FROM embeddings e JOIN lang_of l ON l.id = e.vec_id),
-dd AS (SELECT query_id, id, 1 - list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) AS distance FROM (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 20) x, indexed WHERE version = 'en'),
+dd AS (SELECT query_id, id, 1 - list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) AS distance FROM (SELECT vec_id // 100 AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0) x, indexed WHERE version = 'en'),
 dr AS (SELECT query_id, id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM dd) WHERE rank <= 15 AND distance < 0.85),
-s1 AS (SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM scores WHERE query_id < 20 QUALIFY rank <= 40),
+s1 AS (SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM scores QUALIFY rank <= 40),
 sr AS (SELECT query_id, pos AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM s1 JOIN lang_of l ON l.id = pos WHERE version = 'en'),
 """ + RRF[RRF.index("lists AS"):]
 TITLED = r"""docs AS (SELECT doc_id, CASE WHEN length(text) - length(replace(text, ' ', '')) < 1 THEN text ELSE split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) END || ' ' || text AS text FROM documents)"""
 
 
 def _hybrid(spark, sf, **options):
-    q = V.keyword_queries(spark, sf).filter("query_id < 20").join(V.dense_queries(spark, sf), "query_id")
+    q = V.keyword_queries(spark, sf).join(V.dense_queries(spark, sf), "query_id", "full")  # a query may lack its text or its vector
     c = V.chunks(spark, sf)
     v = V.vectors(spark, sf).drop("version").join(c.select("id", "version"), "id")
     return retrieval.hybrid(q, c, v, default_version="en", **options)
@@ -515,7 +514,13 @@ def hybrid_search(spark, sf):
     return _hybrid(spark, sf).select("query_id", "id", "rank", F.round("rrf_score", 8).alias("rrf_score"))
 
 
-@query()
+EXPANDED = """centre AS (SELECT query_id, rank AS hr, c.pos AS at, c.source, c.section_path FROM fused JOIN chunks c USING (id) WHERE content_type IN ('table', 'register')),
+near AS (SELECT query_id, hr, s AS step, c.id FROM centre, (VALUES (-1), (1)) AS x(s) JOIN chunks c ON c.pos = centre.at + s AND c.source = centre.source AND c.section_path = centre.section_path JOIN indexed i ON i.id = c.id),
+fresh AS (SELECT query_id, id, min(hr * 10 + step) AS o FROM near n WHERE NOT EXISTS (SELECT 1 FROM fused h WHERE h.query_id = n.query_id AND h.id = n.id) GROUP BY ALL),
+counts AS (SELECT query_id, max(rank) AS last FROM fused GROUP BY query_id)"""
+
+
+@query(with_(V.CHUNKS, TITLED, V.BM25.replace("FROM documents", "FROM docs"), HYBRID, EXPANDED) + "SELECT query_id, id, rank::INT AS rank FROM fused UNION ALL SELECT query_id, id, (last + row_number() OVER (PARTITION BY query_id ORDER BY o, id))::INT FROM fresh JOIN counts USING (query_id)")
 def hybrid_expanded(spark, sf):
     return _hybrid(spark, sf, expand=True).select("query_id", "id", "rank")
 
@@ -554,16 +559,16 @@ def multi_query_dedupe(spark, sf):
 
 
 @query(with_(V.CHUNKS) + """, h AS (SELECT label AS query_id, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings QUALIFY rank <= 3),
-x AS (SELECT query_id, rank, '[' || rank || '] Source: ' || source || ' | Pages: ' || CASE WHEN id % 2 = 0 THEN '7' ELSE '7–9' END || ' | Section: 6.1 ' || section_title || chr(10) || 'Cite-as: [' || source || ' §6.1 p.7]' || chr(10) || left(raw_text, 40) AS e FROM h JOIN chunks USING (id))
+x AS (SELECT query_id, rank, '[' || rank || '] Source: ' || source || ' | Pages: ' || CASE WHEN id % 2 = 0 THEN '7' ELSE '7–9' END || ' | Section: 6.1 ' || section_title || chr(10) || 'Cite-as: [' || source || ' §6.1 p.7]' || chr(10) || raw_text AS e FROM h JOIN chunks USING (id))
 SELECT query_id, string_agg(e, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_excerpts FROM x GROUP BY query_id""")
 def citations(spark, sf):
     hits = retrieval.top(V.table(spark, sf, "embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("id")), ["query_id"], ["id"], 3)
     rows = hits.join(V.chunks(spark, sf), "id")
-    text = retrieval.excerpt(F.col("rank"), F.col("source"), F.lit(7), F.when(F.col("id") % 2 == 0, 7).otherwise(9), F.array(F.lit("6"), F.lit("6.1")), F.col("section_title"), F.expr("left(raw_text, 40)"))
+    text = retrieval.excerpt(F.col("rank"), F.col("source"), F.lit(7), F.when(F.col("id") % 2 == 0, 7).otherwise(9), F.array(F.lit("6"), F.lit("6.1")), F.col("section_title"), F.col("raw_text"))
     return retrieval.context(rows.withColumn("excerpt", text), ["query_id"])
 
 
-@query(with_(V.CHUNKS, """dq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 20),
+@query(with_(V.CHUNKS, """dq AS (SELECT vec_id // 100 AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
 indexed AS (SELECT e.vec_id AS id, embedding::DOUBLE[] AS v, lang AS version FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)""") + """SELECT query_id AS feature_id, version, id, row_number() OVER (PARTITION BY query_id, version ORDER BY d, id)::INT AS rank
 FROM (SELECT query_id, version, id, 1 - list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) AS d FROM dq, indexed WHERE version IN ('en', 'fr', 'de')) QUALIFY row_number() OVER (PARTITION BY query_id, version ORDER BY d, id) <= 5""")
 def compare_versions(spark, sf):
@@ -621,20 +626,24 @@ def inspector_search(spark, sf):
     return assistant.inspect(V.chunks(spark, sf), "text", "The", page=1).select("id", X.preview(F.col("text"), 30).alias("preview"))
 
 
-@query("""SELECT item_id AS query_id, round(len(list_intersect(a, r)) / len(r)::DOUBLE, 6) AS recall FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(left(text, 60)), '[a-z0-9_]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS r FROM benchmark)""")
+@query("""SELECT item_id AS query_id, round(len(list_intersect(a, r)) / len(r)::DOUBLE, 6) AS recall FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS a, list_distinct(regexp_extract_all(lower(text || ' ' || item_id || ' reference'), '[a-z0-9_]+')) AS r FROM benchmark)""")
 def overlap_metrics(spark, sf):
     q = V.keyword_queries(spark, sf)
-    _, recall = evaluate.token_overlap(F.expr("left(query, 60)"), F.col("query"))
+    _, recall = evaluate.token_overlap(F.col("query"), F.concat_ws(" ", "query", "query_id", F.lit("reference")))
     return q.select("query_id", F.round(recall, 6).alias("recall"))
 
 
-@query()
+@query(with_(V.BM25) + """, hits AS (SELECT query_id, pos AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM scores QUALIFY rank <= 10),
+relevant AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+n AS (SELECT query_id, count(*) AS n FROM relevant GROUP BY query_id),
+found AS (SELECT query_id, min(rank) AS first, count(*) AS k, sum(1 / log2(rank + 1.0)) AS dcg FROM hits JOIN relevant USING (query_id, id) GROUP BY query_id)
+SELECT query_id, round(coalesce(1.0 / first, 0), 6) AS mrr, round(coalesce(k / n::DOUBLE, 0), 6) AS recall, round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1.0))), 0), 6) AS ndcg FROM n LEFT JOIN found USING (query_id)""")
 def ranking_quality(spark, sf):
     """BM25 against the documents that hold a benchmark text verbatim."""
     q, c = V.keyword_queries(spark, sf), V.chunks(spark, sf)
     hits = retrieval.bm25_search(q, c, F.col("raw_text"), 10).select("query_id", F.col("pos").alias("id"), "rank")
-    relevant = c.join(F.broadcast(q), F.contains(F.col("raw_text"), F.col("query"))).select("query_id", "id")
-    return evaluate.ranking_metrics(hits, relevant)
+    scores = evaluate.ranking_metrics(hits, evaluate.verbatim(q, c.select("id", F.col("raw_text").alias("text"))))
+    return scores.select("query_id", *[F.round(m, 6).alias(m) for m in ("mrr", "recall", "ndcg")])
 
 
 @query("SELECT doc_id AS ord, text AS user_input, lang AS response, source AS reference FROM documents")

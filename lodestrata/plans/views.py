@@ -103,7 +103,8 @@ def keyword_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    """Every vector whose id is divisible by 100, numbered as the keyword queries are."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.expr("vec_id div 100").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,5 +122,5 @@ asked AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id
 scores AS (SELECT query_id, t.pos, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
   FROM asked JOIN terms USING (term) JOIN tfs t USING (term) JOIN sizes s ON s.pos = t.pos, corpus GROUP BY ALL)"""
 
-DENSE = """qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS version FROM embeddings WHERE vec_id < 20),
+DENSE = """qv AS (SELECT vec_id // 100 AS query_id, embedding::DOUBLE[] AS q, label AS version FROM embeddings WHERE vec_id % 100 = 0),
 dists AS (SELECT query_id, vec_id AS id, label AS version, qv.version AS q_version, 1 - list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS distance FROM embeddings, qv)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -42,22 +43,31 @@ class VectorStore:
     def count(self) -> dict[str, int]:
         return {n: self.collection(n).count() for n in ("docs", "glossary")}
 
+    def _staged(self, df: DataFrame) -> DataFrame:
+        """df as a table in a folder of its own: vectors are computed once, and the tables are not read while they are written."""
+        path = f"{self.path}/staged-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def add(self, records: DataFrame) -> int:
-        """Append records (id, document, metadata, version, content_type, vector) whose id is not there yet; definitions go to both tables. The number added."""
-        fresh = new_rows(records, self.collection(), "id").select("id", "document", "metadata", "version", "content_type", "vector")
-        staged = f"{self.path}/staged"
-        fresh.write.mode("overwrite").parquet(staged)  # vectors are computed once, and the tables are not read while they are written
-        fresh = self.spark.read.schema(fresh.schema).parquet(staged)
-        fresh.drop("content_type").write.mode("append").partitionBy("version").parquet(f"{self.path}/docs")
-        fresh.filter("content_type = 'definition'").drop("content_type").write.mode("append").partitionBy("version").parquet(f"{self.path}/glossary")
-        return fresh.count()
+        """Append records (id, document, metadata, version, content_type, vector) whose id is not there yet; definitions go to both tables.
+        The number added to the documents.
+
+        Each table is compared for itself, so that a run after one that failed between the two completes the glossary.
+        """
+        names = ["id", "document", "metadata", "version", "vector"]
+        defined = records.filter("content_type = 'definition'")
+        lost = new_rows(defined, self.collection("glossary"), "id")
+        fresh = self._staged(new_rows(records, self.collection(), "id").select(*names, F.lit(False).alias("glossary")).unionByName(lost.select(*names, F.lit(True).alias("glossary"))))
+        for name, which in (("docs", "NOT glossary"), ("glossary", "glossary")):
+            fresh.filter(which).select(*names).write.mode("append").partitionBy("version").parquet(f"{self.path}/{name}")
+        return fresh.filter("NOT glossary").count()
 
     def refresh(self, records: DataFrame) -> None:
         """Replace both tables by the records and what they do not name."""
         kept = new_rows(self.collection(), records, "id").withColumn("content_type", F.element_at("metadata", F.lit("content_type")))
         both = kept.unionByName(records.select(*kept.columns))
-        both.write.mode("overwrite").parquet(f"{self.path}/staged")
-        both = self.spark.read.schema(both.schema).parquet(f"{self.path}/staged")
+        both = self._staged(both)
         both.drop("content_type").write.mode("overwrite").partitionBy("version").parquet(f"{self.path}/docs")
         both.filter("content_type = 'definition'").drop("content_type").write.mode("overwrite").partitionBy("version").parquet(f"{self.path}/glossary")
 
@@ -79,7 +89,8 @@ def index_chunks(store: VectorStore, chunks: DataFrame, model: Callable[[], Embe
     if refresh:
         store.refresh(records.withColumn("vector", embedding(model, F.col("document"))))
         return {"total": chunks.count(), "searchable": wanted.count(), "indexed": once.count()}
-    fresh = new_rows(records, store.collection(), "id")  # before the model runs
+    # before the model runs; definitions that an unfinished run left out of the glossary come again
+    fresh = new_rows(records, store.collection(), "id").unionByName(new_rows(records.filter("content_type = 'definition'"), store.collection("glossary"), "id")).dropDuplicates(["id"])
     added = store.add(fresh.withColumn("vector", embedding(model, F.col("document"))))
     found = once.count()
     return {"total": chunks.count(), "searchable": found, "skipped": found - added, "indexed": added}

@@ -145,7 +145,7 @@ def test_bm25_by_hand(spark):
     idf, avg = math.log(4 - 1 + 0.5) - math.log(1.5), 9 / 4
     assert [r.pos for r in got] == [2, 0, 1, 3]
     assert abs(got[0].score - 2 * idf * 3 * 2.5 / (3 + 1.5 * (0.25 + 0.75 * 4 / avg))) < 1e-9
-    _, terms, _ = retrieval.build_bm25(docs, F.col("raw"))
+    terms = retrieval.bm25_terms(docs, F.col("raw"))
     raw = {t: math.log(4 - n + 0.5) - math.log(n + 0.5) for t, n in (("a", 3), ("b", 1), ("c", 1), ("d", 1))}
     assert abs({r.term: r.idf for r in terms.collect()}["a"] - 0.25 * sum(raw.values()) / 4) < 1e-12
 
