@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas, ids
 from ..functions import text as X
-from ..operators import assistant, chunks, evaluate, filters, flow, layout, retrieval, splitter, structure, tables
+from ..operators import answers, assistant, chunks, evaluate, filters, flow, layout, retrieval, splitter, structure, tables
 from ..plugins import HashingEmbedder
 from ..session import working_folder
 from ..sources import files, store
+from ..sources.keywords import KeywordIndex
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,13 +266,13 @@ def heading_decoration(spark, sf):
     return layout.heading_rules(e, ["page"])
 
 
-@query(with_(V.TEXT_BOXES, V.BIG_BOXES) + """, plain AS (SELECT page, y0, 3 AS build, block_ord AS own, CASE WHEN regexp_matches(text, '\\[\\d+(?::\\d+)?\\]') THEN 'register' ELSE 'text' END AS kind FROM texts t WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.page = t.page AND (t.x0 + t.x1) / 2.0 BETWEEN b.x0 - 2 AND b.x1 + 2 AND (t.y0 + t.y1) / 2.0 BETWEEN b.y0 - 2 AND b.y1 + 2)),
+@query(with_(V.TEXT_BOXES, V.BIG_BOXES) + """, plain AS (SELECT page, y0, 3 AS build, block_ord AS own, CASE WHEN page % 2 = 0 THEN 'definition' ELSE 'text' END AS kind FROM texts t WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.page = t.page AND (t.x0 + t.x1) / 2.0 BETWEEN b.x0 - 2 AND b.x1 + 2 AND (t.y0 + t.y1) / 2.0 BETWEEN b.y0 - 2 AND b.y1 + 2)),
 every AS (SELECT page, y0, 0 AS build, box AS own, 'table' AS kind FROM boxes UNION ALL SELECT page, y0, 1, box, 'figure' FROM boxes WHERE box % 3 = 0 UNION ALL SELECT page, y0, 2, box, 'bitmap' FROM boxes WHERE box % 3 = 1 UNION ALL SELECT * FROM plain)
 SELECT page, own AS own_ord, kind, row_number() OVER (PARTITION BY page ORDER BY y0, build, own)::INT AS block_ord FROM every""")
 def classify_page(spark, sf):
     boxes = V.big_boxes(spark, sf).withColumnRenamed("box", "block_ord")
     k = F.col("block_ord") % 3
-    return layout.classify(V.text_boxes(spark, sf), boxes, boxes.filter(k == 0), boxes.filter(k == 1), ["page"], F.lit("Bus")).select("page", "own_ord", "kind", "block_ord")
+    return layout.classify(V.text_boxes(spark, sf), boxes, boxes.filter(k == 0), boxes.filter(k == 1), ["page"], F.when(F.col("page") % 2 == 0, "Terms and definitions").otherwise("Bus")).select("page", "own_ord", "kind", "block_ord")
 
 
 @query(r"""WITH b AS (SELECT page_id AS page, unnest(list_transform(regexp_extract_all(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')))) AS text FROM pages) SELECT page, text FROM b""")
@@ -356,15 +357,30 @@ def pack_rows(spark, sf):
     return t.select("table_id", F.posexplode(parts).alias("part", "md")).select("table_id", "part", (F.size(F.split("md", "\n")) - 2).cast("long").alias("n_rows"))
 
 
-@query(with_(V.GRID) + "SELECT table_id, count(*) AS n_rows FROM cells GROUP BY table_id")
+WIDE = """wide AS (SELECT l_orderkey AS table_id, l_linenumber % 5 = 0 AS noise, l_quantity > 10 AS rich, CASE WHEN l_quantity > 10 THEN 5 ELSE 1 END AS filled, row_number() OVER o AS ord, count(*) OVER (PARTITION BY l_orderkey) AS n
+  FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity))"""
+
+
+@query(with_(WIDE) + """SELECT table_id, count(*) FILTER (rich OR NOT noise) AS n_rows FROM wide GROUP BY table_id
+HAVING table_id % 3 = 0 OR (bool_and(filled > 1 OR ord NOT IN (1, n)) AND sum(filled) / (10.0 * count(*)) >= 0.4)""")
 def plausible_tables(spark, sf):
-    return V.grids(spark, sf).filter(tables.is_plausible(F.col("rows"))).select("table_id", F.size(tables.drop_noise(F.col("rows"))).cast("long").alias("n_rows"))
+    """Tables of 8 columns always stay; of 10 columns those without a lone cell at an end and with enough cells. Watermark letters go, and rows that hold nothing else."""
+    li, full = V.table(spark, sf, "lineitem"), F.col("l_quantity") > 10
+    cell, none = F.when(full, F.col("l_linestatus")), F.lit(None).cast("string")
+    first = F.when(F.col("l_linenumber") % 5 == 0, "i").otherwise(F.col("l_returnflag"))
+    row = F.slice(F.array(first, *[cell] * 4, *[none] * 5), F.lit(1), F.when(F.col("l_orderkey") % 3 == 0, 8).otherwise(10))
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", row.alias("r"))))
+    t = li.groupBy(F.col("l_orderkey").alias("table_id")).agg(F.transform(rows, lambda x: x["r"]).alias("rows"))
+    return t.filter(tables.is_plausible(F.col("rows"))).select("table_id", F.size(tables.drop_noise(F.col("rows"))).cast("long").alias("n_rows"))
 
 
-@query("""SELECT l_orderkey AS table_id, l_linenumber, p.first_id FROM lineitem JOIN (SELECT l_orderkey, min(l_linenumber) AS first_id FROM lineitem GROUP BY 1) p USING (l_orderkey)""")
+@query(with_(MD) + "SELECT table_id, count(DISTINCT k) AS n_groups, count(DISTINCT k) AS n_linked FROM body GROUP BY table_id")
 def parent_fk(spark, sf):
-    li = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("table_id"), "l_linenumber")
-    return li.join(li.groupBy("table_id").agg(F.min("l_linenumber").alias("first_id")), "table_id")
+    """Row groups of each table, and those of them that name the table's first full chunk as parent."""
+    c = table_chunks(spark, sf)
+    first = c.filter("NOT is_row_chunk AND chunk_index = 0").select("page_start", F.col("chunk_id").alias("first_id"))
+    groups = c.filter("is_row_chunk").join(first, "page_start", "left").groupBy(F.col("page_start").cast("long").alias("table_id"))
+    return groups.agg(F.count("*").alias("n_groups"), F.count_if(F.col("parent_chunk_id") == F.col("first_id")).alias("n_linked"))
 
 
 # -- chunks ---------------------------------------------------------------------------------------------------------
@@ -406,18 +422,25 @@ def figure_chunks(spark, sf):
 
 
 
-@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, 'CMD' || l_linenumber AS term, 'the line with flag ' || l_returnflag || ' of part ' || l_partkey AS definition FROM lineitem)
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey % 2 = 0 THEN 'CMD' || l_linenumber ELSE 'Line ' || l_returnflag || ' of an order' END AS term, 'the line with flag ' || l_returnflag || ' of part ' || l_partkey AS definition FROM lineitem)
 SELECT l_orderkey AS block, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, definition) - 1)::INT AS index, term, definition FROM d""")
 def abbrev_defs(spark, sf):
+    """Abbreviations in texts of one half of the orders, numbered terms with their definitions below them in the other."""
     li = V.table(spark, sf, "lineitem")
     text = F.concat(F.lit("the line with flag "), "l_returnflag", F.lit(" of part "), F.col("l_partkey").cast("string"))
-    line = F.struct("l_linenumber", "l_partkey", text.alias("t"))
-    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: F.concat(F.lit("CMD"), x["l_linenumber"].cast("string"), F.lit(" : "), x["t"]))
-    t = li.groupBy(F.col("l_orderkey").alias("block")).agg(F.array_join(lines, "\n").alias("text"))
+    line = F.struct("l_linenumber", "l_partkey", text.alias("t"), F.col("l_returnflag").alias("f"))
+    number = lambda x: x["l_linenumber"].cast("string")
+    shown = lambda x: F.when(F.col("block") % 2 == 0, F.concat(F.lit("CMD"), number(x), F.lit(" : "), x["t"])).otherwise(F.concat(F.lit("3."), number(x), F.lit(" Line "), x["f"], F.lit(" of an order\n"), x["t"]))
+    t = li.groupBy(F.col("l_orderkey").alias("block")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    t = t.select("block", F.array_join(F.transform("lines", shown), "\n").alias("text"))
     return t.select("block", F.posexplode(X.definitions(F.col("text"))).alias("index", "d")).select("block", "index", "d.term", "d.definition")
 
 
-@query()
+INLINE = r"'([A-Z][A-Za-z0-9_\-\s]{2,40}?)\s+(?:means|is defined as|refers to)\s+(.{10,200})'"
+
+
+@query(f"""SELECT p_partkey, trim(regexp_extract(t, {INLINE}, 1, 'i')) AS term, trim(regexp_extract(t, {INLINE}, 2, 'i')) AS definition
+FROM (SELECT p_partkey, 'The ' || p_name || ' means a part of brand ' || p_brand || ' and size' AS t FROM part) WHERE regexp_matches(t, {INLINE}, 'i')""")
 def inline_defs(spark, sf):
     p = V.table(spark, sf, "part")
     text = F.concat(F.lit("The "), "p_name", F.lit(" means a part of brand "), "p_brand", F.lit(" and size"))
@@ -456,6 +479,41 @@ def bm25_search_padded(spark, sf):
     return _bm25(spark, sf, 400, True)
 
 
+@query(SQL["bm25_search"])
+def bm25_stored(spark, sf):
+    """The same search over a stored index, built from one half of the documents and then from all of them."""
+    c = V.chunks(spark, sf)
+    index = KeywordIndex(spark, working_folder(spark, "keywords"))
+    half = c.agg(F.max("pos")).first()[0] // 2
+    for part in (c.filter(F.col("pos") <= half), c):
+        index.append(part, F.col("raw_text"))
+    hits = index.search(V.keyword_queries(spark, sf), 10)
+    return hits.select("query_id", "pos", F.round("score", 4).alias("score"), "rank")
+
+
+@query(with_(V.BM25) + "SELECT count(DISTINCT pos) AS n_docs, count(DISTINCT query_id) AS n_queries FROM (SELECT query_id, pos FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) <= 10)")
+def retrieval_counts(spark, sf):
+    return answers.retrieval_counts(_bm25(spark, sf, 10, False), "pos")
+
+
+@query(with_(V.CHUNKS) + f"SELECT source, count(*) AS total, count(*) FILTER ({BODY} AND {VALID}) AS searchable, count(*) FILTER (NOT ({BODY} AND {VALID})) AS skipped FROM chunks GROUP BY ROLLUP (source)")
+def index_totals(spark, sf):
+    c = V.chunks(spark, sf)
+    keep = filters.searchable(c).select("id", F.lit(True).alias("keep"))
+    return answers.index_totals(c.join(keep, "id", "left"), F.coalesce("keep", F.lit(False)), "source")
+
+
+@query(with_(V.DENSE) + """, h AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM dists QUALIFY rank <= 2),
+x AS (SELECT query_id, rank, '### Hit ' || rank || ' (Score: ' || printf('%.4f', 1 - distance) || ')' || chr(10) || '- **Source**: v' || id || ' (Page 7)' || chr(10) || '- **Path**: 6 > 6.1 > Bus' || chr(10) || chr(10) || '```text' || chr(10) || 'entry ' || id || chr(10) || '```' || chr(10) AS t FROM h)
+SELECT query_id, '## query ' || query_id || chr(10) || chr(10) || string_agg(t, chr(10) ORDER BY rank) AS report FROM x GROUP BY query_id""")
+def verification_report(spark, sf):
+    q = V.dense_queries(spark, sf)
+    hits = retrieval.dense_search(q, V.vectors(spark, sf), 2)
+    name = F.col("id").cast("string")
+    hits = hits.withColumns({"source": F.concat(F.lit("v"), name), "page_start": F.lit(7), "section_path": F.lit("6/6.1"), "section_title": F.lit("Bus"), "document": F.concat(F.lit("entry "), name)})
+    return answers.verification(q.select("query_id", F.concat(F.lit("query "), F.col("query_id").cast("string")).alias("query")), hits)
+
+
 def _dense(hits):
     return hits.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
