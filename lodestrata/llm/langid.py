@@ -155,18 +155,22 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], uri: str, tex
     none = F.lit(None).cast("string")
     clean = lambda c: F.lower(F.substring_index(F.trim(c), "-", 1)) if c is not None else none
     evidence = [clean(declared).alias("__declared"), (F.lower(host) if host is not None else none).alias("__host"), (F.lower(suffix) if suffix is not None else none).alias("__suffix")]
-    given = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"), *evidence, *[F.col(f"`{c}`") for c in keep])
-    schema = T.StructType([*given.schema.fields[1:], T.StructField("__p", T.ArrayType(T.DoubleType()))])
+    # a text that is kept goes to the workers once
+    given = docs.select(*([] if text in keep else [F.col(text).alias("__text")]), *evidence, *[F.col(f"`{c}`") for c in keep])
+    place = given.columns.index(text if text in keep else "__text")
+    kept = [f for f in given.schema.fields if f.name != "__text"]
+    schema = T.StructType([*kept, T.StructField("__p", T.ArrayType(T.DoubleType()))])
 
     def score(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for a, b in common.text_batches(batch, 0, 1_000_000):
+            for a, b in common.text_batches(batch, place, 1_000_000):
                 part = batch.slice(a, b - a)
-                p = text_posteriors(part.column(0).to_pylist(), shared.value)
+                p = text_posteriors([t or "" for t in part.column(place).to_pylist()], shared.value)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(np.round(p, 9).ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], lists], names=schema.names)
+                columns = [c for name, c in zip(batch.schema.names, part.columns, strict=True) if name != "__text"]
+                yield pa.RecordBatch.from_arrays([*columns, lists], names=schema.names)
 
     scored = common.stash(given.mapInArrow(score, schema), f"{uri}/scored")
     mass = [F.sum(F.col("__p")[i]).alias(f"m{i}") for i in range(k + 1)]
