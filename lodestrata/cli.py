@@ -13,8 +13,9 @@ from .functions import text as X
 from .operators import answers as A
 from .operators import filters
 from .operators import retrieval as R
-from .plans.ingest import ingest
+from .plans.ingest import ingest, ingest_documents
 from .plugins import EchoGenerator, HashingEmbedder, JsonPageDecoder, embedding
+from .schema import TOC
 from .sources import files
 from .sources.keywords import KeywordIndex
 from .sources.store import VectorStore, index_chunks
@@ -29,7 +30,7 @@ def parser(config: Config) -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("ingest", help="page models (JSON lines) and a table of contents to chunks")
     a.add_argument("pages")
-    a.add_argument("toc")
+    a.add_argument("--toc", help="outlines as JSON lines, for page models; without it, raw pages and outlines come from the documents")
     a.add_argument("--output", default=config.chunks)
     a.add_argument("--pattern", default="*.json*")
     a = sub.add_parser("index", help="chunks to the vector store")
@@ -95,8 +96,11 @@ def main(argv: list[str] | None = None) -> int:
     args = parser(config).parse_args(argv)
     spark = session()
     if args.command == "ingest":
-        pages = files.read_documents(spark, args.pages, JsonPageDecoder, args.pattern)
-        files.write_chunks(ingest(pages, spark.read.json(args.toc)), args.output, "overwrite")
+        if args.toc:
+            chunks = ingest(files.read_documents(spark, args.pages, JsonPageDecoder, args.pattern), spark.read.schema(TOC).json(args.toc))
+        else:
+            chunks = ingest_documents(spark, args.pages, JsonPageDecoder, args.pattern)
+        files.write_chunks(chunks, args.output, "overwrite")
     elif args.command == "index":
         good, bad = files.read_chunks(spark, args.chunks)
         print({**index_chunks(VectorStore(spark, args.store), good, HashingEmbedder, refresh=args.refresh), "malformed": bad.count()})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from ..profile import CHARACTERS, DEFAULT, DEFINITION_PARTS, REGISTER_WORDS, Profile
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once a row where plain nesting would compute it wherever it is named, as inside lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def trim_all(c: Column) -> Column:
     """Without white space at both ends, as Unicode has it."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..profile import CAPTION_MARGIN, CLUSTER_PADDING, FIGURE_AREA, FOOTER_MARGIN, HEADER_MARGIN, RULE_GAP, RULE_WIDTH, TABLE_PADDING
+from ..schema import DRAWING
 
 
 def in_margin(y0: Column, y1: Column, height: Column) -> Column:
@@ -46,36 +48,37 @@ def nearest_caption(boxes: DataFrame, texts: DataFrame, page: list[str], box: st
     return near.groupBy(*page, box).agg(F.min_by("caption", F.struct("dist", "block_ord")).alias("caption"), F.min("dist").alias("dist"))
 
 
-def heading_rules(edges: DataFrame, page: list[str]) -> DataFrame:
-    """(page, decorated): whether two wide horizontal lines that follow one another leave a heading's gap. edges: x0, x1, top, bottom, width."""
-    wide = edges.filter(F.abs(F.col("x1") - F.col("x0")) > F.col("width") * RULE_WIDTH)
-    w = Window.partitionBy(*page).orderBy("top", "bottom")
-    gaps = wide.withColumn("gap", F.lead("top").over(w) - F.col("bottom"))
-    return gaps.groupBy(*page).agg(F.coalesce(F.bool_or(F.col("gap").between(*RULE_GAP)), F.lit(False)).alias("decorated"))
+def heading_rules(edges: Column, width: Column) -> Column:
+    """Whether two wide horizontal lines that follow one another leave a heading's gap. edges: array of x0, x1, top, bottom; null is none."""
+    wide = F.filter(F.coalesce(edges, F.array()), lambda e: F.abs(e["x1"] - e["x0"]) > width * RULE_WIDTH)
+    lines = F.array_sort(F.transform(wide, lambda e, i: F.struct(e["top"].alias("top"), i.alias("i"), e["bottom"].alias("bottom"))))
+    gaps = X.let(lines, lambda sorted_: F.transform(sorted_, lambda e, i: F.get(sorted_, i + 1)["top"] - e["bottom"]))
+    return F.exists(gaps, lambda g: F.coalesce(g.between(*RULE_GAP), F.lit(False)))
 
 
-def cluster_boxes(boxes: DataFrame, page: list[str], padding: float = CLUSTER_PADDING, least_area: float = FIGURE_AREA) -> DataFrame:
-    """(page, x0, y0, x1, y1, area, element_count): boxes merged until no two merged boxes come within the padding; small ones go.
+def cluster_boxes(boxes: Column, padding: float = CLUSTER_PADDING, least_area: float = FIGURE_AREA) -> Column:
+    """Array of schema.DRAWING: boxes (array of x0, y0, x1, y1) merged until no two merged boxes come within the padding; small ones go.
 
-    The closure of merging boxes that grow is not a set of connected components of the first boxes, so a page's
-    boxes are merged together, in Arrow. A page's drawings bound the group.
+    Boxes without width or height, or with a null, take no part. The closure of merging boxes that grow is not a set of connected
+    components of the first boxes, so a page's boxes are merged together, in Arrow, where the page's row is: no shuffle. One page's
+    drawings bound the work, which grows with their number times that of the merged boxes.
     """
-    fields = ", ".join(f"{c} {boxes.schema[c].dataType.simpleString()}" for c in page)
+    kind = T.ArrayType(DRAWING)
 
-    def merge(key, t):
+    @F.arrow_udf(kind)
+    def run(column):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
-        out = merge_boxes([tuple(map(float, r)) for r in zip(*(t.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1")), strict=True)], padding)
-        out = [b for b in out if (b[2] - b[0]) * (b[3] - b[1]) >= least_area]
-        columns = {c: pa.array([k.as_py()] * len(out), t.schema.field(c).type) for c, k in zip(page, key, strict=True)}
-        for i, c in enumerate(("x0", "y0", "x1", "y1")):
-            columns[c] = pa.array([b[i] for b in out], pa.float64())
-        columns["area"] = pa.array([(b[2] - b[0]) * (b[3] - b[1]) for b in out], pa.float64())
-        columns["element_count"] = pa.array([b[4] for b in out], pa.int64())
-        return pa.table(columns)
-
-    schema = f"{fields}, x0 double, y0 double, x1 double, y1 double, area double, element_count long"
-    return boxes.select(*page, "x0", "y0", "x1", "y1").groupBy(*page).applyInArrow(merge, schema)
+        out = []
+        for page in column.to_pylist():
+            found = [tuple(b[c] for c in ("x0", "y0", "x1", "y1")) for b in page or [] if b is not None]
+            merged = merge_boxes([b for b in found if None not in b and b[2] > b[0] and b[3] > b[1]], padding)
+            sized = [(m, (m[2] - m[0]) * (m[3] - m[1])) for m in merged]
+            out.append([dict(zip(DRAWING.fieldNames(), (*m[:4], area, m[4]), strict=True)) for m, area in sized if area >= least_area])
+        return pa.array(out, to_arrow_type(kind))
+
+    return run(boxes)
 
 
 def merge_boxes(boxes: list[tuple[float, float, float, float]], padding: float = CLUSTER_PADDING) -> list[tuple]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import trim_all
-from ..profile import FILL_RATE, REGISTER_COLUMNS, TABLE_CHARS, TABLE_COLUMNS
+from ..functions.text import clean_text, trim_all
+from ..profile import DEFAULT, FILL_RATE, REGISTER_COLUMNS, TABLE_CHARS, TABLE_COLUMNS, Profile
 
 EMPTY = "array<string>"
 
@@ -29,10 +29,13 @@ def filled(row: Column) -> Column:
     return F.size(F.filter(row, lambda c: cell(c) != ""))
 
 
-def drop_noise(rows: Column, noise: str = "i") -> Column:
-    """Cells that hold only a watermark's letter become null; rows without any text go."""
-    cleaned = F.transform(rows, lambda r: F.transform(r, lambda c: F.when(F.trim(c) != noise, c)))
-    return F.filter(cleaned, lambda r: F.exists(r, lambda c: F.coalesce(F.trim(c), F.lit("")) != ""))
+def drop_noise(rows: Column, profile: Profile = DEFAULT, noise: str = "i") -> Column:
+    """Cells cleaned as page text is; those that hold only a border's letter become null, and rows without any text go.
+
+    Decide by is_plausible() first: it looks at the rows as they were found.
+    """
+    cleaned = F.transform(rows, lambda r: F.transform(r, lambda c: F.when(trim_all(c) != noise, clean_text(trim_all(c), profile))))
+    return F.filter(cleaned, lambda r: F.exists(r, lambda c: F.coalesce(c, F.lit("")) != ""))
 
 
 def is_plausible(rows: Column) -> Column:

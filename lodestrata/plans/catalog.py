@@ -11,9 +11,11 @@ from ..functions import formulas, ids
 from ..functions import text as X
 from ..operators import answers, assistant, chunks, evaluate, filters, flow, layout, retrieval, splitter, structure, tables
 from ..plugins import HashingEmbedder
-from ..session import working_folder
+from ..session import stored, working_folder
 from ..sources import files, store
 from ..sources.keywords import KeywordIndex
+from ..sources.pages import page_models
+from . import ingest as plan
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -256,14 +258,44 @@ def nearest_caption(spark, sf):
 
 @query()
 def bbox_cluster(spark, sf):
-    return layout.cluster_boxes(V.text_boxes(spark, sf), ["page"], least_area=500.0)
+    """Drawings of each page by place, made of the parts' boxes."""
+    boxes = V.text_boxes(spark, sf).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("x0", "y0", "x1", "y1"))).alias("boxes"))
+    return boxes.select("page", F.inline(layout.cluster_boxes(F.col("boxes"), least_area=500.0)))
 
 
 @query(with_(V.TEXT_BOXES) + """, wide AS (SELECT page, y0, y1 FROM texts WHERE x1 - x0 > 50 * 0.6)
 SELECT page, coalesce(bool_or(gap BETWEEN 10 AND 30), false) AS decorated FROM (SELECT page, lead(y0) OVER (PARTITION BY page ORDER BY y0, y1) - y1 AS gap FROM wide) GROUP BY page""")
 def heading_decoration(spark, sf):
-    e = V.text_boxes(spark, sf).select("page", "x0", "x1", F.col("y0").alias("top"), F.col("y1").alias("bottom"), F.lit(50.0).alias("width"))
-    return layout.heading_rules(e, ["page"])
+    edge = F.struct(F.col("y0").alias("top"), F.col("y1").alias("bottom"), "x0", "x1")
+    pages = V.text_boxes(spark, sf).groupBy("page").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    return pages.select("page", layout.heading_rules(F.col("edges"), F.lit(50.0)).alias("decorated"))
+
+
+SPANS = """spans AS (SELECT l_orderkey AS page, l_linenumber % 3 AS block_no, l_linenumber AS ord, l_partkey AS ord2, l_quantity::INT AS size,
+  CASE WHEN l_returnflag = 'R' THEN '' ELSE l_returnflag || '-' || l_linestatus || l_suppkey END AS text FROM lineitem)"""
+
+
+@query(with_(SPANS) + """SELECT page, block_no, string_agg(text, ' ' ORDER BY ord, ord2, size, text) AS text, round_even(sum(size)::DOUBLE / count(*), 1) AS font_size, max(ord)::INT AS font_flags
+FROM spans WHERE text <> '' AND block_no <> page % 7 GROUP BY page, block_no""")
+def page_texts(spark, sf):
+    """Text blocks of raw pages: each line of an order is a span, watermarks and blanks of which go; some blocks lie in a margin."""
+    return files.blocks(page_models(V.raw_pages(spark, sf)), "text_blocks").select("page", "block_no", "text", "font_size", "font_flags")
+
+
+@query("""WITH o AS (SELECT l_orderkey AS page, count(*) AS n, count(*) FILTER (l_returnflag <> 'R') AS n_rows FROM lineitem GROUP BY ALL)
+SELECT page, CASE WHEN page % 3 = 0 THEN 'ruled' ELSE 'aligned' END AS kind, n_rows FROM o WHERE n_rows > 0 AND (page % 3 = 0 OR page % 5 <> 0)""")
+def page_tables(spark, sf):
+    """Tables of raw pages: by lines where there are any, else by aligned text unless the page has a heading's rules."""
+    return files.blocks(page_models(V.raw_pages(spark, sf)), "table_blocks").select("page", F.when(F.col("x0") == 1, "ruled").otherwise("aligned").alias("kind"), F.size("rows").cast("long").alias("n_rows"))
+
+
+@query()
+def ingest(spark, sf):
+    """Chunks of web pages, a hundred to a document, from raw pages and an outline of their headings."""
+    raw, toc = V.web_pages(spark, sf)
+    keep = stored(spark, "ingest")
+    return plan.ingest(keep(page_models(raw)), toc, keep=keep, cleaned=True)
+
 
 
 @query(with_(V.TEXT_BOXES, V.BIG_BOXES) + """, plain AS (SELECT page, y0, 3 AS build, block_ord AS own, CASE WHEN page % 2 = 0 THEN 'definition' ELSE 'text' END AS kind FROM texts t WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.page = t.page AND (t.x0 + t.x1) / 2.0 BETWEEN b.x0 - 2 AND b.x1 + 2 AND (t.y0 + t.y1) / 2.0 BETWEEN b.y0 - 2 AND b.y1 + 2)),

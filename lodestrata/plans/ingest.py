@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunks as C
 from ..operators import flow, layout, structure, tables
+from ..plugins import Decoder
 from ..profile import CAPTION_MARGIN, DEFAULT, DEFINITION_PARTS, FIGURE_AREA, Profile
-from ..sources.files import blocks
+from ..schema import RAW_PAGE
+from ..session import stored
+from ..sources.files import blocks, read_documents, read_toc
+from ..sources.pages import page_models
 
 PAGE = ["source", "page"]
 
 
-def ingest(pages: DataFrame, toc: DataFrame, header_mode: str = "fixed", profile: Profile = DEFAULT, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+def ingest(pages: DataFrame, toc: DataFrame, header_mode: str = "fixed", profile: Profile = DEFAULT, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist, cleaned: bool = False) -> DataFrame:
     """Chunks of all documents. pages: schema.PAGE; toc: schema.TOC (source, toc_ord, level, title, page_start).
 
+    cleaned: the pages come from pages.page_models, so texts and tables are clean and chosen already.
+
     keep: what to do with the few tables that several kinds of chunks are made of (blocks, sections); they are used again.
     Every step is a join or window keyed by source and page, so documents are independent and none is held in memory.
     """
@@ -28,10 +34,12 @@ def ingest(pages: DataFrame, toc: DataFrame, header_mode: str = "fixed", profile
     places = keep(structure.page_sections(secs))
     versions = pages.select("source", "version").distinct()
 
-    texts = blocks(pages, "text_blocks").withColumn("text", X.clean_text(F.col("text"), profile)).filter("text <> ''")
-    texts = texts.filter(~layout.in_margin(F.col("y0"), F.col("y1"), F.col("height")))
+    texts, grids = blocks(pages, "text_blocks"), blocks(pages, "table_blocks")
+    if not cleaned:
+        texts = texts.withColumn("text", X.clean_text(F.col("text"), profile)).filter("text <> ''")
+        texts = texts.filter(~layout.in_margin(F.col("y0"), F.col("y1"), F.col("height")))
+        grids = grids.filter(tables.is_plausible(F.col("rows"))).withColumn("rows", tables.drop_noise(F.col("rows"), profile)).filter(F.size("rows") > 0)
     texts = keep(texts)
-    grids = blocks(pages, "table_blocks").withColumn("rows", tables.drop_noise(F.col("rows"))).filter(tables.is_plausible(F.col("rows")))
     drawings = blocks(pages, "drawing_clusters").filter((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= FIGURE_AREA)
     images = blocks(pages, "image_blocks")
 
@@ -67,6 +75,17 @@ def ingest(pages: DataFrame, toc: DataFrame, header_mode: str = "fixed", profile
     return out.unionByName(C.definition_chunks(C.attach_section(defs.join(versions, "source"), secs), profile))
 
 
+def ingest_documents(spark: SparkSession, path: str, decoder: Callable[[], Decoder], pattern: str = "*.pdf", page_offset: int = 1, **options) -> DataFrame:
+    """Chunks of a folder's documents, from what the decoder finds on their pages (schema.RAW_PAGE) and from their own outlines.
+
+    Page models and the tables that several kinds of chunks are made of are written once, so that no document is decoded twice.
+    """
+    keep = stored(spark, "ingest")
+    raw = read_documents(spark, path, decoder, pattern, RAW_PAGE)
+    pages = keep(page_models(raw, options.get("profile", DEFAULT)))
+    return ingest(pages, read_toc(spark, path, decoder, pattern, page_offset), cleaned=True, **{"keep": keep, **options})
+
+
 def lost_definition_blocks(placed: DataFrame, secs: DataFrame) -> DataFrame:
     """Sections whose title holds a definition word but is not a definition title: their blocks on such pages give no chunk."""
     from ..profile import DEFINITION_TITLES

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import RAW_PAGE
+from ..sources.files import html_blocks
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,6 +71,45 @@ TEXT_BOXES = """texts AS (SELECT (p_partkey // 200)::INT AS page, p_partkey AS b
   (p_partkey * 37) % 500 + 20 + p_size AS x1, (p_partkey * 53) % 700 + 12 AS y1 FROM part)"""
 
 
+def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as raw pages: lines as spans of up to three blocks, one of them in the margin on some; the same lines as a table's rows."""
+    flag, k = F.col("l_returnflag"), F.col("l_orderkey")
+    text = F.when(flag == "R", "Page 7 ").otherwise(F.concat(F.lit(" "), flag, F.lit("–"), "l_linestatus", F.col("l_suppkey").cast("string")))
+    q = F.col("l_quantity").cast("int")
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", q.alias("q"), text.alias("t"))))
+    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("lines"))
+    box = lambda x, y: [F.lit(x).alias("x0"), y.alias("y0"), F.lit(x + 9.0).alias("x1"), (y + 9).alias("y1")]
+    span = lambda x: F.struct(x["t"].alias("text"), x["q"].cast("double").alias("size"), x["l_linenumber"].alias("flags"))
+    block = lambda n: F.struct(
+        F.lit(0).alias("type"), *box(5.0, F.when(F.lit(n) == k % 7, 700.0).otherwise(100.0 + n)), F.lit(n).alias("block_no"),
+        F.transform(F.filter("lines", lambda x: x["l_linenumber"] % 3 == n), span).alias("spans"),
+    )
+    rows = F.transform("lines", lambda x: F.array(F.lit("i"), F.when(x["t"] != "Page 7 ", x["t"]), F.lit(None).cast("string")))
+    grid = lambda x: F.array(F.struct(*box(x, F.lit(300.0)), rows.alias("rows")))
+    edge = lambda top: F.struct(F.lit("h").alias("orientation"), F.lit(0.0).alias("x0"), F.lit(500.0).alias("x1"), F.lit(top).alias("top"), F.lit(top).alias("bottom"))
+    return o.select(
+        F.lit("orders.pdf").alias("source"), F.lit("5.1").alias("version"), k.cast("int").alias("page_num"), F.lit(600.0).alias("width"), F.lit(700.0).alias("height"),
+        F.array(block(0), block(1), block(2)).alias("blocks"), F.lit(None).cast(RAW_PAGE["drawings"].dataType).alias("drawings"), F.lit(None).cast(RAW_PAGE["images"].dataType).alias("images"),
+        F.when(k % 5 == 0, F.array(edge(80.0), edge(102.0))).alias("edges"), F.when(k % 3 == 0, grid(1.0)).alias("ruled_tables"), grid(2.0).alias("aligned_tables"),
+    )
+
+
+def web_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(raw pages, outline) of web pages, a hundred to a document: blocks of markup from top to bottom, headings as the outline."""
+    k = F.col("page")
+    b = html_blocks(table(spark, sf_dir, "pages")).filter("text <> ''")
+    b = b.withColumns({"source": F.concat(F.lit("web-"), F.expr("page div 100").cast("string"), F.lit("-B51")), "page_num": (k % 100 + 1).cast("int")})
+    y = (F.col("block_ord") * 20 + 100).cast("double")
+    spans = F.array(F.struct("text", F.lit(9.0).alias("size"), F.lit(0).alias("flags")))
+    block = F.struct(F.lit(0).alias("type"), F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 12).alias("y1"), F.col("block_ord").alias("block_no"), spans.alias("spans"))
+    pages = b.groupBy("source", "page_num").agg(F.sort_array(F.collect_list(F.struct("block_ord", block.alias("b")))).alias("bs"))
+    made = {"version": F.lit("5.1"), "width": F.lit(600.0), "height": F.lit(1e9), "blocks": F.transform("bs", lambda x: x["b"])}
+    raw = pages.select(*[made.get(f.name, F.col(f.name) if f.name in pages.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_PAGE.fields])
+    head = b.filter("tag IN ('h1', 'h2')")
+    toc = head.select("source", (F.col("page_num") * 10000 + F.col("block_ord")).alias("toc_ord"), F.substring("tag", 2, 1).cast("int").alias("level"), F.col("text").alias("title"), F.col("page_num").alias("page_start"))
+    return raw, toc
+
+
 def big_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as tables and figures on pages of 10."""
     k = F.col("s_suppkey")

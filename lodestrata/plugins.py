@@ -93,17 +93,25 @@ def generated_variants(make: Callable[[], Generator], query: Column, most: int =
 
 
 class Decoder(Protocol):
-    """From a file's bytes to page records (see schema.PAGE) as dictionaries."""
+    """From a file's bytes to page records (see schema.PAGE, schema.RAW_PAGE) as dictionaries, and to its outline."""
 
     def pages(self, name: str, content: bytes) -> Iterator[dict]: ...
 
+    def outline(self, name: str, content: bytes) -> Iterator[tuple[int, str, int]]: ...
+
 
 class JsonPageDecoder:
-    """Pages from JSON lines with the fields of schema.PAGE: what an offline extractor writes."""
+    """JSON lines as an offline extractor writes them: pages with the fields of the schema, and {"toc": [[level, title, page], ...]}."""
 
-    def pages(self, name: str, content: bytes) -> Iterator[dict]:  # noqa: ARG002
+    def _lines(self, content: bytes) -> Iterator[dict]:
         import json
 
-        for line in content.decode("utf-8").splitlines():
+        for line in content.decode("utf-8").split("\n"):
             if line.strip():
                 yield json.loads(line)
+
+    def pages(self, name: str, content: bytes) -> Iterator[dict]:  # noqa: ARG002
+        return (r for r in self._lines(content) if "toc" not in r)
+
+    def outline(self, name: str, content: bytes) -> Iterator[tuple[int, str, int]]:  # noqa: ARG002
+        return (tuple(e) for r in self._lines(content) for e in r.get("toc", ()))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -28,6 +30,27 @@ def ship(spark: SparkSession) -> None:
 
 
 def working_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the driver and the executors share: the session's spark.checkpoint.dir, or a local one where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints")
+    """A new folder below the one that the driver and the executors share, the session's spark.checkpoint.dir; a local one where that is unset, in local mode only."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        root = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
+    """Writes frames as Parquet below a working folder and reads them back: their plans end there, and lost executors do not cost them again.
+
+    The folder goes when the application ends.
+    """
+    uri, numbers = working_folder(spark, name), itertools.count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{uri}/{next(numbers)}"
+        df.write.parquet(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+        return spark.read.parquet(path)
+
+    return keep

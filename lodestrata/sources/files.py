@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..plugins import Decoder
-from ..schema import CHUNK, PAGE, QUESTION, RESPONSE
+from ..schema import CHUNK, PAGE, QUESTION, RESPONSE, TOC
 
 
 def read_chunks(spark: SparkSession, path: str, validated: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -48,38 +48,46 @@ def write_responses(responses: DataFrame, path: str, mode: str = "errorifexists"
     responses.select(*RESPONSE.fieldNames(), *[c for c in ("pipeline",) if c in responses.columns]).write.mode(mode).json(path)
 
 
-def read_documents(spark: SparkSession, path: str, decoder: Callable[[], Decoder], pattern: str = "*.pdf") -> DataFrame:
-    """The page models of binary documents, decoded in the tasks that read them. No matching file is an error, as is a missing path."""
+def _decoded(spark: SparkSession, path: str, pattern: str, schema: T.StructType, rows: Callable[[str, bytes], Iterator[dict]]) -> DataFrame:
+    """The rows that a decoder gives for each file, in the tasks that read it; fields it does not give are null."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    names = PAGE.fieldNames()
+    names = schema.fieldNames()
 
     def decode(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, reader = to_arrow_schema(PAGE), decoder()
+        arrow = to_arrow_schema(schema)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [{k: p.get(k) for k in names} | {"source": name} for p in reader.pages(name, content)]
-                if rows:
-                    yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
+                found = [{k: r.get(k) for k in names} | {"source": name} for r in rows(name, content)]
+                if found:
+                    yield from pa.Table.from_pylist(found, schema=arrow).to_batches()
 
-    pages = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(decode, PAGE)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(decode, schema)
+
+
+def read_documents(spark: SparkSession, path: str, decoder: Callable[[], Decoder], pattern: str = "*.pdf", schema: T.StructType = PAGE) -> DataFrame:
+    """The page models of binary documents (schema=RAW_PAGE: what was found on their pages, for pages.page_models). A missing path is an error."""
+    pages = _decoded(spark, path, pattern, schema, lambda name, content: decoder().pages(name, content))
     return pages.withColumn("version", F.coalesce("version", X.file_version(F.col("source"))))
 
 
+def read_toc(spark: SparkSession, path: str, decoder: Callable[[], Decoder], pattern: str = "*.pdf", page_offset: int = 1) -> DataFrame:
+    """schema.TOC of binary documents: their outlines' entries in order, page_offset added to the decoder's page numbers (1: it counts from 0)."""
+
+    def rows(name: str, content: bytes) -> Iterator[dict]:
+        for i, (level, title, page) in enumerate(decoder().outline(name, content)):
+            yield {"toc_ord": i, "level": level, "title": title, "page_start": page + page_offset}
+
+    return _decoded(spark, path, pattern, TOC, rows)
+
+
 def blocks(pages: DataFrame, kind: str) -> DataFrame:
     """The blocks of one kind of page models, a row each with block_ord from 0."""
     return pages.select("source", "version", F.col("page_num").alias("page"), "width", "height", F.posexplode(kind).alias("block_ord", "b")).select("source", "version", "page", "width", "height", "block_ord", "b.*")
 
 
-def merge_spans(spans: DataFrame, block: list[str], profile=None) -> DataFrame:
-    """Text blocks from spans (block, span_ord, text, size, flags): cleaned texts joined by blanks, mean size to one decimal, the last span's flags."""
-    cleaned = spans.withColumn("text", X.clean_text(F.col("text")) if profile is None else X.clean_text(F.col("text"), profile)).filter("text <> ''")
-    words = F.transform(F.array_sort(F.collect_list(F.struct("span_ord", "text"))), lambda s: s["text"])
-    return cleaned.groupBy(*block).agg(F.array_join(words, " ").alias("text"), F.round(F.avg("size"), 1).alias("font_size"), F.max_by("flags", "span_ord").alias("font_flags"))
-
-
 def html_blocks(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """(page, block_ord, tag, text): headings, paragraphs and list items of web pages, in order, with their markup removed."""
     pattern = r"(?is)<(h1|h2|p|li)\b[^>]*>(.*?)(?=</\1>|<(?:h1|h2|p|li|/article|/ul|/body)\b)"

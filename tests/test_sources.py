@@ -2,8 +2,12 @@ import json
 
 from pyspark.sql import functions as F
 
+from lodestrata.functions.formulas import round_tenth
+from lodestrata.plans.ingest import ingest_documents
 from lodestrata.plugins import EchoGenerator, HashingEmbedder, JsonPageDecoder, answers, embedding, generated_variants, synonym_variants
+from lodestrata.schema import PAGE, RAW_PAGE
 from lodestrata.sources import files
+from lodestrata.sources.pages import merge_spans, page_models
 from lodestrata.sources.store import VectorStore, index_chunks
 from lodestrata.streaming.incremental import index_stream
 
@@ -65,9 +69,67 @@ def test_documents_through_a_decoder(spark, tmp_path):
 
 
 def test_spans(spark):
-    rows = [(1, 0, "Page 3", 9.0, 1), (1, 1, "a", 9.0, 1), (1, 2, "b", 9.5, 4)]
-    got = files.merge_spans(spark.createDataFrame(rows, "block int, span_ord int, text string, size double, flags int"), ["block"]).first()
-    assert (got.text, got.font_size, got.font_flags) == ("a b", 9.3, 4) or got.font_size == 9.2
+    kind = "spans array<struct<text string, size double, flags int>>"
+    rows = [([("Page 3", 9.0, 1), ("a", 9.0, 1), None, ("b", 9.5, 4)],), ([(None, 9.0, 1), ("", None, 2)],), ([("x", None, None)],), ([],), (None,)]
+    got = spark.createDataFrame(rows, kind).select(merge_spans(F.col("spans")).alias("m")).select("m.*").collect()
+    assert [tuple(r) for r in got] == [("a b", 9.2, 4), ("", 0.0, 0), ("x", 0.0, 0), ("", 0.0, 0), ("", 0.0, 0)]
+
+
+def test_round_tenth_is_pythons(spark):
+    xs = [n / d for n in range(0, 400) for d in (1, 3, 4, 7, 8, 20, 100)] + [9.35, 2.675, 123456.75, 0.05, 1e9 + 0.25]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", round_tenth(F.col("x")).alias("r")).collect()
+    assert [(r.x, r.r) for r in got] == [(r.x, round(r.x, 1)) for r in got]
+
+
+BOXES = [(0.0, 0.0, 80.0, 80.0), (83.0, 0.0, 90.0, 80.0), (300.0, 300.0, 310.0, 310.0), (5.0, 5.0, 5.0, 60.0)]
+
+
+def raw_page(no, **more):
+    row = {"source": "a-B51.pdf", "version": "5.1", "page_num": no, "width": 600.0, "height": 800.0, "blocks": None, "drawings": None, "images": None, "edges": None, "ruled_tables": None, "aligned_tables": None}
+    return row | more
+
+
+def lines(*tops):
+    return [("h", 0.0, 500.0, t, t) for t in tops] + [("v", 0.0, 500.0, t + 12, t + 12) for t in tops]
+
+
+def test_raw_pages_become_page_models(spark):
+    wide = [["Heading"] + [None] * 9, ["a"] * 10]
+    table = lambda x, rows: (x, 0.0, 9.0, 9.0, rows)
+    body = [["Bit", " i "], [None, ""], ["0", "e•MMC"]]
+    raw = [
+        raw_page(1, blocks=[(0, 1.0, 100.0, 9.0, 110.0, 3, [("e•MMC", 10.0, 1), ("bus", 11.0, 2)]), (1, 1.0, 100.0, 9.0, 110.0, 4, [("image", 1.0, 1)]), (0, 1.0, 20.0, 9.0, 30.0, 5, [("header", 9.0, 0)]), (0, 1.0, 200.0, 9.0, 210.0, 6, [("Page 4", 9.0, 0)])]),
+        raw_page(2, drawings=BOXES, images=[(7, 3, 4, []), (8, 5, 6, [(1.0, 2.0, 3.0, 4.0), (9.0, 9.0, 9.0, 9.0)]), (9, 1, 1, None)]),
+        raw_page(3, ruled_tables=[table(1.0, body), table(2.0, wide)], aligned_tables=[table(3.0, body)]),
+        raw_page(4, ruled_tables=[], aligned_tables=[table(3.0, body)], edges=lines(100.0)),
+        raw_page(5, aligned_tables=[table(3.0, body)], edges=lines(100.0, 122.0)),
+        raw_page(6, aligned_tables=[table(3.0, [[None, "i"]])], edges=lines(100.0, 180.0)),
+        raw_page(6, version=None),
+    ]
+    df = spark.createDataFrame([tuple(r.values()) for r in raw], RAW_PAGE).withColumn("extra", F.lit(1))
+    got = page_models(df)
+    assert got.schema.simpleString() == PAGE.simpleString()
+    by = {(r.page_num, r.version): r for r in got.collect()}
+    assert [tuple(b) for b in by[1, "5.1"].text_blocks] == [(1.0, 100.0, 9.0, 110.0, "e*MMC bus", 10.5, 2, 3)]
+    assert [tuple(d) for d in by[2, "5.1"].drawing_clusters] == [(0.0, 0.0, 90.0, 80.0, 7200.0, 2)]
+    assert [tuple(i) for i in by[2, "5.1"].image_blocks] == [(1.0, 2.0, 3.0, 4.0, 8, 5, 6)]
+    cleaned = [["Bit", None], ["0", "e*MMC"]]
+    assert [(t.x0, t.rows) for t in by[3, "5.1"].table_blocks] == [(1.0, cleaned)]
+    assert [(t.x0, t.rows) for t in by[4, "5.1"].table_blocks] == [(3.0, cleaned)]
+    assert by[5, "5.1"].table_blocks == [] and by[6, "5.1"].table_blocks == []
+    assert list(by[6, None])[5:] == [[], [], [], []] and len(by) == 7
+    assert page_models(df.limit(0)).count() == 0
+
+
+def test_documents_with_their_outlines(spark, tmp_path):
+    block = {"type": 0, "x0": 50.0, "y0": 100.0, "x1": 300.0, "y1": 112.0, "block_no": 0, "spans": [{"text": "The bus is wide and has", "size": 9.0, "flags": 0}, {"text": "eight lines.", "size": 9.0, "flags": 0}]}
+    rows = [{"toc": [[1, "1 Bus", 0], [2, "1.1 Lines", 1]]}, {"page_num": 1, "width": 600.0, "height": 800.0, "blocks": [block]}, {"page_num": 2, "width": 600.0, "height": 800.0, "blocks": [block]}]
+    (tmp_path / "spec-B51.pages").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    toc = files.read_toc(spark, str(tmp_path), JsonPageDecoder, "*.pages")
+    assert [tuple(r) for r in toc.orderBy("toc_ord").collect()] == [("spec-B51.pages", 0, 1, "1 Bus", 1), ("spec-B51.pages", 1, 2, "1.1 Lines", 2)]
+    assert files.read_toc(spark, str(tmp_path), JsonPageDecoder, "*.pages", page_offset=0).agg(F.min("page_start")).first()[0] == 0
+    got = ingest_documents(spark, str(tmp_path), JsonPageDecoder, "*.pages").orderBy("page_start").collect()
+    assert [(r.section_title, r.raw_text) for r in got] == [("Bus", "The bus is wide and has eight lines."), ("Lines", "The bus is wide and has eight lines.")]
 
 
 def test_plugins(spark):
