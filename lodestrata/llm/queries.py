@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, archives, bagminhash, bpe_trie, common, exact_dedup, langid, licences, packing, pii, token_store
+from . import ann, archives, bagminhash, bpe_trie, common, exact_dedup, langid, licences, packing, pii, prefix_counts, token_store
 
 #: The setting that holds the pseudonyms' secret, and the tokenizer that lengths are counted with.
 SECRET, TOKENIZER = "spark.lodestrata.pii.secret", "byte_bpe_50k.json"
@@ -79,9 +79,16 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(common.table(spark, sf_dir, "documents"), common.work_dir(spark, "near"))
 
 
+def op13_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = common.table(spark, sf_dir, "documents")
+    return prefix_counts.totals(prefix_counts.prefix_table(docs, public_tokenizers.path("piece_bpe_32k.model"), common.work_dir(spark, "prefixes")), limit=4096)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_language_id, op3_huffman_tokens, op4_zip_warc, op5_hash_prefix_forest, op6_trie_bpe, op7_perfect_hash_dedup, op8_feistel_pii, op9_licence_rules, op10_bagminhash, page_language_id)
+    for f in (op1_best_fit_packing, op2_language_id, op3_huffman_tokens, op4_zip_warc, op5_hash_prefix_forest, op6_trie_bpe, op7_perfect_hash_dedup, op8_feistel_pii, op9_licence_rules, op10_bagminhash, op13_prefix_token_counts, page_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {
