@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, archives, bagminhash, bpe_trie, common, exact_dedup, langid, licences, packing, pii, prefix_counts, token_store
+from . import ann, archives, bagminhash, bpe_trie, common, exact_dedup, importance, langid, licences, packing, pii, prefix_counts, token_store
 
 #: The setting that holds the pseudonyms' secret, and the tokenizer that lengths are counted with.
 SECRET, TOKENIZER = "spark.lodestrata.pii.secret", "byte_bpe_50k.json"
@@ -79,6 +79,11 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(common.table(spark, sf_dir, "documents"), common.work_dir(spark, "near"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")
+    return importance.resample(docs, target, common.work_dir(spark, "resample"))
+
+
 def op13_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,7 +93,7 @@ def op13_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_language_id, op3_huffman_tokens, op4_zip_warc, op5_hash_prefix_forest, op6_trie_bpe, op7_perfect_hash_dedup, op8_feistel_pii, op9_licence_rules, op10_bagminhash, op13_prefix_token_counts, page_language_id)
+    for f in (op1_best_fit_packing, op2_language_id, op3_huffman_tokens, op4_zip_warc, op5_hash_prefix_forest, op6_trie_bpe, op7_perfect_hash_dedup, op8_feistel_pii, op9_licence_rules, op10_bagminhash, op11_importance_resampling, op13_prefix_token_counts, page_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {
