@@ -39,6 +39,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return uri
 
 
+def kept_dir(spark: SparkSession, name: str) -> str:
+    """A new folder URI below the shared root, for files that stay."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def remove(uri: str) -> None:
     """Delete a folder, if it is there and its file system can be reached."""
     with contextlib.suppress(OSError, ValueError):  # pyarrow's errors are of these kinds
@@ -84,9 +89,12 @@ def publish(uri: str, write) -> None:
 
 
 def exists(uri: str) -> bool:
+    return exists_in(*open_fs(uri))
+
+
+def exists_in(fs, path: str) -> bool:
     from pyarrow import fs as pafs
 
-    fs, path = open_fs(uri)
     return fs.get_file_info(path).type == pafs.FileType.File
 
 

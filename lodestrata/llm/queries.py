@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, archives, bagminhash, bpe_trie, common, exact_dedup, importance, langid, licences, packing, pii, prefix_counts, token_store
+from . import ann, archives, bagminhash, bpe_trie, common, exact_dedup, importance, langid, licences, packing, pii, prefix_counts, time_partitions, token_store
 
 #: The setting that holds the pseudonyms' secret, and the tokenizer that lengths are counted with.
 SECRET, TOKENIZER = "spark.lodestrata.pii.secret", "byte_bpe_50k.json"
@@ -45,12 +45,12 @@ def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    manifest = token_store.write_tokens(docs, vocabulary("byte_bpe_50k.json"), common.work_dir(spark, "tokens"), end_id=2)
+    manifest = token_store.write_tokens(docs, vocabulary("byte_bpe_50k.json"), common.kept_dir(spark, "tokens"), end_id=2)
     return token_store.read_tokens(manifest)
 
 
 def op4_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = archives.write_archives(common.table(spark, sf_dir, "pages"), common.work_dir(spark, "archives"))
+    manifest = archives.write_archives(common.table(spark, sf_dir, "pages"), common.kept_dir(spark, "archives"))
     return archives.read_archives(manifest).drop("url")
 
 
@@ -84,6 +84,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(docs, target, common.work_dir(spark, "resample"))
 
 
+def op12_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = common.table(spark, sf_dir, "clicks")
+    return time_partitions.rewrite_clicks(spark, clicks, common.kept_dir(spark, "clicks"), common.work_dir(spark, "layout"))
+
+
 def op13_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -93,7 +98,7 @@ def op13_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_language_id, op3_huffman_tokens, op4_zip_warc, op5_hash_prefix_forest, op6_trie_bpe, op7_perfect_hash_dedup, op8_feistel_pii, op9_licence_rules, op10_bagminhash, op11_importance_resampling, op13_prefix_token_counts, page_language_id)
+    for f in (op1_best_fit_packing, op2_language_id, op3_huffman_tokens, op4_zip_warc, op5_hash_prefix_forest, op6_trie_bpe, op7_perfect_hash_dedup, op8_feistel_pii, op9_licence_rules, op10_bagminhash, op11_importance_resampling, op12_time_partitions, op13_prefix_token_counts, page_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {
