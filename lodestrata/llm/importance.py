@@ -19,20 +19,16 @@ from pyspark.sql.window import Window
 
 from .common import stash
 
+#: what stands between words: ASCII characters but digits and letters, [\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]
+BREAKS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: words after lower-casing A-Z
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BUCKETS = 10_000
 
 
 def words(text: str) -> Column:
-    """The text's words, A-Z in lower case and other letters as they are. Words are found before they are lower-cased: few have capitals."""
-    found = F.regexp_extract_all(F.col(text), F.lit(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")), F.lit(0))
-
-    def lowered(w: Column) -> Column:
-        return F.when(~w.rlike("[A-Z]"), w).when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
-
-    return F.coalesce(F.transform(found, lowered), F.array().cast("array<string>"))
+    """The text's words, A-Z in lower case and other letters as they are: one translation, then cuts at blanks (a pattern takes several times as long)."""
+    plain = F.translate(F.col(text), BREAKS + UPPER, " " * len(BREAKS) + LOWER)
+    return F.array_remove(F.split(F.coalesce(plain, F.lit("")), " "), "")
 
 
 def buckets(of: Column, n: int = BUCKETS) -> Column:

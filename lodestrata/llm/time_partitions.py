@@ -104,7 +104,8 @@ def plan_leaves(counts: Callable[[int, list[int] | None], dict[int, int]], most:
 
 
 def _hours(rows: DataFrame, uri: str) -> Callable[[int, list[int] | None], dict[int, int]]:
-    table = common.stash(rows.filter("__hour IS NOT NULL").groupBy(F.col("__hour").alias("hour")).count(), uri)
+    # nulls go after the counting: a filter before it would repeat the moment's expressions for each part of the hour
+    table = common.stash(rows.groupBy(F.col("__hour").alias("hour")).count(), uri).filter("hour IS NOT NULL")
 
     def counts(unit: int, nodes: list[int] | None) -> dict[int, int]:
         """Hours end in 1 to 24, so cutting digits off leads to the node above."""
