@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.bind import bound
 from ..functions.ids import chunk_id
-from ..profile import DEFAULT, DEFINITION_TITLES, Profile
+from ..profile import DEFAULT, DEFINITION_TITLES, TABLE_CHARS, Profile
 from ..schema import CHUNK
 from .splitter import split_frame
 from .tables import row_groups, table_markdowns
@@ -46,25 +47,25 @@ def text_chunks(runs: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     return record(parts, F.col("kind"), F.col("chunk"), _prefix(profile), F.col("chunk_index"))
 
 
-def table_chunks(tables: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+def table_chunks(tables: DataFrame, profile: Profile = DEFAULT, limit: int = TABLE_CHARS) -> DataFrame:
     """Full-table and row-group chunks of preprocess()ed tables (BASE, caption, header, body, notes).
 
-    A table's caption is the first of its page. Row groups name the first full chunk of their table as parent.
+    A table's caption is the first of its page. Row groups name the first full chunk of their table as parent. Both kinds
+    come from one pass over the tables.
     """
     caption = F.coalesce("caption", F.lit(""))
-    prefix = F.concat(F.expr("substring(p, 1, length(p) - 1)"), F.lit("\n"), F.when(caption != "", F.concat(caption, F.lit("\n"))).otherwise(""), F.lit("\n"))
-    t = tables.withColumn("p", _prefix(profile)).withColumn("p", prefix)
-    t = table_markdowns(t, F.col("p"))
-    cap = F.nullif(caption, F.lit(""))
-    first = F.get("parts", F.lit(0))
-    parent = chunk_id(F.col("source"), F.col("version"), F.lit("table"), F.col("page_start"), F.col("section_path"), F.lit(0), first)
-    t = t.withColumn("parent", F.when(F.size("parts") > 0, parent)).withColumn("cap", cap)
-    full = t.select("*", F.posexplode("parts").alias("i", "md"))
-    out = record(full, F.lit("table"), F.col("md"), F.col("p"), F.col("i"), table_markdown=F.col("md"), caption=F.col("cap"))
+    t = bound(tables, cap=F.nullif(caption, F.lit("")), p=_prefix(profile))
+    prefix = F.concat(F.expr("substring(p, 1, length(p) - 1)"), F.lit("\n"), F.coalesce(F.concat("cap", F.lit("\n")), F.lit("")), F.lit("\n"))
+    t = table_markdowns(bound(t, p=prefix), F.col("p"), limit)
     register = F.coalesce(F.col("cap"), F.nullif(F.col("section_title"), F.lit("")), F.lit("Register"))
-    groups = t.filter("parent is not null").select("*", F.explode(row_groups(F.col("header"), F.col("body"), F.col("notes"), register)).alias("g"))
-    rows = record(groups, F.lit("table"), F.col("g.markdown"), F.col("p"), F.col("g.index"), table_markdown=F.col("g.markdown"), caption=F.col("cap"), parent=F.col("parent"), is_row=F.lit(True))
-    return out.unionByName(rows)
+    parent = chunk_id(F.col("source"), F.col("version"), F.lit("table"), F.col("page_start"), F.col("section_path"), F.lit(0), F.get("parts", F.lit(0)))
+    piece = lambda md, i, row: F.struct(md.alias("md"), i.alias("i"), F.lit(row).alias("is_row"))
+    whole = F.transform("parts", lambda md, i: piece(md, i, False))
+    groups = F.transform(row_groups(F.col("header"), F.col("body"), F.col("notes"), register), lambda g: piece(g["markdown"], g["index"], True))
+    t = bound(t, parent=F.when(F.size("parts") > 0, parent), pieces=F.when(F.size("parts") > 0, F.concat(whole, groups)).otherwise(whole))
+    t = t.select(*BASE, "p", "cap", "parent", F.explode("pieces").alias("piece"))
+    md, is_row = F.col("piece.md"), F.col("piece.is_row")
+    return record(t, F.lit("table"), md, F.col("p"), F.col("piece.i"), table_markdown=md, caption=F.col("cap"), parent=F.when(is_row, F.col("parent")), is_row=is_row)
 
 
 def figure_chunks(figures: DataFrame, profile: Profile = DEFAULT) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import bound, let
 from ..functions.text import clean_text, trim_all
 from ..profile import DEFAULT, FILL_RATE, REGISTER_COLUMNS, TABLE_CHARS, TABLE_COLUMNS, Profile
 
@@ -76,16 +77,24 @@ def notes_text(rows: Column) -> Column:
     return F.array_join(F.transform(rows, lambda r: F.regexp_replace(F.get(r, F.lit(0)), r"(?i) (NOTE \d)", "\n$1")), "\n")
 
 
+def _cut(items: Column, starts: Column) -> Column:
+    """items in slices that begin at these places (from 0, rising); what is before the first is left out."""
+    return let(F.struct(items.alias("x"), starts.alias("at")), lambda v: F.transform(v["at"], lambda a, k: F.slice(v["x"], a + 1, F.coalesce(F.get(v["at"], k + 1), F.size(v["x"])) - a)))
+
+
 def forward_fill(body: Column) -> Column:
-    """Every row's empty key takes the last key above it; empty keys at the top stay."""
-    zero = F.struct(F.lit("").alias("last"), F.array().cast(f"array<{EMPTY}>").alias("rows"))
+    """Every row's empty key takes the last key above it; empty keys at the top stay. Cuts the rows at their keys: linear in them."""
+
+    def fill(rows: Column) -> Column:
+        keyed = F.filter(_range(F.size(rows)), lambda i: F.get(F.get(rows, i), F.lit(0)) != "")
+
+        def filled_run(run: Column) -> Column:
+            key = F.get(F.get(run, F.lit(0)), F.lit(0))
+            return F.transform(run, lambda r: F.when(F.size(r) > 0, F.concat(F.array(key), F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))))).otherwise(r))
 
-    def step(s, r):
-        key = F.when(F.get(r, F.lit(0)) != "", F.get(r, F.lit(0))).otherwise(s["last"])
-        row = F.when(F.size(r) > 0, F.concat(F.array(key), F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))))).otherwise(r)
-        return F.struct(key.alias("last"), F.array_append(s["rows"], row).alias("rows"))
+        return let(keyed, lambda at: F.concat(F.slice(rows, F.lit(1), F.coalesce(F.get(at, F.lit(0)), F.size(rows))), F.flatten(F.transform(_cut(rows, at), filled_run))))
 
-    return F.aggregate(body, zero, step, lambda s: s["rows"])
+    return let(body, fill)
 
 
 def preprocess(tables: DataFrame, rows: str = "rows", header_mode: str = "reference") -> DataFrame:
@@ -95,19 +104,22 @@ def preprocess(tables: DataFrame, rows: str = "rows", header_mode: str = "refere
     A table that is null or has no rows has an empty header and body.
     """
     given = F.coalesce(F.col(rows), F.array().cast(f"array<{EMPTY}>"))
-    t = tables.withColumn("columns", column_count(given))
-    start = first_data_row(given, F.col("columns"))
+    start = lambda v: first_data_row(v["given"], v["columns"])
     if header_mode == "fixed":
-        start = F.greatest(start, F.lit(1))
+        start = lambda v: F.greatest(first_data_row(v["given"], v["columns"]), F.lit(1))
     elif header_mode != "reference":
         raise ValueError(header_mode)
-    t = t.withColumn("data_start", F.when(F.size(given) > 0, F.least(start, F.size(given))).otherwise(0))
-    t = t.withColumn("header", F.when(F.size(given) > 0, merge_header(F.slice(given, F.lit(1), F.col("data_start")), F.col("columns"))).otherwise(F.array().cast(EMPTY)))
-    data = F.slice(given, F.col("data_start") + 1, F.greatest(F.size(given) - F.col("data_start"), F.lit(0)))
-    t = t.withColumn("body", F.transform(data, lambda r: F.transform(_range(F.col("columns")), lambda j: cell(F.get(r, j)))))
-    t = t.withColumn("n_notes", note_count(F.col("body")))
-    t = t.withColumn("notes", notes_text(F.slice("body", F.size("body") - F.col("n_notes") + 1, F.col("n_notes"))))
-    return t.withColumn("body", forward_fill(F.slice("body", F.lit(1), F.size("body") - F.col("n_notes"))))
+    t = bound(tables, __v=F.struct(given.alias("given"), column_count(given).alias("columns")))
+    v = F.col("__v")
+    n = F.size(v["given"])
+    t = bound(t, columns=v["columns"], data_start=F.when(n > 0, F.least(start(v), n)).otherwise(0))
+    header = F.when(n > 0, merge_header(F.slice(v["given"], F.lit(1), F.col("data_start")), F.col("columns"))).otherwise(F.array().cast(EMPTY))
+    data = F.slice(v["given"], F.col("data_start") + 1, F.greatest(n - F.col("data_start"), F.lit(0)))
+    t = bound(t, header=header, __body=F.transform(data, lambda r: F.transform(_range(F.col("columns")), lambda j: cell(F.get(r, j)))))
+    t = bound(t, n_notes=note_count(F.col("__body")))
+    rest = F.size("__body") - F.col("n_notes")
+    t = bound(t, notes=notes_text(F.slice("__body", rest + 1, F.col("n_notes"))), body=forward_fill(F.slice("__body", F.lit(1), rest)))
+    return t.drop("__v", "__body")
 
 
 def row_text(r: Column) -> Column:
@@ -132,44 +144,61 @@ def _block(header: Column, rows: Column) -> Column:
 def row_groups(header: Column, body: Column, notes: Column, register: Column) -> Column:
     """(index, key, markdown) of each key's rows, in order of first appearance; notes go to the last.
 
-    Tables of register bits (by the first column's name) name their register above each group.
+    Tables of register bits (by the first column's name) name their register above each group. The rows' places are
+    sorted by key once and cut where the key changes.
     """
-    keys = F.array_distinct(F.transform(body, lambda r: F.get(r, F.lit(0))))
     first = F.lower(F.get(header, F.lit(0)))
     is_register = first.rlike("|".join(REGISTER_COLUMNS))
     context = F.when(is_register, F.concat(F.lit("**Register Context: "), F.coalesce(register, F.lit("Register")), F.lit("**\n\n"))).otherwise("")
+    some = (F.size(header) > 0) & (F.size(body) > 0)
+
+    def grouped(v: Column) -> Column:
+        placed = F.array_sort(F.transform(v["body"], lambda r, i: F.struct(F.get(r, F.lit(0)).alias("key"), i.alias("i"))))
+
+        def runs(p: Column) -> Column:
+            heads = F.filter(_range(F.size(p)), lambda j: (j == 0) | ~F.get(p, j)["key"].eqNullSafe(F.get(p, F.greatest(j - 1, F.lit(0)))["key"]))
+            return F.array_sort(F.transform(_cut(p, heads), lambda g: F.struct(F.get(g, F.lit(0))["i"].alias("first"), g.alias("rows"))))
+
+        def told(groups: Column) -> Column:
+            def one(g, i):
+                own = F.transform(g["rows"], lambda x: F.get(v["body"], x["i"]))
+                tail = F.when((i == F.size(groups) - 1) & (v["notes"] != ""), F.concat(F.lit("\n\n**Notes:**\n"), v["notes"])).otherwise("")
+                return F.struct(i.alias("index"), F.get(g["rows"], F.lit(0))["key"].alias("key"), F.concat(v["context"], _block(v["header"], own), tail).alias("markdown"))
+
+            return F.transform(groups, one)
 
-    def group(k, i):
-        own = F.filter(body, lambda r: F.get(r, F.lit(0)) == k)
-        tail = F.when((i == F.size(keys) - 1) & (notes != ""), F.concat(F.lit("\n\n**Notes:**\n"), notes)).otherwise("")
-        return F.struct(i.alias("index"), k.alias("key"), F.concat(context, _block(header, own), tail).alias("markdown"))
+        return let(let(placed, runs), told)
 
-    return F.when((F.size(header) > 0) & (F.size(body) > 0), F.transform(keys, group)).otherwise(F.filter(F.transform(keys, group), lambda _: F.lit(False)))
+    given = F.struct(header.alias("header"), F.when(some, body).otherwise(F.slice(body, 1, 0)).alias("body"), notes.alias("notes"), context.alias("context"))
+    return let(given, grouped)
 
 
 def pack_rows(header: Column, body: Column, notes: Column, prefix_length: Column, limit: int = TABLE_CHARS) -> Column:
-    """The Markdown of the parts of a table, each with the header and as many rows as fit in `limit` characters with the prefix, one at least."""
+    """The Markdown of the parts of a table, each with the header and as many rows as fit in `limit` characters with the prefix, one at least.
+
+    A fold over the rows' lengths holds the size of the open part and where parts begin; the rows are cut there.
+    """
+
+    def packed(v: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.array(F.lit(0)).alias("at"))
+
+        def step(s, n):
+            over = (v["fixed"] + s["size"] + n > limit) & (s["size"] > 0)
+            return F.struct((s["i"] + 1).alias("i"), F.when(over, n).otherwise(s["size"] + n).alias("size"), F.when(over, F.array_append(s["at"], s["i"])).otherwise(s["at"]).alias("at"))
+
+        lengths = F.transform(v["body"], lambda r: F.length(row_text(r)) + 1)
+        starts = F.when(F.size(v["body"]) > 0, F.aggregate(lengths, zero, step, lambda s: s["at"])).otherwise(F.array().cast("array<int>"))
+        tail = F.when(v["notes"] != "", F.concat(F.lit("\n\n**Notes:**\n"), v["notes"])).otherwise("")
+        return let(starts, lambda at: F.transform(_cut(v["body"], at), lambda p, i: F.concat(_block(v["header"], p), F.when(i == F.size(at) - 1, tail).otherwise(""))))
+
     fixed = prefix_length + F.length(row_text(header)) + F.length(row_text(rule(header))) + 2
-    none = F.array().cast(f"array<{EMPTY}>")
-    zero = F.struct(F.array().cast(f"array<array<{EMPTY}>>").alias("done"), none.alias("open"), F.lit(0).alias("size"))
-
-    def step(s, r):
-        n = F.length(row_text(r)) + 1
-        over = (fixed + s["size"] + n > limit) & (F.size(s["open"]) > 0)
-        return F.struct(
-            F.when(over, F.array_append(s["done"], s["open"])).otherwise(s["done"]).alias("done"),
-            F.when(over, F.array(r)).otherwise(F.array_append(s["open"], r)).alias("open"),
-            F.when(over, n).otherwise(s["size"] + n).alias("size"),
-        )
-
-    parts = F.aggregate(body, zero, step, lambda s: F.when(F.size(s["open"]) > 0, F.array_append(s["done"], s["open"])).otherwise(s["done"]))
-    tail = F.when(notes != "", F.concat(F.lit("\n\n**Notes:**\n"), notes)).otherwise("")
-    return F.transform(parts, lambda p, i: F.concat(_block(header, p), F.when(i == F.size(parts) - 1, tail).otherwise("")))
+    return let(F.struct(header.alias("header"), body.alias("body"), notes.alias("notes"), fixed.alias("fixed")), packed)
 
 
 def table_markdowns(tables: DataFrame, prefix: Column, limit: int = TABLE_CHARS) -> DataFrame:
     """preprocess()ed tables with `parts`: the whole table's Markdown where it fits, else its parts."""
-    whole = markdown(F.col("header"), F.col("body"), F.col("notes"))
-    split = pack_rows(F.col("header"), F.col("body"), F.col("notes"), F.length(prefix), limit)
-    fits = F.length(prefix) + F.length(whole) <= limit
-    return tables.withColumn("parts", F.when(F.trim(whole) == "", F.array().cast(EMPTY)).when(fits, F.array(whole)).otherwise(split))
+    t = bound(tables, __whole=markdown(F.col("header"), F.col("body"), F.col("notes")), __room=limit - F.length(prefix))
+    whole = F.col("__whole")
+    split = pack_rows(F.col("header"), F.col("body"), F.col("notes"), limit - F.col("__room"), limit)
+    parts = F.when(F.trim(whole) == "", F.array().cast(EMPTY)).when(F.length(whole) <= F.col("__room"), F.array(whole)).otherwise(split)
+    return bound(t, parts=parts).drop("__whole", "__room")

@@ -406,15 +406,6 @@ def plausible_tables(spark, sf):
     return t.filter(tables.is_plausible(F.col("rows"))).select("table_id", F.size(tables.drop_noise(F.col("rows"))).cast("long").alias("n_rows"))
 
 
-@query(with_(MD) + "SELECT table_id, count(DISTINCT k) AS n_groups, count(DISTINCT k) AS n_linked FROM body GROUP BY table_id")
-def parent_fk(spark, sf):
-    """Row groups of each table, and those of them that name the table's first full chunk as parent."""
-    c = table_chunks(spark, sf)
-    first = c.filter("NOT is_row_chunk AND chunk_index = 0").select("page_start", F.col("chunk_id").alias("first_id"))
-    groups = c.filter("is_row_chunk").join(first, "page_start", "left").groupBy(F.col("page_start").cast("long").alias("table_id"))
-    return groups.agg(F.count("*").alias("n_groups"), F.count_if(F.col("parent_chunk_id") == F.col("first_id")).alias("n_linked"))
-
-
 # -- chunks ---------------------------------------------------------------------------------------------------------
 
 
@@ -436,13 +427,38 @@ def text_chunks(spark, sf):
     return chunks.text_chunks(_runs(spark, sf))
 
 
-@query()
-def table_chunks(spark, sf):
+def _table_chunks(spark, sf):
     t = tables.preprocess(V.grids(spark, sf), header_mode="fixed")
     t = t.withColumns({"source": F.lit("spec-B51.pdf"), "version": F.lit("5.1"), "page_start": F.col("table_id").cast("int"), "page_end": F.col("table_id").cast("int"), "section_path": F.array(F.lit("7")), "section_title": F.lit("Registers"), "heading_level": F.lit(1), "section_label": F.lit("7 Registers"), "section_front": F.lit(False), "caption": F.lit("Table 3 - Lines")})
     return chunks.table_chunks(t)
 
 
+def uuid5_sql(key: str) -> str:
+    """The version-5 UUID of a key in the engine's namespace."""
+    h = f"sha1(unhex('c7a3f2e184b05d9ea0123456789abcde') || encode({key}))"
+    return f"(SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ('89ab')[1 + ('0x' || h[17])::INT % 4] || h[18:20] || '-' || h[21:32] FROM (SELECT {h} AS h))"
+
+
+@query(with_(MD) + f""", grouped AS (SELECT table_id, k, min(ord) AS first, string_agg('| ' || k || ' | ' || c1 || ' | ' || c2 || ' |  |', chr(10) ORDER BY ord) AS lines FROM body GROUP BY table_id, k),
+whole AS (SELECT table_id, any_value(top) || coalesce(chr(10) || string_agg('| ' || k || ' | ' || c1 || ' | ' || c2 || ' |  |', chr(10) ORDER BY ord), '') AS md FROM tops LEFT JOIN body USING (table_id) GROUP BY table_id),
+parents AS (SELECT table_id, md, {uuid5_sql("'spec-B51.pdf|5.1|table|' || table_id || '|7|0|' || sha256(md)[1:16]")} AS id FROM whole),
+pieces AS (SELECT table_id, md, 0 AS i, false AS is_row, NULL AS parent FROM parents
+  UNION ALL SELECT table_id, top || chr(10) || lines, (row_number() OVER (PARTITION BY table_id ORDER BY first) - 1)::INT, true, id FROM grouped JOIN tops USING (table_id) JOIN parents USING (table_id))
+SELECT {uuid5_sql("'spec-B51.pdf|5.1|table|' || table_id || '|7|' || i || '|' || sha256(md)[1:16]")} AS chunk_id, table_id::INT AS page_start, i AS chunk_index, is_row AS is_row_chunk, parent AS parent_chunk_id, md AS raw_text, md AS table_markdown,
+  '[eMMC 5.1 | 7 Registers | Page ' || table_id || ']' || chr(10) || 'Table 3 - Lines' || chr(10) || chr(10) || md AS text, 'Table 3 - Lines' AS figure_caption FROM pieces""")
+def table_chunks(spark, sf):
+    return _table_chunks(spark, sf).select("chunk_id", "page_start", "chunk_index", "is_row_chunk", "parent_chunk_id", "raw_text", "table_markdown", "text", "figure_caption")
+
+
+@query(with_(MD) + "SELECT table_id, count(DISTINCT k) AS n_groups, count(DISTINCT k) AS n_linked FROM body GROUP BY table_id")
+def parent_fk(spark, sf):
+    """Row groups of each table, and those of them that name the table's first full chunk as parent."""
+    c = _table_chunks(spark, sf)
+    first = c.filter("NOT is_row_chunk AND chunk_index = 0").select("page_start", F.col("chunk_id").alias("first_id"))
+    groups = c.filter("is_row_chunk").join(first, "page_start", "left").groupBy(F.col("page_start").cast("long").alias("table_id"))
+    return groups.agg(F.count("*").alias("n_groups"), F.count_if(F.col("parent_chunk_id") == F.col("first_id")).alias("n_linked"))
+
+
 @query()
 def figure_chunks(spark, sf):
     boxes, texts = V.big_boxes(spark, sf), V.text_boxes(spark, sf)

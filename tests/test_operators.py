@@ -45,6 +45,40 @@ def test_row_groups_and_packing(spark):
     assert [line for p in parts for line in p.split("\n")[2:]] == ["| a | 1 |", "| b | 2 |", "| a | 3 |"] and len(parts) == 3
 
 
+def test_a_table_of_many_rows(spark):
+    n = 100_000
+    rows = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.array(F.when(i == 0, "Bit").when(i % 3 == 1, F.concat(F.lit("k"), (i % 20011).cast("string"))).otherwise(""), i.cast("string")))
+    t = tables.preprocess(spark.range(1).select(F.col("id"), rows.alias("rows")), header_mode="fixed")
+    parts = tables.pack_rows(F.col("header"), F.col("body"), F.col("notes"), F.lit(0))
+    groups = tables.row_groups(F.col("header"), F.col("body"), F.col("notes"), F.lit("R"))
+    got = t.select(parts.alias("p"), groups.alias("g")).first()
+    assert [int(line.split(" | ")[1].rstrip(" |")) for p in got.p for line in p.split("\n")[2:]] == list(range(1, n + 1))
+    assert all(len(p) <= 6000 for p in got.p) and all(len(p) + 20 > 6000 for p in got.p[:-1])
+    want: dict = {}
+    for i in range(1, n + 1):
+        last = f"k{i % 20011}" if i % 3 == 1 else last  # noqa: F821
+        want.setdefault(last, []).append(str(i))
+    assert [g.key for g in got.g] == list(want)
+    assert [[line.split(" | ")[1].rstrip(" |") for line in g.markdown.split("\n") if line.startswith("| k")] for g in got.g] == list(want.values())
+
+
+def test_plans_of_table_chunks_stay_small(spark, sf):
+    from lodestrata.plans import catalog
+
+    for name in ("table_chunks", "parent_fk"):
+        assert len(catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
+def test_groups_and_fill_of_odd_bodies(spark):
+    df = spark.createDataFrame([(1, []), (2, [["", "a"], ["", "b"]]), (3, [["x"], [], ["y"], ["x"]]), (4, None)], "id int, body array<array<string>>")
+    got = {r.id: r for r in df.select("id", tables.forward_fill(F.col("body")).alias("f"), tables.row_groups(F.array(F.lit("H")), F.col("body"), F.lit("n"), F.lit("R")).alias("g")).collect()}
+    assert got[1].f == [] and got[1].g == []
+    assert got[2].f == [["", "a"], ["", "b"]] and [g.key for g in got[2].g] == [""]
+    assert got[3].f == [["x"], [], ["y"], ["x"]]
+    assert [g.key for g in got[3].g] == ["x", None, "y"] and got[3].g[2].markdown.endswith("**Notes:**\nn")
+    assert got[4].f is None
+
+
 def test_plausible(spark):
     wide = [["x"] + [None] * 9, ["a"] * 10]
     full = [["a"] * 10, ["b"] * 10]
