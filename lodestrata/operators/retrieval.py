@@ -72,13 +72,18 @@ def bm25_search(queries: DataFrame, docs: DataFrame, text: Column, n: int = N_SP
     """(query_id, pos, score, rank): the best n documents, ties by position. pad_zero fills up with documents of score 0 by position."""
     found = bm25_scores(queries, docs, text, pos)
     if pad_zero:
-        head = docs.select(pos).orderBy(pos).limit(n)
-        fill = queries.select("query_id").join(F.broadcast(head), how="cross")  # n rows
-        fill = fill.join(found, ["query_id", pos], "left_anti")
-        found = found.unionByName(fill.withColumn("score", F.lit(0.0)))
+        found = padded(found, queries, docs, n, pos)
     return top(found, ["query_id"], [settled("score").desc(), pos], n)
 
 
+def padded(found: DataFrame, queries: DataFrame, docs: DataFrame, n: int, pos: str = "pos") -> DataFrame:
+    """found with documents of score 0, from the first n positions, that it lacks."""
+    head = docs.select(pos).orderBy(pos).limit(n)
+    fill = queries.select("query_id").join(F.broadcast(head), how="cross")  # n rows
+    fill = fill.join(found, ["query_id", pos], "left_anti")
+    return found.unionByName(fill.withColumn("score", F.lit(0.0)))
+
+
 # -- vectors --------------------------------------------------------------------------------------------------------
 
 
@@ -138,9 +143,11 @@ def neighbours(hits: DataFrame, chunks: DataFrame, stored: DataFrame | None = No
     return once.join(last, "query_id").select("query_id", key, (F.col("last") + F.row_number().over(w)).alias("rank"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, default_version: str | None = None, use_bm25: bool = True, n: int = N_RESULTS, n_sparse: int = N_SPARSE, most: float = MAX_DISTANCE, expand: bool = False, pad_zero: bool = False, prefilter_sparse: bool = False) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, default_version: str | None = None, use_bm25: bool = True, n: int = N_RESULTS, n_sparse: int = N_SPARSE, most: float = MAX_DISTANCE, expand: bool = False, pad_zero: bool = False, prefilter_sparse: bool = False, index=None) -> DataFrame:
     """(query_id, id, rank, rrf_score, distance, bm25_score) for a frame of queries (query_id, query, vector[, versions]).
 
+    index: a stored keyword index of the chunks, by their pos or id; without one the chunks are indexed for this search.
+
     chunks: id, pos, version, source, section_path, section_title, raw_text, content_type; vectors: id, version, vector. Versions: those
     that a query names, else the default; empty means all. Vectors are filtered by version before ranking and by distance after;
     keyword hits by version after ranking (or before, with prefilter_sparse), then ranked anew.
@@ -153,13 +160,21 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, default_ve
         none = F.lit(None).cast("double")
         return dense.select("query_id", "id", "rank", none.alias("rrf_score"), "distance", none.alias("bm25_score"))
     body = F.concat(F.coalesce("section_title", F.lit("")), F.lit(" "), F.coalesce("raw_text", F.lit("")))
+    by = "pos" if index is None or index.pos == "pos" else "id"
     versions = chunks.select("id", "pos", "version")
+    mine = queries.select("query_id", "versions")
+
+    def placed(found: DataFrame) -> DataFrame:
+        found = found if index is None or index.pos == by else found.withColumnRenamed(index.pos, by)
+        return found.join(versions, by).join(mine, "query_id").filter(allowed)
+
     if prefilter_sparse:
-        scores = bm25_scores(queries, chunks, body).join(versions, "pos").join(queries.select("query_id", "versions"), "query_id").filter(allowed)
-        sparse = top(scores, ["query_id"], [settled("score").desc(), "pos"], n_sparse)
+        scores = index.scores(queries) if index is not None else bm25_scores(queries, chunks, body)
+        sparse = top(placed(scores), ["query_id"], [settled("score").desc(), "pos"], n_sparse)
+    elif index is not None and not pad_zero:
+        sparse = rerank(placed(index.search(queries, n_sparse)))
     else:
-        ranked = bm25_search(queries, chunks, body, n_sparse, pad_zero)
-        sparse = rerank(ranked.join(versions, "pos").join(queries.select("query_id", "versions"), "query_id").filter(allowed))
+        sparse = rerank(placed(bm25_search(queries, chunks, body, n_sparse, pad_zero)) if index is None else placed(top(padded(index.scores(queries), queries, chunks.select(F.col(by).alias(index.pos)), n_sparse, index.pos), ["query_id"], [settled("score").desc(), index.pos], n_sparse)))
     hits = fuse(dense, sparse.select("query_id", "id", "rank", "score"), n)
     hits = hits.select("query_id", "id", "rank", "rrf_score", "distance", "bm25_score")
     if expand:

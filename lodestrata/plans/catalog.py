@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas, ids
 from ..functions import text as X
-from ..operators import answers, assistant, chunks, evaluate, filters, flow, layout, retrieval, splitter, structure, tables
+from ..operators import answers, assistant, chunks, evaluate, events, filters, flow, layout, retrieval, splitter, structure, tables, threads
 from ..plugins import HashingEmbedder
 from ..session import stored, working_folder
 from ..sources import files, store
@@ -539,6 +539,19 @@ def bm25_stored(spark, sf):
     return hits.select("query_id", "pos", F.round("score", 4).alias("score"), "rank")
 
 
+@query(with_(V.BM25) + """, kinds AS (SELECT item_id AS query_id, min(t) AS lo, max(t) AS hi FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM benchmark) GROUP BY ALL),
+short AS (SELECT query_id, unnest(list_distinct([lo, hi])) AS term FROM kinds),
+few AS (SELECT query_id, t.pos, sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM short JOIN terms USING (term) JOIN tfs t USING (term) JOIN sizes s ON s.pos = t.pos, corpus GROUP BY ALL)
+SELECT query_id, pos, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos)::INT AS rank FROM few QUALIFY rank <= 5""")
+def bm25_stored_short(spark, sf):
+    """Questions of two words, the first and last of each text by the alphabet, in one commit's index: most blocks of common words are left out."""
+    index = KeywordIndex(spark, working_folder(spark, "keywords"))
+    index.append(V.chunks(spark, sf), F.col("raw_text"))
+    words = F.array_distinct(X.tokens(F.col("query")))
+    q = V.keyword_queries(spark, sf).select("query_id", F.concat_ws(" ", F.array_distinct(F.array(F.array_min(words), F.array_max(words)))).alias("query"))
+    return index.search(q, 5).select("query_id", "pos", F.round("score", 4).alias("score"), "rank")
+
+
 @query(with_(V.BM25) + "SELECT count(DISTINCT pos) AS n_docs, count(DISTINCT query_id) AS n_queries FROM (SELECT query_id, pos FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) <= 10)")
 def retrieval_counts(spark, sf):
     return answers.retrieval_counts(_bm25(spark, sf, 10, False), "pos")
@@ -620,6 +633,15 @@ def hybrid_search(spark, sf):
     return _hybrid(spark, sf).select("query_id", "id", "rank", F.round("rrf_score", 8).alias("rrf_score"))
 
 
+@query(SQL["hybrid_search"])
+def hybrid_stored(spark, sf):
+    """The same over a stored keyword index."""
+    c = V.chunks(spark, sf)
+    index = KeywordIndex(spark, working_folder(spark, "keywords"))
+    index.append(c, F.concat("section_title", F.lit(" "), "raw_text"))
+    return _hybrid(spark, sf, index=index).select("query_id", "id", "rank", F.round("rrf_score", 8).alias("rrf_score"))
+
+
 EXPANDED = """centre AS (SELECT query_id, rank AS hr, c.pos AS at, c.source, c.section_path FROM fused JOIN chunks c USING (id) WHERE content_type IN ('table', 'register')),
 near AS (SELECT query_id, hr, s AS step, c.id FROM centre, (VALUES (-1), (1)) AS x(s) JOIN chunks c ON c.pos = centre.at + s AND c.source = centre.source AND c.section_path = centre.section_path JOIN indexed i ON i.id = c.id),
 fresh AS (SELECT query_id, id, min(hr * 10 + step) AS o FROM near n WHERE NOT EXISTS (SELECT 1 FROM fused h WHERE h.query_id = n.query_id AND h.id = n.id) GROUP BY ALL),
@@ -727,6 +749,68 @@ def conversation_turns(spark, sf):
     return assistant.turns(V.table(spark, sf, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "turn_no", "n_before")
 
 
+@query("""WITH RECURSIVE ends AS (SELECT conv_id, max(turn) AS turn, count(*) AS n FROM conversations GROUP BY conv_id),
+asked AS (SELECT c.conv_id, CASE WHEN c.conv_id % 3 = 0 THEN e.turn ELSE 1 END AS seq, CASE WHEN c.conv_id % 3 = 0 THEN e.n ELSE 2 END AS n, coalesce(c.text, '') AS text FROM conversations c JOIN ends e USING (conv_id, turn)),
+steps AS (SELECT * FROM asked UNION ALL SELECT conv_id, seq + 2, n + 2, array_to_string(list_filter(string_split(text, ' '), lambda x, i: i % 2 = 1), ' ') FROM steps WHERE len(string_split(text, ' ')) > 20)
+SELECT conv_id::VARCHAR AS thread_id, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE 1 END AS epoch, seq + 1 AS seq, 'assistant' AS role, CASE WHEN len(string_split(text, ' ')) > 20 THEN '' ELSE n || ' messages: ' || text END AS content, NULL AS tool FROM steps
+UNION ALL SELECT conv_id::VARCHAR, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE 1 END, s.seq, 'tool', s.text, 'condense' FROM steps s JOIN asked a USING (conv_id) WHERE s.seq > a.seq""")
+def agent_loop(spark, sf):
+    """Every conversation's last message, asked of an agent that condenses it by a tool until it is short; a third of the threads was reset
+    before, a third switched to another version. The loop runs twice: the second run has nothing to do."""
+    c = V.table(spark, sf, "conversations").select("conv_id", F.col("conv_id").cast("string").alias("thread_id"), F.col("turn").alias("ord"), "role", F.coalesce("text", F.lit("")).alias("content"))
+    last = c.groupBy("thread_id").agg(F.max("ord").alias("ord"))
+    memory = threads.Threads(spark, working_folder(spark, "threads"))
+    memory.post(c.join(last, ["thread_id", "ord"], "left_anti"))
+    memory.reset(c.filter("conv_id % 3 = 1"))
+    memory.reset(c.filter("conv_id % 3 = 2"), "5.0")
+    memory.reset(c.filter("conv_id % 3 = 2"), "5.0")  # it is the version of their memory
+    memory.post(c.join(last, ["thread_id", "ord"]).select("thread_id", "content"))
+
+    def decide(rows):
+        text = F.col("content")
+        long = F.size(F.split(text, " ")) > 20
+        call = F.array(F.struct(F.lit("condense").alias("tool"), text.alias("input")))
+        return rows.select("thread_id", "epoch", F.when(long, "").otherwise(F.concat(F.col("n_messages").cast("string"), F.lit(" messages: "), text)).alias("content"), F.when(long, call).alias("calls"))
+
+    for _ in range(2):
+        memory.run(decide, {"condense": lambda text: F.array_join(F.filter(F.split(text, " "), lambda _, i: i % 2 == 0), " ")})
+    now = memory.memory()
+    asked = now.filter("role = 'user'").groupBy("thread_id").agg(F.max("seq").alias("asked"))
+    return now.join(asked, "thread_id").filter("seq > asked").select("thread_id", "epoch", "seq", "role", "content", "tool")
+
+
+def _run_events(spark, sf):
+    e = V.table(spark, sf, "events")
+    kind = F.when(F.col("event_type") == "view", events.START).when(F.col("event_type").isin("purchase", "error"), events.END).otherwise(events.TOKEN)
+    return e.select(F.col("user_id").alias("session_id"), F.expr("event_id div 3 % 5").alias("run_id"), "ts", F.col("event_id").alias("ord"), kind.alias("kind"), F.when(F.col("event_id") % 11 > 0, F.concat(F.lit(" "), F.col("event_id").cast("string"))).alias("content"))
+
+
+GATED = """e AS (SELECT user_id AS session_id, event_id // 3 % 5 AS run_id, ts, event_id AS ord, CASE WHEN event_type = 'view' THEN 'tool_start' WHEN event_type IN ('purchase', 'error') THEN 'tool_end' ELSE 'token' END AS kind, CASE WHEN event_id % 11 > 0 THEN ' ' || event_id END AS content FROM events),
+marks AS (SELECT *, lag(kind) OVER (PARTITION BY session_id, run_id ORDER BY ts, ord) AS was FROM e WHERE kind <> 'token'),
+changes AS (SELECT session_id, ts, ord, CASE WHEN kind = 'tool_start' AND was IS DISTINCT FROM 'tool_start' THEN 1 WHEN kind = 'tool_end' AND was = 'tool_start' THEN -1 ELSE 0 END AS c FROM marks),
+opened AS (SELECT e.*, sum(coalesce(c, 0)) OVER (PARTITION BY session_id ORDER BY ts, ord)::INT AS open FROM e LEFT JOIN changes USING (session_id, ts, ord))"""
+
+
+@query(with_(GATED) + "SELECT session_id, ord, open, kind = 'token' AND content IS NOT NULL AND open = 0 AS shown FROM opened")
+def gated_tokens(spark, sf):
+    """A model's tokens among tool runs that overlap, begin twice and end unbegun; sessions are counted by the day."""
+    rows = events.gated(_run_events(spark, sf), order=["ts", "ord"], slice_by=F.unix_date(F.to_date("ts")))
+    return rows.select("session_id", "ord", "open", "shown")
+
+
+@query(with_(GATED) + """SELECT session_id, CASE WHEN count(*) FILTER (s) = 0 THEN 'No answer was made; please try again.' ELSE string_agg(content, '' ORDER BY ts, ord) FILTER (s) END AS answer, count(*) FILTER (s) AS n_shown, count(*) FILTER (kind = 'tool_start') AS n_tools
+FROM (SELECT *, kind = 'token' AND content IS NOT NULL AND open = 0 AS s FROM opened) GROUP BY session_id""")
+def gated_answers(spark, sf):
+    order = ["ts", "ord"]
+    return events.answers(events.gated(_run_events(spark, sf), order=order), order=order)
+
+
+@query(with_(GATED) + """, w AS (SELECT *, lead(kind) OVER o AS next_kind, lead(content) OVER o AS next_content FROM e WHERE kind <> 'token' WINDOW o AS (PARTITION BY session_id, run_id ORDER BY ts, ord))
+SELECT session_id, run_id, content AS input, CASE WHEN next_kind = 'tool_end' THEN next_content END AS output FROM w WHERE kind = 'tool_start' QUALIFY row_number() OVER (PARTITION BY session_id, run_id ORDER BY ts, ord) = 1""")
+def tool_steps(spark, sf):
+    return events.tool_steps(_run_events(spark, sf), order=["ts", "ord"])
+
+
 @query(with_(V.CHUNKS) + "SELECT id, CASE WHEN length(text) > 30 THEN left(text, 30) || '…' ELSE text END AS preview FROM chunks WHERE content_type = 'text' AND NOT is_front_matter AND contains(lower(text), 'the') ORDER BY id LIMIT 50 OFFSET 50")
 def inspector_search(spark, sf):
     return assistant.inspect(V.chunks(spark, sf), "text", "The", page=1).select("id", X.preview(F.col("text"), 30).alias("preview"))

@@ -65,6 +65,42 @@ class EchoGenerator:
         return [p.rstrip().rpartition("\n")[2] for p in prompts]
 
 
+class ExtractiveGenerator:
+    """Answers with the sentences of the prompt's excerpts that share most with the question, each with its excerpt's citation.
+
+    A word counts for less the more sentences hold it; sentences that share none are not told. No model, and nothing that is not in the excerpts.
+    """
+
+    none = "The excerpts do not answer this."
+
+    def __init__(self, most: int = 3):
+        self.most = most
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        return [self._answer(p) for p in prompts]
+
+    def _answer(self, prompt: str) -> str:
+        import math
+        import re
+
+        before, _, question = prompt.rpartition("Question:")
+        tokens = lambda t: set(re.findall("[a-z0-9_]+", t.lower()))
+        cite, told = "", []
+        for line in before.partition("Context:")[2].split("\n"):
+            if line.startswith("Cite-as: "):
+                cite = line[9:].strip()
+            elif not re.match(r"\[\d+\] Source: ", line):
+                told += [(x.strip(), cite) for x in re.split(r"(?<=[.!?])\s+", line) if x.strip()]
+        held: dict[str, int] = {}
+        for sentence, _ in told:
+            for w in tokens(sentence):
+                held[w] = held.get(w, 0) + 1
+        asked = tokens(question)
+        weigh = lambda t: sum(math.log(1 + len(told) / held[w]) for w in tokens(t) & asked)
+        best = sorted(((-weigh(t), i) for i, (t, _) in enumerate(told) if tokens(t) & asked))[: self.most]
+        return " ".join(f"{told[i][0]} {told[i][1]}".strip() for _, i in sorted(best, key=lambda x: x[1])) or self.none
+
+
 def answers(make: Callable[[], Generator], prompt: Column) -> Column:
     """A language model over a column of prompts."""
 
@@ -115,3 +151,7 @@ class JsonPageDecoder:
 
     def outline(self, name: str, content: bytes) -> Iterator[tuple[int, str, int]]:  # noqa: ARG002
         return (tuple(e) for r in self._lines(content) for e in r.get("toc", ()))
+
+
+#: embedding models by the names that settings know them by
+MODELS: dict[str, Callable[[], Embedder]] = {"hashing": HashingEmbedder}

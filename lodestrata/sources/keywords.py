@@ -1,90 +1,141 @@
-"""The stored keyword index: postings as Parquet, partitioned by a hash of the term, written once and read by every search."""
+"""The stored keyword index: blocks of postings, ordered by impact, that searches read only as far as they can matter."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.filters import new_rows
 from ..operators.retrieval import asked_terms, scored, settled, top, weighed
-from ..profile import N_SPARSE
+from ..profile import BM25_B, BM25_K1, N_SPARSE
+from .snapshots import Snapshots, State
 
-BUCKETS = 64
+#: postings of a block, and of a term whose postings are cut by hash first so that no task ranks them alone
+BLOCK, SLICE = 256, 1 << 20
+#: asked terms up to which they are named to the scan of the blocks
+NAMED = 10_000
+#: what a score may lose in sums of doubles
+SLACK = 1e-6
 
 
 class KeywordIndex:
-    """Tables under a path: docs (pos, dl), postings (term, pos, tf, dl; partitioned by bucket) and, of each state, terms (term, df, idf, n, avgdl).
+    """Tables of snapshots under a path: docs (pos, dl), dfs (term, df of a commit), terms (term, df, idf, n, avgdl; of the state), and blocks:
+    term, n postings, the largest tf and the smallest dl among them, and the postings as arrays (pos, tf, dl).
 
-    A search reads the postings of the buckets that its terms fall into, and nothing else of the documents. `state` names the terms'
-    table that holds; it is written last, so a failed build or append leaves the one before in force.
+    A block's bound follows from its tf and dl for whatever the average length will be, so appended documents leave it valid.
+    Blocks are sorted by term in files of even size: a scan for asked terms leaves out row groups, and a hot term is many rows.
+    All tables change in one commit.
     """
 
     def __init__(self, spark: SparkSession, path: str, pos: str = "pos"):
-        self.spark, self.path, self.pos = spark, path.rstrip("/"), pos
-
-    def _read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            return None
-
-    @staticmethod
-    def _bucket(term: str) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-    def append(self, docs: DataFrame, text: Column) -> int:
-        """Index the documents whose position is not there yet; the number added. An index without any document is an error when it is searched."""
-        known = self._read("docs")
-        fresh = docs.select(self.pos, X.tokens(F.coalesce(text, F.lit(""))).alias("ts"))
-        if known is not None:
-            fresh = new_rows(fresh, known, self.pos)
-        staged = f"{self.path}/staged-{uuid.uuid4().hex[:12]}"
-        fresh.write.parquet(staged)  # texts are cut once
-        fresh = self.spark.read.parquet(staged)
-        # postings first: a document counts as indexed only when its postings are there
-        post = fresh.select(self.pos, F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", self.pos, "dl").agg(F.count("*").alias("tf"))
-        if known is not None and (left := self._read("postings")) is not None:  # what an append that failed has left
-            post = post.join(left.select("term", self.pos), ["term", self.pos], "left_anti")
-        post.withColumn("bucket", self._bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term", self.pos).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        fresh.select(self.pos, F.size("ts").alias("dl")).write.mode("append").parquet(f"{self.path}/docs")
-        self._settle()
-        return fresh.count()
-
-    def _settle(self) -> None:
-        """Recompute the terms' statistics from the stored postings."""
-        corpus = self._read("docs").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        name = f"terms-{uuid.uuid4().hex[:12]}"
-        postings = self._read("postings")
-        if postings is not None:
-            counts = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus), how="cross")  # one row
-            weighed(counts).write.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state")
+        self.spark, self.pos, self.snapshots = spark, pos, Snapshots(spark, path)
+
+    def append(self, docs: DataFrame, text: Column, writer: str = "", batch: int | None = None) -> int:
+        """Index the documents whose position is not there yet, each position once (of several texts the least); the number added.
+
+        An index without any token is an error when it is searched. A writer's batch counts once.
+        """
+        pos, store = self.pos, self.snapshots
+        known = store.read("docs")
+        fresh = docs.select(pos, X.tokens(F.coalesce(text, F.lit(""))).alias("ts"))
+        fresh = (fresh if known is None else new_rows(fresh, known, pos)).groupBy(pos).agg(F.min("ts").alias("ts"))
+        cut = fresh.select(pos, F.size("ts").alias("dl"), F.explode_outer("ts").alias("term")).groupBy(pos, "dl", "term").agg(F.count("term").alias("tf"))
+
+        def build(base: State):
+            old = {t: store.read(t, base) for t in ("docs", "dfs")}
+            both = lambda name, df: df if old[name] is None else df.unionByName(old[name])
+            own = counted if old["docs"] is None else new_rows(counted, old["docs"], pos)
+            sizes, post = own.select(pos, "dl").distinct(), own.filter("term IS NOT NULL")
+            dfs = post.groupBy("term").agg(F.count("*").alias("df"))
+            corpus = F.broadcast(both("docs", sizes).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+            terms = weighed(both("dfs", dfs).groupBy("term").agg(F.sum("df").alias("df")).join(corpus, how="cross"))  # one row
+            return {"docs": ("append", sizes, []), "dfs": ("append", dfs, []), "terms": ("replace", terms, []), "blocks": ("append", self._blocks(post, dfs, corpus), [])}
+
+        def facts(base: State, written: dict[str, DataFrame]):
+            n = written["docs"].count()
+            return {"added": n, "docs": base.facts.get("docs", 0) + n, "terms": written["terms"].count()}
+
+        before = store.state().number
+        with store.staged(cut) as counted:  # texts are cut once
+            state = store.commit(build, writer, batch, facts)
+        return int(state.facts["added"]) if state.number > before else 0
+
+    def _blocks(self, post: DataFrame, dfs: DataFrame, corpus: DataFrame) -> DataFrame:
+        """Postings (pos, dl, term, tf) in blocks, the greatest impact first. Terms of many postings are cut into slices by position: few are, so their list is small."""
+        pos = self.pos
+        hot = F.broadcast(dfs.filter(F.col("df") > SLICE).select("term", F.ceil(F.col("df") / SLICE).alias("slices")))
+        cut = post.join(hot, "term", "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64(pos), "slices"), F.lit(0)).cast("int")).drop("slices")
+        cut = cut.join(corpus.select("avgdl"), how="cross")  # one row
+        place = F.row_number().over(Window.partitionBy("term", "slice").orderBy(_impact(F.col("tf"), F.col("dl")).desc(), pos)) - 1
+        numbered = cut.withColumn("block", F.floor(place / BLOCK).cast("int"))
+        blocks = numbered.groupBy("term", "slice", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct(pos, "tf", "dl")).alias("postings"))
+        return blocks.repartitionByRange("term", "slice", "block").sortWithinPartitions("term", "slice", "block")
+
+    def _state(self) -> State:
+        state = self.snapshots.state()
+        if not state.facts.get("terms"):
+            raise ValueError(f"there is no keyword index of any text in {self.snapshots.path}")
+        return state
 
     def terms(self) -> DataFrame:
-        state = self._read("state")
-        found = self._read(state.first()["name"]) if state is not None else None
-        if found is None:
-            raise ValueError(f"there is no keyword index of any text in {self.path}")
-        return found
+        return self.snapshots.read("terms", self._state())
 
     def size(self) -> int:
-        docs = self._read("docs")
-        return docs.count() if docs is not None else 0
+        return int(self.snapshots.state().facts.get("docs", 0))
+
+    def _asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(asked terms with their weights, blocks of these terms) in one state. A stated set of few terms is named to the scan."""
+        state, asked = self._state(), asked_terms(queries)
+        names = asked.select("term").distinct()
+        few = [r[0] for r in names.limit(NAMED + 1).collect()]
+        blocks, terms = self.snapshots.read("blocks", state), self.snapshots.read("terms", state)
+        if len(few) <= NAMED:
+            blocks, terms = blocks.filter(F.col("term").isin(few)), terms.filter(F.col("term").isin(few))
+        return asked.join(terms.select("term", "idf", "avgdl"), "term").withColumn("weight", F.col("qtf") * F.col("idf")), blocks
 
     def scores(self, queries: DataFrame) -> DataFrame:
-        terms = self.terms()
-        asked = asked_terms(queries).withColumn("bucket", self._bucket("term"))
-        names = asked.select("term", "bucket").distinct()
-        # the bucket is part of the join, so that Spark leaves out the folders of other buckets
-        postings = self._read("postings").join(names, ["bucket", "term"], "left_semi").drop("bucket")
-        return scored(asked.drop("bucket"), postings, terms.join(names.select("term"), "term", "left_semi"), self.pos)
+        """(query_id, pos, score) of all documents that hold a token of the query."""
+        asked, blocks = self._asked(queries)
+        postings = blocks.select("term", F.inline("postings"))
+        return scored(asked.select("query_id", "term", "qtf"), postings, asked.select("term", "idf", "avgdl").distinct(), self.pos)
+
+    def _bounded(self, queries: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        """(asked terms, blocks by query and term with `read`: whether a document of the best n can be in them).
+
+        A score that n documents reach is known from the first blocks of any one term. A block whose bound and the greatest
+        bounds of the query's other terms stay below it holds no document of the best n. Where a term has a
+        negative weight nothing is known, and all blocks are read.
+        """
+        asked, blocks = self._asked(queries)
+        weights = asked.select("query_id", "term", "weight", "avgdl")
+        bound = F.greatest(F.col("weight") * _impact(F.col("most_tf"), F.col("least_dl")), F.lit(0.0))
+        found = blocks.join(weights, "term").withColumn("bound", bound)
+        most = found.groupBy("query_id", "term", "weight").agg(F.max("bound").alias("most"))
+        whole = most.groupBy("query_id").agg(F.sum("most").alias("whole"), F.min("weight").alias("least"))
+        first = found.filter(F.col("block") * BLOCK < n).select("query_id", "term", "weight", "avgdl", F.explode("postings").alias("p"))
+        part = first.select("query_id", "term", (F.col("weight") * _impact(F.col("p.tf"), F.col("p.dl"))).alias("part"))
+        reached = top(part, ["query_id", "term"], [F.col("part").desc()], n).filter(F.col("rank") == n).groupBy("query_id").agg(F.max("part").alias("reached"))
+        limits = whole.join(reached, "query_id", "left").select("query_id", "whole", F.when(F.col("least") >= 0, F.col("reached")).alias("reached"))
+        limits = most.join(limits, "query_id").select("query_id", "term", (F.col("reached") - SLACK - (F.col("whole") - F.col("most"))).alias("needed"))
+        return asked, found.join(limits, ["query_id", "term"]).withColumn("read", F.coalesce(F.col("bound") >= F.col("needed"), F.lit(True)))
 
     def search(self, queries: DataFrame, n: int = N_SPARSE) -> DataFrame:
-        """(query_id, pos, score, rank): the best n documents of each query (query_id, query), ties by position."""
-        return top(self.scores(queries), ["query_id"], [settled("score").desc(), self.pos], n)
+        """(query_id, pos, score, rank): the best n documents of each query (query_id, query), ties by position; blocks that cannot matter are left out."""
+        _, found = self._bounded(queries, n)
+        post = found.filter("read").select("query_id", "weight", "avgdl", F.explode("postings").alias("p"))
+        part = F.col("weight") * _impact(F.col("p.tf"), F.col("p.dl"))
+        sums = post.groupBy("query_id", F.col(f"p.{self.pos}").alias(self.pos)).agg(F.sum(part).alias("score"))
+        return top(sums, ["query_id"], [settled("score").desc(), self.pos], n)
+
+    def read_share(self, queries: DataFrame, n: int = N_SPARSE) -> DataFrame:
+        """(query_id, postings, read): the postings of each query's terms, and those that search() reads."""
+        _, found = self._bounded(queries, n)
+        return found.groupBy("query_id").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("read"), F.col("n")).otherwise(0)).alias("read"))
+
+
+def _impact(tf: Column, dl: Column, k1: float = BM25_K1, b: float = BM25_B) -> Column:
+    """What an occurrence counts for, before the term's weight: grows with tf, falls with dl. Needs avgdl."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))

@@ -1,11 +1,9 @@
-"""Vector store: two Parquet tables, documents and glossary, with insert-if-absent writes."""
+"""Vector store: documents, and the glossary as the part of them that defines terms, with insert-if-absent writes in whole commits."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from ..operators.filters import first_seen, indexable, new_rows
 from ..operators.retrieval import dense_search
 from ..plugins import Embedder, embedding
 from ..profile import DEFAULT, Profile
+from .snapshots import Snapshots, State
 
 SCHEMA = "id string, document string, metadata map<string,string>, version string, vector array<float>"
 
@@ -27,49 +26,52 @@ def vector_record(chunks: DataFrame) -> DataFrame:
 
 
 class VectorStore:
-    """Two tables under a path. Rows are partitioned by version, which queries filter by."""
+    """One table under a path, in folders by version and by whether a row is of the glossary; queries filter by both. A reader that holds
+    a State reads that one, whatever is committed meanwhile."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def collection(self, name: str = "docs") -> DataFrame:
-        try:
-            return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{'glossary' if name == 'glossary' else 'docs'}")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        self.spark, self.snapshots = spark, Snapshots(spark, path)
+
+    def collection(self, name: str = "docs", state: State | None = None) -> DataFrame:
+        found = self.snapshots.read("docs", state)
+        if found is None:
             return self.spark.createDataFrame([], SCHEMA)
+        return (found.filter("glossary") if name == "glossary" else found).drop("glossary")
 
     def count(self) -> dict[str, int]:
-        return {n: self.collection(n).count() for n in ("docs", "glossary")}
+        facts = self.snapshots.state().facts
+        return {n: int(facts.get(n, 0)) for n in ("docs", "glossary")}
 
-    def _staged(self, df: DataFrame) -> DataFrame:
-        """df as a table in a folder of its own: vectors are computed once, and the tables are not read while they are written."""
-        path = f"{self.path}/staged-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    @staticmethod
+    def _rows(records: DataFrame) -> DataFrame:
+        return records.select("id", "document", "metadata", "version", "vector", F.coalesce(F.col("content_type") == "definition", F.lit(False)).alias("glossary"))
 
-    def add(self, records: DataFrame) -> int:
-        """Append records (id, document, metadata, version, content_type, vector) whose id is not there yet; definitions go to both tables.
-        The number added to the documents.
+    @staticmethod
+    def _counts(base: State, written: dict[str, DataFrame], fresh: bool = False) -> dict[str, float]:
+        got = written["docs"].agg(F.count("*").alias("docs"), F.count_if("glossary").alias("glossary")).first()
+        return {n: got[n] + (0 if fresh else base.facts.get(n, 0)) for n in ("docs", "glossary")} | {"added": got["docs"]}
 
-        Each table is compared for itself, so that a run after one that failed between the two completes the glossary.
+    def add(self, records: Callable[[State], DataFrame] | DataFrame, writer: str = "", batch: int | None = None) -> int:
+        """Append records (id, document, metadata, version, content_type, vector) whose id is not there yet, definitions to the glossary too, as
+        one commit; the number added. records may be a function of the state that they are added to. A writer's batch counts once.
         """
-        names = ["id", "document", "metadata", "version", "vector"]
-        defined = records.filter("content_type = 'definition'")
-        lost = new_rows(defined, self.collection("glossary"), "id")
-        fresh = self._staged(new_rows(records, self.collection(), "id").select(*names, F.lit(False).alias("glossary")).unionByName(lost.select(*names, F.lit(True).alias("glossary"))))
-        for name, which in (("docs", "NOT glossary"), ("glossary", "glossary")):
-            fresh.filter(which).select(*names).write.mode("append").partitionBy("version").parquet(f"{self.path}/{name}")
-        return fresh.filter("NOT glossary").count()
+
+        def build(base: State):
+            own = records(base) if callable(records) else records
+            return {"docs": ("append", self._rows(new_rows(own, self.collection(state=base), "id")), ["version", "glossary"])}
+
+        before = self.snapshots.state().number
+        state = self.snapshots.commit(build, writer, batch, self._counts)
+        return int(state.facts["added"]) if state.number > before else 0
 
     def refresh(self, records: DataFrame) -> None:
-        """Replace both tables by the records and what they do not name."""
-        kept = new_rows(self.collection(), records, "id").withColumn("content_type", F.element_at("metadata", F.lit("content_type")))
-        both = kept.unionByName(records.select(*kept.columns))
-        both = self._staged(both)
-        both.drop("content_type").write.mode("overwrite").partitionBy("version").parquet(f"{self.path}/docs")
-        both.filter("content_type = 'definition'").drop("content_type").write.mode("overwrite").partitionBy("version").parquet(f"{self.path}/glossary")
+        """Replace the rows by the records and what they do not name, as one commit."""
+
+        def build(base: State):
+            kept = new_rows(self.collection(state=base), records, "id").withColumn("content_type", F.element_at("metadata", F.lit("content_type")))
+            return {"docs": ("replace", self._rows(kept).unionByName(self._rows(records)), ["version", "glossary"])}
+
+        self.snapshots.commit(build, facts=lambda base, written: self._counts(base, written, True))
 
     def query(self, queries: DataFrame, n: int = 3, collection: str = "docs", where: Column | None = None) -> DataFrame:
         return dense_search(queries, self.collection(collection), n, where)
@@ -79,21 +81,20 @@ class VectorStore:
         return self.collection(collection).join(ids.select("id"), "id")
 
 
-def index_chunks(store: VectorStore, chunks: DataFrame, model: Callable[[], Embedder], order: str = "line", profile: Profile = DEFAULT, refresh: bool = False) -> dict[str, int]:
+def index_chunks(store: VectorStore, chunks: DataFrame, model: Callable[[], Embedder], order: str = "line", profile: Profile = DEFAULT, refresh: bool = False, writer: str = "", batch: int | None = None) -> dict[str, int]:
     """Filter, drop repeated ids (the first counts), leave out what is stored, embed the rest and append it: running it again adds nothing."""
     wanted = indexable(chunks, profile)
     if order not in wanted.columns:
         wanted = wanted.withColumn(order, F.monotonically_increasing_id())
     once = first_seen(wanted, ["chunk_id"], [order])
     records = vector_record(once)
+    counts = chunks.select(F.count("*").alias("total")).crossJoin(wanted.select(F.count("*").alias("searchable"), F.count_distinct("chunk_id").alias("ids"))).first()  # one row each
     if refresh:
         store.refresh(records.withColumn("vector", embedding(model, F.col("document"))))
-        return {"total": chunks.count(), "searchable": wanted.count(), "indexed": once.count()}
-    # before the model runs; definitions that an unfinished run left out of the glossary come again
-    fresh = new_rows(records, store.collection(), "id").unionByName(new_rows(records.filter("content_type = 'definition'"), store.collection("glossary"), "id")).dropDuplicates(["id"])
-    added = store.add(fresh.withColumn("vector", embedding(model, F.col("document"))))
-    found = once.count()
-    return {"total": chunks.count(), "searchable": found, "skipped": found - added, "indexed": added}
+        return {"total": counts["total"], "searchable": counts["searchable"], "indexed": counts["ids"]}
+    # what is stored goes before the model runs
+    added = store.add(lambda base: new_rows(records, store.collection(state=base), "id").withColumn("vector", embedding(model, F.col("document"))), writer, batch)
+    return {"total": counts["total"], "searchable": counts["ids"], "skipped": counts["ids"] - added, "indexed": added}
 
 
 def default_versions(queries: DataFrame, version: str | None, profile: Profile = DEFAULT) -> DataFrame:

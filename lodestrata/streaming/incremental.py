@@ -13,10 +13,11 @@ from ..sources.store import VectorStore, index_chunks
 
 
 def index_stream(spark: SparkSession, folder: str, store: VectorStore, model: Callable[[], Embedder], checkpoint: str, max_files: int = 100) -> StreamingQuery:
-    """Index what arrives, then stop at the end of what is there. A batch that is run again adds nothing, since ids are inserted if absent."""
+    """Index what arrives, then stop at the end of what is there. A batch that is run again adds nothing: ids are inserted if absent, and the
+    store's log knows the stream's last batch."""
     arriving = spark.readStream.schema(CHUNK).option("maxFilesPerTrigger", max_files).json(folder)
 
-    def batch(df, _):
-        index_chunks(store, df, model)
+    def batch(df, number):
+        index_chunks(store, df, model, writer=f"stream {checkpoint}", batch=number)
 
     return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
