@@ -161,7 +161,7 @@ def main(argv: list[str] | None = None) -> int:
         store = VectorStore(spark, args.store)
         q = spark.createDataFrame([(0, args.question)], "query_id int, query string").withColumn("vector", embedding(_model(args), F.col("query")))
         where = F.col("version") == args.version if args.version else None
-        hits = R.dense_search(q, store.collection(), args.n, where).join(store.collection().select("id", "document"), "id")
+        hits = store.query(q, args.n, where=where).join(store.collection().select("id", "document"), "id")
         hits.select("rank", F.round(1 - F.col("distance"), 4).alias("score"), "id", X.preview(F.col("document"), 800).alias("text")).orderBy("rank").show(args.n, False)
     elif args.command == "build-bm25":
         chunks = files.read_chunks(spark, args.chunks)[0].filter(~F.col("is_front_matter"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.vectors import dot, unit
 from ..profile import BM25_B, BM25_EPSILON, BM25_K1, MAX_DISTANCE, N_RESULTS, N_SPARSE, RRF_K
+from .nearest import best_pairs
 
 
 def top(rows: DataFrame, by: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
@@ -90,15 +90,10 @@ def padded(found: DataFrame, queries: DataFrame, docs: DataFrame, n: int, pos: s
 def dense_search(queries: DataFrame, vectors: DataFrame, n: int = N_RESULTS, where: Column | None = None, most: float | None = None, key: str = "id") -> DataFrame:
     """(query_id, id, distance, rank): the n nearest by cosine distance, ties by id.
 
-    `where` filters before ranking (it may use the query's columns); `most` is a bound on the distance after it.
-    queries (query_id, vector, ...) is the stated set: Spark sends it to all tasks if its size allows, else it goes through the
-    collection block by block. Vectors are brought to unit length once each, not once a pair.
+    `where` filters before ranking (it may use the query's columns and the vectors' other ones, which have few values); `most` is a bound on the
+    distance after it. Blocks of vectors are multiplied with blocks of queries; n rows a query and task are shuffled.
     """
-    q = queries.withColumn("q_unit", unit(F.col("vector"))).drop("vector").filter("q_unit is not null")
-    v = vectors.withColumn("unit", unit(F.col("vector"))).drop("vector").filter("unit is not null")
-    pairs = v.join(q, where if where is not None else F.lit(True)).filter(F.size("unit") == F.size("q_unit"))
-    near = pairs.select("query_id", key, (1 - dot(F.col("unit"), F.col("q_unit"))).alias("distance"))
-    best = top(near, ["query_id"], ["distance", key], n)
+    best = top(best_pairs(queries, vectors, n, key, where), ["query_id"], ["distance", key], n)
     return best.filter(F.col("distance") < most) if most is not None else best
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -33,12 +34,21 @@ def working_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the driver and the executors share, the session's spark.checkpoint.dir; a local one where that is unset, in local mode only."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         root = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored_at(df: DataFrame, uri: str) -> tuple[str, DataFrame]:
+    """(the folder, df as it is stored there); the folder goes when the application ends."""
+    spark = df.sparkSession
+    df.write.parquet(uri)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return uri, spark.read.schema(df.schema).parquet(uri)
+
+
 def stored(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
     """Writes frames as Parquet below a working folder and reads them back: their plans end there, and lost executors do not cost them again.
 
@@ -47,10 +57,6 @@ def stored(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
     uri, numbers = working_folder(spark, name), itertools.count()
 
     def keep(df: DataFrame) -> DataFrame:
-        path = f"{uri}/{next(numbers)}"
-        df.write.parquet(path)
-        folder = spark._jvm.org.apache.hadoop.fs.Path(uri)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-        return spark.read.parquet(path)
+        return stored_at(df, f"{uri}/{next(numbers)}")[1]
 
     return keep

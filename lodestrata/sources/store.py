@@ -74,7 +74,7 @@ class VectorStore:
         self.snapshots.commit(build, facts=lambda base, written: self._counts(base, written, True))
 
     def query(self, queries: DataFrame, n: int = 3, collection: str = "docs", where: Column | None = None) -> DataFrame:
-        return dense_search(queries, self.collection(collection), n, where)
+        return dense_search(queries, self.collection(collection).select("id", "version", "vector"), n, where)
 
     def get(self, ids: DataFrame, collection: str = "docs") -> DataFrame:
         """Rows by id; ids that are not there are dropped."""
