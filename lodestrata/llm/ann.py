@@ -28,13 +28,16 @@ from . import common
 WIDTH, DIGITS, TREES = 64, 3, 64
 #: next-best digits that a query tries at each place of a prefix
 TRIES = 6
-#: distinct rows that a query scores in a shard of up to SHARD distinct vectors
-CANDIDATES = 3_000
 SHARD = 32_000
 #: queries of a task, and of those that are searched side by side
 BLOCK, STEP = 1_024, 128
 
 
+def enough_rows(n: int, k: int = 20) -> int:
+    """Distinct rows that a query scores of a shard's n: a share that falls as n grows, half of 500, a tenth of 32,000."""
+    return max(2 * (k + 1), round(5 * n**0.63))
+
+
 def _directions(trees: int, dimension: int, seed: int) -> np.ndarray:
     """(tree, digit, direction, coordinate): random rotations where there are as many coordinates as directions."""
     rng = np.random.default_rng(seed)
@@ -161,14 +164,14 @@ def usable(c: str) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, uri: str, k: int = 20, trees: int = TREES, candidates: int = CANDIDATES, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, uri: str, k: int = 20, trees: int = TREES, candidates: int | None = None, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, <key>, score: for each query the k rows with the largest inner product among its candidates.
 
     Candidates are all rows but those with the query's own id; ties go to the smaller id. Null, zero and non-finite vectors and
     rows with a null id take no part; vectors of another length are compared with those of their own length only.
     Rows that repeat an id and a vector count once; an id with several vectors is one query of each, and counts with the
-    best score that any of them gives. candidates: distinct vectors that a query scores in each shard of up to SHARD, at least; it
-    sets recall, which the tests measure against brute force. Empty tables give an empty result.
+    best score that any of them gives. candidates: distinct vectors that a query scores in each shard of up to SHARD, at least (enough_rows() of the
+    shard's by default); it sets recall, which the tests measure against brute force. Empty tables give an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.filter(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), is_query.alias("q")).distinct()
@@ -223,7 +226,7 @@ def nearest(vectors: DataFrame, is_query: Column, uri: str, k: int = 20, trees:
                     continue  # no vector was dealt to it
                 forest, ends, ids = Forest.load(common.fetch(path), seed)
                 for a in range(0, len(q), STEP):
-                    for i, near in enumerate(forest.candidates(q[a : a + STEP], candidates), a):
+                    for i, near in enumerate(forest.candidates(q[a : a + STEP], candidates or enough_rows(len(forest.x), k)), a):
                         best[i] = sorted(best[i] + _best(forest.x, near, q[i], ends, ids, int(q_ids[i]), k), key=lambda p: (-p[0], p[1]))[:k]
             return pa.table({
                 "query_id": pa.array(np.repeat(q_ids, [len(b) for b in best]), pa.int64()),

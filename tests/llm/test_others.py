@@ -330,6 +330,17 @@ def test_nearest_recall_and_scores(spark, sf, uri):
     assert all(p == sorted(p, key=lambda x: (-x[1], x[0])) and len(p) == 20 for p in got.values())
 
 
+@pytest.mark.parametrize(("folder", "most"), [("sf0.001", 0.55), ("sf0.1", 0.35)])
+def test_forest_reaches_its_recall_without_scoring_all(spark, folder, most):
+    rows = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").filter(ann.usable("embedding")).collect()
+    x = np.unique(np.array([r.embedding for r in rows], float), axis=0)
+    queries = np.array([r.embedding for r in rows if r.vec_id % 20 == 0], float)
+    forest = ann.Forest(x, np.sqrt((x * x).sum(axis=1)).max())
+    found = list(forest.candidates(queries, ann.enough_rows(len(x))))
+    hits = [len(set(np.argsort(-(x @ q))[:21].tolist()) & set(near.tolist())) / 21 for q, near in zip(queries, found, strict=True)]
+    assert np.mean(hits) >= 0.9 and max(map(len, found)) < 0.75 * len(x) and np.mean([len(near) for near in found]) < most * len(x)
+
+
 def test_nearest_edges(spark, uri):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [inf, 1.0]), (7, [nan, 1.0]), (8, []), (None, [1.0, 1.0]), (9, [-1.0, 0.5]), (40, [0.0, 0.0])]
