@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +63,7 @@ def cluster_boxes(boxes: Column, padding: float = CLUSTER_PADDING, least_area: f
     """Array of schema.DRAWING: boxes (array of x0, y0, x1, y1) merged until no two merged boxes come within the padding; small ones go.
 
     Boxes without width or height, or with a null, take no part. The closure of merging boxes that grow is not a set of connected
-    components of the first boxes, so a page's boxes are merged together, in Arrow, where the page's row is: no shuffle. One page's
-    drawings bound the work, which grows with their number times that of the merged boxes.
+    components of the first boxes, so a page's boxes are merged together, in Arrow, where the page's row is: no shuffle.
     """
     kind = T.ArrayType(DRAWING)
 
@@ -82,21 +84,58 @@ def cluster_boxes(boxes: Column, padding: float = CLUSTER_PADDING, least_area: f
 
 
 def merge_boxes(boxes: list[tuple[float, float, float, float]], padding: float = CLUSTER_PADDING) -> list[tuple]:
-    """Merged boxes with their number of elements, in order of place; a box joins all merged boxes that it comes near, again as it grows."""
+    """Merged boxes with their number of elements, in order of place: the closure of merging boxes that come near, again as they grow.
+
+    Swept along x until a sweep merges nothing. The boxes that are open at a place all meet there in x, so those that are not merged
+    lie apart in y: they are kept in that order, and a new box meets neighbours in it only.
+    """
+    now = sorted((*b, 1) for b in boxes)
+    while True:
+        before = len(now)
+        now = sorted(_sweep(now, padding))
+        if len(now) == before:
+            return now
+
+
+def _sweep(boxes: list[tuple], padding: float) -> list[tuple]:
+    """One sweep over boxes (x0, y0, x1, y1, elements) in order of x0."""
+    tops: list[float] = []  # y0 of the open boxes, which rise, and the boxes
+    open_: list[tuple] = []
+    ends: list[tuple[float, float, tuple]] = []  # by x1
     done: list[tuple] = []
-    for b in boxes:
-        new, again = (*b, 1), True
-        while again:
-            again, rest = False, []
-            for o in done:
-                if new[0] - padding < o[2] and new[2] + padding > o[0] and new[1] - padding < o[3] and new[3] + padding > o[1]:
-                    new = (min(new[0], o[0]), min(new[1], o[1]), max(new[2], o[2]), max(new[3], o[3]), new[4] + o[4])
-                    again = True
-                else:
-                    rest.append(o)
-            done = rest
-        done.append(new)
-    return sorted(done)
+
+    def place(box: tuple) -> int:
+        """Where an open box is, or -1 when it was merged."""
+        i = bisect.bisect_left(tops, box[1])
+        while i < len(tops) and tops[i] == box[1]:
+            if open_[i] is box:
+                return i
+            i += 1
+        return -1
+
+    for new in boxes:
+        while ends and ends[0][0] <= new[0] - padding:
+            i = place(box := heapq.heappop(ends)[2])
+            if i >= 0:
+                done.append(box)
+                del tops[i], open_[i]
+        grown = True
+        while grown:
+            # open boxes lie apart in y, so the ends of those from here down rise too
+            low = bisect.bisect_left(tops, new[3] + padding)
+            first = low
+            while first and open_[first - 1][3] > new[1] - padding:
+                first -= 1
+            near = open_[first:low]
+            grown = bool(near)
+            if near:
+                new = (min(new[0], *(b[0] for b in near)), min(new[1], near[0][1]), max(new[2], *(b[2] for b in near)), max(new[3], near[-1][3]), new[4] + sum(b[4] for b in near))
+                del tops[first:low], open_[first:low]
+        i = bisect.bisect_left(tops, new[1])
+        tops.insert(i, new[1])
+        open_.insert(i, new)
+        heapq.heappush(ends, (new[2], new[1], new))
+    return done + open_
 
 
 def classify(texts: DataFrame, tables: DataFrame, drawings: DataFrame, images: DataFrame, page: list[str], title: Column) -> DataFrame:

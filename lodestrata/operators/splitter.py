@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,7 @@ def _parts(text: str, separator: str) -> list[str]:
 def _merge(parts: list[str], size: int, overlap: int) -> list[str]:
     """Runs of parts as long as fit in size; the next run begins with the last parts of the one before, up to the overlap."""
     out: list[str] = []
-    run: list[str] = []
+    run: deque[str] = deque()
     length = 0
     for p in parts:
         if run and length + len(p) > size:
@@ -28,7 +30,7 @@ def _merge(parts: list[str], size: int, overlap: int) -> list[str]:
             if text:
                 out.append(text)
             while run and (length > overlap or length + len(p) > size):
-                length -= len(run.pop(0))
+                length -= len(run.popleft())
         run.append(p)
         length += len(p)
     text = "".join(run).strip()
@@ -54,17 +56,26 @@ def split_text(text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP,
 def split_frame(df: DataFrame, text: str, kind: Column, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """df with chunk_index and chunk, one row per piece that is not blank. Registers stay whole up to one and a half sizes.
 
-    Texts that fit in a piece never leave the JVM; the others go through Python in Arrow batches.
+    Texts that fit in a piece never leave the JVM; the others go through Python in Arrow batches, text by text: a row's pieces
+    are rows at once, never a list in a row.
     """
     whole = (kind == "register") & (F.length(text) <= int(size * 1.5))
     short = F.length(text) < size
     blank = F.trim(F.regexp_replace(text, r"(?U)\s", "")) == ""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pieces(s):
-        return s.map(lambda t: split_text(t, size, overlap))
+    def pieces(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, t in enumerate(batch.column(at).to_pylist()):
+                found = split_text(t, size, overlap)
+                rows = batch.take(pa.array([i] * len(found), pa.int64()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(range(len(found)), pa.int32()), pa.array(found)], names=schema.names)
 
+    at = df.columns.index(text)
+    schema = T.StructType([*df.schema.fields, T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk", T.StringType())])
     parts = df.filter(~blank)
     same = parts.filter(whole | short).withColumn("chunk_index", F.lit(0)).withColumn("chunk", F.when(whole, F.col(text)).otherwise(F.regexp_replace(F.col(text), r"(?U)^\s+|\s+\z", "")))
-    long = parts.filter(~(whole | short)).select("*", F.posexplode(pieces(F.col(text))).alias("chunk_index", "chunk"))
+    long = parts.filter(~(whole | short)).mapInArrow(pieces, schema)
     return same.unionByName(long)

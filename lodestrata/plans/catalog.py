@@ -256,7 +256,9 @@ def nearest_caption(spark, sf):
     return layout.nearest_caption(V.big_boxes(spark, sf), t, ["page"], "box")
 
 
-@query()
+@query(with_("RECURSIVE " + V.TEXT_BOXES).rstrip() + """, grown AS (SELECT 0 AS k, page, block_ord AS i, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM texts
+  UNION ALL SELECT any_value(a.k) + 1, a.page, a.i, min(b.x0), min(b.y0), max(b.x1), max(b.y1) FROM grown a JOIN grown b ON a.page = b.page AND a.x0 - 4 < b.x1 AND a.x1 + 4 > b.x0 AND a.y0 - 4 < b.y1 AND a.y1 + 4 > b.y0 WHERE a.k < 20 GROUP BY a.page, a.i)
+SELECT page, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) AS area, count(*)::INT AS element_count FROM grown WHERE k = 20 GROUP BY ALL HAVING area >= 500""")
 def bbox_cluster(spark, sf):
     """Drawings of each page by place, made of the parts' boxes."""
     boxes = V.text_boxes(spark, sf).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("x0", "y0", "x1", "y1"))).alias("boxes"))
