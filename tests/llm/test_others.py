@@ -361,7 +361,7 @@ def test_forest_prunes(rng):
     score = x[q] @ x.T
     score[np.arange(len(q)), q] = -2
     want = np.argpartition(-score, 20, axis=1)[:, :20]
-    met = list(forest.candidates(x[q], ann.CANDIDATES))
+    met = list(forest.candidates(x[q], ann.enough_rows(len(x))))
     assert np.mean([np.isin(w, m).mean() for w, m in zip(want, met, strict=True)]) >= 0.9
     assert np.mean([len(m) for m in met]) <= 0.14 * len(x)
 
