@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.bind import bound
 
 METRICS = ["faithfulness", "answer_relevancy", "context_precision", "context_recall"]
 TYPES = ["factual", "calculation", "comparison", "edge_case"]
@@ -60,6 +61,44 @@ def token_overlap(answer: Column, reference: Column) -> tuple[Column, Column]:
     return F.when(F.size(a) > 0, both / F.size(a)), F.when(F.size(r) > 0, both / F.size(r))
 
 
+def _sentences(text: Column) -> Column:
+    """The distinct tokens of each sentence that has any."""
+    cut = F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+")
+    return F.filter(F.transform(cut, lambda x: F.array_distinct(X.tokens(x))), lambda t: F.size(t) > 0)
+
+
+def _aligned(of: Column, to: Column) -> Column:
+    """The share of the sentences' tokens that the best sentence for each of them holds; longer sentences weigh more. Null without sentences."""
+
+    def best(s: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(to, lambda c: F.size(F.array_intersect(s, c)))), F.lit(0))
+
+    total = F.aggregate(of, F.lit(0), lambda n, s: n + F.size(s))
+    held = F.aggregate(F.transform(of, best), F.lit(0), lambda n, x: n + x)
+    return F.when(total > 0, held / total)
+
+
+def standins(rows: DataFrame, question: str = "question", response: str = "response", contexts: str = "contexts", reference: str = "reference", least: float = 0.5) -> DataFrame:
+    """rows with four deterministic stand-ins (METRICS with _standin) for the judged metrics, by alignment of sentences; not the same thing.
+
+    faithfulness: the response's sentences against those of all contexts. context_recall: the reference's sentences against them.
+    answer_relevancy: the question's tokens that the response holds. context_precision: mean precision at the ranks of the contexts
+    that hold `least` of a sentence of the reference. Each is null where what it is about (response, reference, question) has no token:
+    a failed answer has no score. No shuffle: a row's texts are those of one answer.
+    """
+    r = bound(rows, __r=_sentences(F.col(response)), __ref=_sentences(F.col(reference)), __q=F.array_distinct(X.tokens(F.coalesce(question, F.lit("")))), __c=F.transform(F.coalesce(contexts, F.array().cast("array<string>")), _sentences))
+    c = lambda n: F.col(f"__{n}")
+    good = F.transform(c("c"), lambda ctx: F.exists(c("ref"), lambda s: F.exists(ctx, lambda x: F.size(F.array_intersect(s, x)) >= least * F.size(s))))
+    r = bound(r, __all=F.flatten(c("c")), __good=F.filter(F.transform(good, lambda g, i: F.when(g, i + 1)), lambda i: i.isNotNull()))
+    precision = F.when(F.size("__good") > 0, F.aggregate(F.transform("__good", lambda at, k: (k + 1) / at), F.lit(0.0), lambda s, x: s + x) / F.size("__good")).otherwise(0.0)
+    answered = F.size("__r") > 0
+    scores = {
+        "faithfulness_standin": _aligned(c("r"), c("all")), "answer_relevancy_standin": F.when(answered & (F.size("__q") > 0), F.size(F.array_intersect("__q", F.array_distinct(F.flatten("__r")))) / F.size("__q")),
+        "context_precision_standin": F.when(answered & (F.size("__ref") > 0), precision), "context_recall_standin": F.when(answered, _aligned(c("ref"), c("all"))),
+    }
+    return r.select(*rows.columns, *[v.alias(k) for k, v in scores.items()])
+
+
 def verbatim(queries: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
     """(query_id, id) of the documents (id, text) that hold a query's whole text.
 

@@ -76,3 +76,10 @@ def stats(chunks: DataFrame, by: list[str], profile: Profile = DEFAULT) -> DataF
     valid = is_valid(c("content_type"), c("raw_text"), c("is_row_chunk"), profile)
     types = [F.count_if(kept & valid & (c("content_type") == t)).alias(f"n_{t}") for t in ("text", "table", "figure", "bitmap", "definition", "register")]
     return chunks.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(~body).alias("front_matter"), F.count_if(kept & valid).alias("searchable"), F.count_if(body & ~(kept & valid)).alias("short_filtered"), *types)
+
+
+def body_stats(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """Counts by group as the inspector shows them: total, body, front_matter, and of the body matter by type, whether it can be searched or not."""
+    body = ~F.coalesce(F.col("is_front_matter"), F.lit(False))
+    types = [F.count_if(body & (F.col("content_type") == t)).alias(f"n_{t}") for t in ("text", "table", "figure", "bitmap", "definition", "register")]
+    return chunks.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(body).alias("body"), F.count_if(~body).alias("front_matter"), *types)

@@ -13,6 +13,7 @@ from ..operators import answers, assistant, chunks, evaluate, events, filters, f
 from ..plugins import HashingEmbedder
 from ..session import stored, working_folder
 from ..sources import files, store
+from ..sources import page_source as page_source_format
 from ..sources.keywords import KeywordIndex
 from ..sources.pages import page_models
 from . import ingest as plan
@@ -163,6 +164,12 @@ def chunk_stats(spark, sf):
     return filters.stats(V.chunks(spark, sf), ["source"])
 
 
+@query(with_(V.CHUNKS) + f"""SELECT source, count(*) AS total, count(*) FILTER (NOT is_front_matter) AS body, count(*) FILTER (is_front_matter) AS front_matter,
+{', '.join(f"count(*) FILTER (NOT is_front_matter AND content_type = '{t}') AS n_{t}" for t in ('text', 'table', 'figure', 'bitmap', 'definition', 'register'))} FROM chunks GROUP BY source""")
+def inspector_stats(spark, sf):
+    return filters.body_stats(V.chunks(spark, sf), ["source"])
+
+
 @query(with_(V.CHUNKS) + "SELECT source, content_type, count(*) AS n, count(*) FILTER (is_front_matter) AS front FROM chunks GROUP BY ROLLUP (source, content_type)")
 def type_counts_rollup(spark, sf):
     return V.chunks(spark, sf).rollup("source", "content_type").agg(F.count("*").alias("n"), F.count_if("is_front_matter").alias("front"))
@@ -291,6 +298,18 @@ def page_tables(spark, sf):
     return files.blocks(page_models(V.raw_pages(spark, sf)), "table_blocks").select("page", F.when(F.col("x0") == 1, "ruled").otherwise("aligned").alias("kind"), F.size("rows").cast("long").alias("n_rows"))
 
 
+@query("""SELECT 'orders-' || (o_orderkey % 3) || '-B5' || (o_orderkey % 2) || '.jsonl' AS source, '5.' || (o_orderkey % 2) AS version, o_orderkey::INT AS page_num, o_totalprice AS width FROM orders WHERE o_orderkey > 40 AND o_orderkey % 2 = 1""")
+def page_source(spark, sf):
+    """Orders as pages, written by the sink as one JSON lines file for each group of them, and read by the source: by byte ranges, with pages and versions chosen there."""
+    o = V.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("orders-"), (k % 3).cast("string"), F.lit("-B5"), (k % 2).cast("string"), F.lit(".jsonl"))
+    folder = working_folder(spark, "page-source")
+    page_source_format.write_named(o.select(name.alias("name"), k.cast("int").alias("page_num"), F.col("o_totalprice").alias("width")), folder, "name", ["page_num"])
+    pages = spark.read.format("page_models").option("path", folder).option("split", 1 << 20).load()
+    return pages.filter("page_num > 40 AND version = '5.1'").select("source", "version", "page_num", "width")
+
+
 @query()
 def ingest(spark, sf):
     """Chunks of web pages, a hundred to a document, from raw pages and an outline of their headings."""
@@ -751,6 +770,34 @@ def conversation_turns(spark, sf):
     return assistant.turns(V.table(spark, sf, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "turn_no", "n_before")
 
 
+def _sentences_sql(text: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array(coalesce({text}, ''), '[.!?\\n]+'), lambda x: list_distinct(regexp_extract_all(lower(x), '[a-z0-9_]+'))), lambda t: len(t) > 0)"
+
+
+#: each answer of a conversation: the question before it, the two turns before that as contexts, the next turn as the reference
+ANSWERED = f"""asked AS (SELECT a.conv_id, a.turn, q.text AS question, a.text AS response, r.text AS reference, p.text AS c1, o.text AS c2 FROM conversations a
+  JOIN conversations q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1 LEFT JOIN conversations r ON r.conv_id = a.conv_id AND r.turn = a.turn + 1
+  LEFT JOIN conversations p ON p.conv_id = a.conv_id AND p.turn = a.turn - 2 LEFT JOIN conversations o ON o.conv_id = a.conv_id AND o.turn = a.turn - 3),
+cut AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(question), '[a-z0-9_]+')) AS q, {_sentences_sql("response")} AS r, {_sentences_sql("reference")} AS ref, [{_sentences_sql("c1")}, {_sentences_sql("c2")}] AS c FROM asked),
+flat AS (SELECT *, flatten(c) AS every FROM cut),
+best AS (SELECT conv_id, turn, q, r, ref, list_sum(list_transform(r, lambda s: len(s))) AS n_r, list_sum(list_transform(ref, lambda s: len(s))) AS n_ref,
+  list_sum(list_transform(r, lambda s: coalesce(list_max(list_transform(every, lambda x: len(list_intersect(s, x)))), 0))) AS h_r, list_sum(list_transform(ref, lambda s: coalesce(list_max(list_transform(every, lambda x: len(list_intersect(s, x)))), 0))) AS h_ref,
+  list_transform(c, lambda x: len(list_filter(ref, lambda s: len(list_filter(x, lambda y: len(list_intersect(s, y)) >= 0.5 * len(s))) > 0)) > 0) AS good FROM flat)"""
+
+
+@query(with_(ANSWERED) + """SELECT conv_id, turn, round(CASE WHEN n_r > 0 THEN h_r::DOUBLE / n_r END, 6) AS faithfulness_standin, round(CASE WHEN len(r) > 0 AND len(q) > 0 THEN len(list_intersect(q, flatten(r)))::DOUBLE / len(q) END, 6) AS answer_relevancy_standin,
+CASE WHEN len(r) > 0 AND len(ref) > 0 THEN CASE WHEN good[1] THEN 1.0::DOUBLE WHEN good[2] THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END END AS context_precision_standin, round(CASE WHEN len(r) > 0 AND n_ref > 0 THEN h_ref::DOUBLE / n_ref END, 6) AS context_recall_standin FROM best""")
+def metric_standins(spark, sf):
+    """Every turn of a conversation as an answer to the one before it."""
+    c = V.table(spark, sf, "conversations")
+    turn = lambda name, step: c.select("conv_id", (F.col("turn") - step).alias("turn"), F.col("text").alias(name))
+    rows = c.select("conv_id", "turn", F.col("text").alias("response")).join(turn("question", -1), ["conv_id", "turn"])
+    for name, step in (("reference", 1), ("c1", -2), ("c2", -3)):
+        rows = rows.join(turn(name, step), ["conv_id", "turn"], "left")
+    scores = evaluate.standins(rows.withColumn("contexts", F.array("c1", "c2")))
+    return scores.select("conv_id", "turn", *[F.round(f"{m}_standin", 6).alias(f"{m}_standin") for m in evaluate.METRICS])
+
+
 @query("""WITH RECURSIVE ends AS (SELECT conv_id, max(turn) AS turn, count(*) AS n FROM conversations GROUP BY conv_id),
 asked AS (SELECT c.conv_id, CASE WHEN c.conv_id % 3 = 0 THEN e.turn ELSE 1 END AS seq, CASE WHEN c.conv_id % 3 = 0 THEN e.n ELSE 2 END AS n, coalesce(c.text, '') AS text FROM conversations c JOIN ends e USING (conv_id, turn)),
 steps AS (SELECT * FROM asked UNION ALL SELECT conv_id, seq + 2, n + 2, array_to_string(list_filter(string_split(text, ' '), lambda x, i: i % 2 = 1), ' ') FROM steps WHERE len(string_split(text, ' ')) > 20)

@@ -241,3 +241,16 @@ def test_a_page_of_many_boxes():
     began = time.time()
     got = layout.merge_boxes(boxes)
     assert time.time() - began < 30 and sum(b[4] for b in got) == 50_000 and len(got) == 200 * 126
+
+
+def test_metric_standins_by_hand(spark):
+    from lodestrata.operators import evaluate
+
+    rows = [(1, "What is bus width?", "The bus width is eight. Speed is low.", ["Nothing here", "The bus width is eight bits wide"], "Bus width is eight"), (2, "q", "", ["a"], "a"), (3, None, "a b", None, None), (4, "a", "a", [None, ""], "b")]
+    got = {r.id: r for r in evaluate.standins(spark.createDataFrame(rows, "id int, question string, response string, contexts array<string>, reference string")).collect()}
+    one = got[1]
+    assert one.faithfulness_standin == pytest.approx((5 + 1) / 8) and one.answer_relevancy_standin == pytest.approx(3 / 4)
+    assert one.context_precision_standin == 0.5 and one.context_recall_standin == 1.0
+    assert [got[2][f"{m}_standin"] for m in evaluate.METRICS] == [None] * 4
+    assert [got[3][f"{m}_standin"] for m in evaluate.METRICS] == [0.0, None, None, None]
+    assert [got[4][f"{m}_standin"] for m in evaluate.METRICS] == [0.0, 1.0, 0.0, 0.0]
