@@ -125,6 +125,7 @@ def block_kind(text: Column, title: Column) -> Column:
     return F.when(F.coalesce(is_definition_page(title), F.lit(False)), "definition").when(is_register_text(text), "register").otherwise("text")
 
 
+# What captions and definitions look like.
 TABLE_CAPTION = r"(?i)Table\s+\d+[\s—\-]+[^\n]{5,80}"
 FIGURE_CAPTION = r"(?i)Figure\s+\d+[\s—\-]+[^\n]{3,120}"
 
@@ -137,6 +138,12 @@ def figure_caption(c: Column) -> Column:
     return trim_all(F.regexp_extract(c, FIGURE_CAPTION, 0))
 
 
+ABBREVIATION = r"(?m)^([A-Z][A-Z0-9_/\-]{1,20})\s*[:\-–—]\s*(.{10,200})$"
+NUMBERED_TERM = r"(?m)^\d+(?:\.\d+)+\s+([A-Za-z][^\n]{3,60})\n(.{20,500})"
+MEANS = r"(?i)([A-Z][A-Za-z0-9_\-\s]{2,40}?)\s+(?:means|is defined as|refers to)\s+(.{10,200})"
+ABBREVIATED = r"(?i)([A-Z][A-Za-z0-9_\-\s]{2,40}?)\s+\(abbreviated\s+as\s+([A-Z][A-Z0-9_\-]{1,15})\)"
+
+
 def _pairs(c: Column, pattern: str) -> Column:
     term, meaning = (F.regexp_extract_all(c, F.lit(pattern), F.lit(k)) for k in (1, 2))
     return F.transform(F.arrays_zip(term.alias("t"), meaning.alias("d")), lambda p: F.struct(trim_all(p["t"]).alias("term"), trim_all(p["d"]).alias("definition")))
@@ -144,15 +151,15 @@ def _pairs(c: Column, pattern: str) -> Column:
 
 def definitions(c: Column) -> Column:
     """(term, definition) pairs: abbreviations, or where there are none, numbered terms."""
-    short = _pairs(c, r"(?m)^([A-Z][A-Z0-9_/\-]{1,20})\s*[:\-–—]\s*(.{10,200})$")
-    numbered = _pairs(c, r"(?m)^\d+(?:\.\d+)+\s+([A-Za-z][^\n]{3,60})\n(.{20,500})")
+    short = _pairs(c, ABBREVIATION)
+    numbered = _pairs(c, NUMBERED_TERM)
     return F.when(F.size(short) > 0, short).otherwise(numbered)
 
 
 def inline_definitions(c: Column) -> Column:
     """(term, definition) pairs of running text, the first of each term whatever its case."""
-    means = _pairs(c, r"(?i)([A-Z][A-Za-z0-9_\-\s]{2,40}?)\s+(?:means|is defined as|refers to)\s+(.{10,200})")
-    short = _pairs(c, r"(?i)([A-Z][A-Za-z0-9_\-\s]{2,40}?)\s+\(abbreviated\s+as\s+([A-Z][A-Z0-9_\-]{1,15})\)")
+    means = _pairs(c, MEANS)
+    short = _pairs(c, ABBREVIATED)
     both = F.concat(means, short)
     keys = F.transform(both, lambda p: F.lower(p["term"]))
     return F.filter(both, lambda p, i: F.array_position(keys, F.lower(p["term"])) == i + 1)

@@ -28,7 +28,11 @@ def first_questions(questions: DataFrame, n: int, order: str = "ord") -> DataFra
 def chain(questions: DataFrame, retrieve: Retrieve, chunks: DataFrame, model: Callable[[], Generator], variants: Column | None = None, n: int = R.N_RESULTS) -> DataFrame:
     """(query_id, answer, context, n_excerpts) of questions (query_id, query, vector): retrieval, cited excerpts, prompt, model. A question without
     hits is answered over an empty context."""
-    found = assistant.search(questions, variants, retrieve, chunks, n=n)
+    return answered(questions, assistant.search(questions, variants, retrieve, chunks, n=n), model)
+
+
+def answered(questions: DataFrame, found: DataFrame, model: Callable[[], Generator]) -> DataFrame:
+    """chain() over excerpts that have been found."""
     contexts = R.context(found, ["query_id"])
     asked = assistant.prompts(questions, contexts, SYSTEM).join(contexts, "query_id", "left")
     return asked.select("query_id", answers(model, F.col("prompt")).alias("answer"), F.coalesce("context", F.lit("")).alias("context"), F.coalesce("n_excerpts", F.lit(0)).alias("n_excerpts"))
@@ -65,13 +69,14 @@ def routed(questions: DataFrame, chunks: DataFrame, glossary: DataFrame, retriev
     return out
 
 
-def evaluated(questions: DataFrame, pipelines: dict[str, Retrieve], chunks: DataFrame, model: Callable[[], Generator], glossary: DataFrame | None = None, versions: list[str] | None = None) -> DataFrame:
+def evaluated(questions: DataFrame, pipelines: dict[str, Retrieve], chunks: DataFrame, model: Callable[[], Generator], glossary: DataFrame | None = None, versions: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
     """(pipeline, query_id, response, contexts) for each pipeline, a name and its retrieval; with a glossary also "agent", whose contexts are
     what its tools gave, and which answers over them. Contexts that are blank go; one empty context stands for none."""
     out = []
     for name, retrieve in pipelines.items():
-        told = chain(questions, retrieve, chunks, model)
-        shown = retrieved(retrieve(questions.select("query_id", "query", "vector")), chunks)
+        found = keep(assistant.search(questions, None, retrieve, chunks).select("query_id", "id", "rank", "excerpt"))  # retrieved once, for the answer and its contexts
+        told = answered(questions, found, model)
+        shown = retrieved(found, chunks)
         out.append(told.join(shown, "query_id", "left").select(F.lit(name).alias("pipeline"), "query_id", F.col("answer").alias("response"), evaluate.clean_contexts(F.coalesce("contexts", F.array().cast("array<string>"))).alias("contexts")))
     if glossary is not None:
         retrieve = next(iter(reversed(pipelines.values())))

@@ -25,7 +25,7 @@ def settled(score: str | Column, digits: int = 9) -> Column:
 
 
 def bm25_terms(docs: DataFrame, text: Column, pos: str = "pos", epsilon: float = BM25_EPSILON) -> DataFrame:
-    """(term, df, idf, n, avgdl) of all terms. Each text is cut once; only (term, count) pairs are shuffled, combined map-side.
+    """(term, df, idf, n, avgdl) of all terms. Texts are cut for the terms' counts and for the mean length; only (term, count) pairs are shuffled, combined map-side.
 
     Negative idf values, of terms in more than half of the documents, become epsilon times the mean idf of all terms. No
     documents, or none with a token: no rows.
@@ -57,7 +57,7 @@ def scored(asked: DataFrame, postings: DataFrame, terms: DataFrame, pos: str = "
 def bm25_scores(queries: DataFrame, docs: DataFrame, text: Column, pos: str = "pos", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(query_id, pos, score) of the documents that hold a token of the query; a repeated token counts again. queries: query_id, query.
 
-    Documents are scanned for the terms' statistics and for the asked terms' postings; other postings never leave the scan. For more
+    Documents are scanned, and cut, for the terms' statistics and again for the asked terms' postings; other postings never leave the scan. For more
     than one search over the same documents, see sources.keywords.KeywordIndex.
     """
     asked = asked_terms(queries)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
+# The defaults of a Profile (watermarks, noise, versions, variants, sections of registers, least lengths) must be these for right results.
 @dataclass(frozen=True)
 class Profile:
     """Settings of a document family. The defaults are those of flash-memory standards."""
