@@ -17,6 +17,8 @@ from .snapshots import Snapshots, State
 BLOCK, SLICE = 256, 1 << 20
 #: asked terms up to which they are named to the scan of the blocks
 NAMED = 10_000
+#: terms of a query up to which its blocks are bounded first: the bounds of many terms add up to more than any block could miss
+BOUNDED = 12
 #: what a score may lose in sums of doubles
 SLACK = 1e-6
 
@@ -102,14 +104,14 @@ class KeywordIndex:
         postings = blocks.select("term", F.inline("postings"))
         return scored(asked.select("query_id", "term", "qtf"), postings, asked.select("term", "idf", "avgdl").distinct(), self.pos)
 
-    def _bounded(self, queries: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-        """(asked terms, blocks by query and term with `read`: whether a document of the best n can be in them).
+    @staticmethod
+    def _bounded(asked: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
+        """Blocks by query and term with `read`: whether a document of the best n can be in them.
 
         A score that n documents reach is known from the first blocks of any one term. A block whose bound and the greatest
         bounds of the query's other terms stay below it holds no document of the best n. Where a term has a
         negative weight nothing is known, and all blocks are read.
         """
-        asked, blocks = self._asked(queries)
         weights = asked.select("query_id", "term", "weight", "avgdl")
         bound = F.greatest(F.col("weight") * _impact(F.col("most_tf"), F.col("least_dl")), F.lit(0.0))
         found = blocks.join(weights, "term").withColumn("bound", bound)
@@ -120,19 +122,25 @@ class KeywordIndex:
         reached = top(part, ["query_id", "term"], [F.col("part").desc()], n).filter(F.col("rank") == n).groupBy("query_id").agg(F.max("part").alias("reached"))
         limits = whole.join(reached, "query_id", "left").select("query_id", "whole", F.when(F.col("least") >= 0, F.col("reached")).alias("reached"))
         limits = most.join(limits, "query_id").select("query_id", "term", (F.col("reached") - SLACK - (F.col("whole") - F.col("most"))).alias("needed"))
-        return asked, found.join(limits, ["query_id", "term"]).withColumn("read", F.coalesce(F.col("bound") >= F.col("needed"), F.lit(True)))
+        return found.join(limits, ["query_id", "term"]).withColumn("read", F.coalesce(F.col("bound") >= F.col("needed"), F.lit(True)))
 
     def search(self, queries: DataFrame, n: int = N_SPARSE) -> DataFrame:
-        """(query_id, pos, score, rank): the best n documents of each query (query_id, query), ties by position; blocks that cannot matter are left out."""
-        _, found = self._bounded(queries, n)
-        post = found.filter("read").select("query_id", "weight", "avgdl", F.explode("postings").alias("p"))
+        """(query_id, pos, score, rank): the best n documents of each query (query_id, query), ties by position.
+
+        Of queries of few terms, blocks that cannot matter are left out; those of many terms read all blocks of their terms.
+        """
+        asked, blocks = self._asked(queries)
+        asked = asked.withColumn("terms", F.count("*").over(Window.partitionBy("query_id")))
+        columns = ["query_id", "weight", "avgdl", F.explode("postings").alias("p")]
+        few = self._bounded(asked.filter(F.col("terms") <= BOUNDED), blocks, n).filter("read").select(*columns)
+        post = few.unionByName(blocks.join(asked.filter(F.col("terms") > BOUNDED), "term").select(*columns))
         part = F.col("weight") * _impact(F.col("p.tf"), F.col("p.dl"))
         sums = post.groupBy("query_id", F.col(f"p.{self.pos}").alias(self.pos)).agg(F.sum(part).alias("score"))
         return top(sums, ["query_id"], [settled("score").desc(), self.pos], n)
 
     def read_share(self, queries: DataFrame, n: int = N_SPARSE) -> DataFrame:
-        """(query_id, postings, read): the postings of each query's terms, and those that search() reads."""
-        _, found = self._bounded(queries, n)
+        """(query_id, postings, read): the postings of each query's terms, and those that a bounded search reads."""
+        found = self._bounded(*self._asked(queries), n)
         return found.groupBy("query_id").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("read"), F.col("n")).otherwise(0)).alias("read"))
 
 
