@@ -480,8 +480,15 @@ def parent_fk(spark, sf):
     return groups.agg(F.count("*").alias("n_groups"), F.count_if(F.col("parent_chunk_id") == F.col("first_id")).alias("n_linked"))
 
 
-@query()
+@query(with_(V.TEXT_BOXES, V.BIG_BOXES, f"""near AS ({SQL['nearest_caption'][SQL['nearest_caption'].index("SELECT page, box, arg_min"):]})""", f"""inside AS ({SQL['labels_in_figure'][SQL['labels_in_figure'].index("SELECT b.page, box, string_agg"):]})""",
+f"""told AS (SELECT page, CASE WHEN box % 2 = 0 THEN 'figure' ELSE 'bitmap' END AS kind, caption, coalesce('[Figure: ' || nullif(trim(caption), '') || ']', CASE WHEN box % 2 = 1 THEN '[Figure: bitmap image]' ELSE '[Figure: (no caption)]' END) || coalesce(chr(10) || nullif(labels, ''), '') AS raw
+  FROM boxes LEFT JOIN near USING (page, box) LEFT JOIN inside USING (page, box) WHERE coalesce(caption, '') <> '' OR coalesce(labels, '') <> '')""").rstrip() + f"""
+SELECT {uuid5_sql("'spec-B51.pdf|5.1|' || kind || '|' || page || '|7|0|' || sha256(raw)[1:16]")} AS chunk_id, kind AS content_type, page AS page_start, raw AS raw_text, '[eMMC 5.1 | 7 Bus | Page ' || page || ']' || chr(10) || raw AS text, nullif(caption, '') AS figure_caption FROM told""")
 def figure_chunks(spark, sf):
+    return _figure_chunks(spark, sf).select("chunk_id", "content_type", "page_start", "raw_text", "text", "figure_caption")
+
+
+def _figure_chunks(spark, sf):
     boxes, texts = V.big_boxes(spark, sf), V.text_boxes(spark, sf)
     captions = layout.nearest_caption(boxes, texts.withColumn("text", F.concat(F.lit("Figure 3 - "), "text")), ["page"], "box").drop("dist")
     f = boxes.join(captions, ["page", "box"], "left").join(layout.labels_in_boxes(texts, boxes, ["page"], "box"), ["page", "box"], "left")
