@@ -103,3 +103,22 @@ def resample(docs: DataFrame, target: DataFrame, uri: str, key: str = "doc_id",
     columns = [F.col(key), F.col("n_features"), F.col("weight"), F.col("score")]
     ranked = drawn.select(*columns, F.when(F.col("place") <= most, F.col("place")).alias("rank"))
     return ranked.unionByName(weighed.filter(~above).select(*columns, F.lit(None).cast("long").alias("rank")))
+
+
+#: resample() of documents towards benchmark; crc32 by its table, which the first part makes
+RESAMPLE_SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+texts AS (SELECT doc_id AS id, true AS raw, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  UNION ALL SELECT item_id, false, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+cut AS (SELECT row_number() OVER () AS r, id, raw, coalesce(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM texts),
+made AS (SELECT r, unnest(w) AS f FROM cut UNION ALL SELECT r, unnest(list_transform(w[:-2], lambda x, i: x || ' ' || w[i + 1])) FROM cut WHERE len(w) > 1),
+counted AS (SELECT r, f, count(*) AS n FROM made GROUP BY ALL),
+hashed AS (SELECT f, xor(list_reduce(list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 10000 AS b FROM (SELECT DISTINCT f FROM counted), crc),
+placed AS (SELECT r, b, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL),
+sums AS (SELECT b, coalesce(sum(n) FILTER (raw), 0) AS s, coalesce(sum(n) FILTER (NOT raw), 0) AS t FROM placed JOIN cut USING (r) GROUP BY b),
+gains AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM sums) + 10000) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM sums) + 10000))))::BIGINT AS g FROM sums),
+weights AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS total FROM placed JOIN gains USING (b) GROUP BY r),
+scored AS (SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight FROM cut LEFT JOIN weights USING (r) WHERE raw),
+noisy AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, 'null'))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM noisy)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM ranked"""

@@ -108,4 +108,5 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op9_licence_rules": licences.scan_sql(),
+    "op11_importance_resampling": importance.RESAMPLE_SQL,
 }

@@ -47,6 +47,16 @@ def test_query_matches_brute_force(spark, sf):
     assert result(got) == brute_force(texts(docs, "doc_id"), texts(target))
 
 
+def test_sql_matches_brute_force(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    docs, target = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert sorted(con.sql(I.RESAMPLE_SQL).fetchall(), key=repr) == brute_force(texts(docs, "doc_id"), texts(target))
+
+
 def test_odd_and_empty_tables(spark, odd_docs, no_docs, uri):
     more = odd_docs.unionByName(odd_docs.withColumn("text", I.F.concat(I.F.lit("Été A-B c_d 0x9 "), I.F.repeat(I.F.lit("ÀB x "), 12))).withColumn("doc_id", I.F.col("doc_id") + 20))
     for target in (more.limit(3), no_docs):
