@@ -11,6 +11,7 @@ from ..functions import formulas, ids
 from ..functions import text as X
 from ..operators import answers, assistant, chunks, evaluate, events, filters, flow, layout, retrieval, splitter, structure, tables, threads
 from ..plugins import HashingEmbedder
+from ..profile import CHUNK_CHARS, CHUNK_OVERLAP
 from ..session import stored, working_folder
 from ..sources import files, store
 from ..sources import page_source as page_source_format
@@ -333,7 +334,12 @@ def html_headings(spark, sf):
     return files.html_blocks(V.table(spark, sf, "pages")).filter("tag = 'h1'").select("page", "text")
 
 
-@query()
+@query(r"""WITH cut AS (SELECT page_id, string_split(regexp_replace(html, '(?i)<(h1|h2|p|li|/article|/ul|/body)\b', chr(1) || '<\1', 'g'), chr(1)) AS parts FROM pages),
+part AS (SELECT page_id, unnest(parts) AS x, unnest(range(1, len(parts) + 1)) AS i, len(parts) AS n FROM cut),
+opened AS (SELECT page_id, i, n, lower(regexp_extract(x, '(?is)^<(h1|h2|p|li)\b[^>]*>', 1)) AS tag, regexp_replace(x, '(?is)^<(h1|h2|p|li)\b[^>]*>', '') AS x FROM part),
+ended AS (SELECT page_id, i, n, tag, x, strpos(lower(x), '</' || tag || '>') AS e FROM opened WHERE tag <> '')
+SELECT page_id AS page, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS block_ord, tag,
+  trim(regexp_replace(regexp_replace(CASE WHEN e > 0 THEN x[1:e - 1] ELSE x END, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS text FROM ended WHERE e > 0 OR i < n""")
 def html_blocks(spark, sf):
     return files.html_blocks(V.table(spark, sf, "pages"))
 
@@ -438,16 +444,39 @@ def _runs(spark, sf):
     )
 
 
-@query()
+def split_sql(texts: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> str:
+    """The recursive CTEs that cut texts (doc_id, text) into `split` (doc_id, chunk_index, chunk).
+
+    One recursion goes down the separators and leaves small parts, the other walks from run to run of a part's neighbours by their
+    lengths' prefix sums. Not the splitter's code in SQL: that goes part by part and keeps a run.
+    """
+    strip = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')".format
+    return f"""given AS (SELECT doc_id, text FROM {texts} WHERE {strip('text')} <> ''),
+seps AS (SELECT k, sep FROM (VALUES (1, chr(10) || chr(10)), (2, chr(10)), (3, '. '), (4, ' '), (5, '')) s(k, sep)),
+cut AS (SELECT doc_id, []::INT[] AS path, text AS body, 0 AS k, false AS small FROM given WHERE length(text) >= {size}
+  UNION ALL
+  SELECT doc_id, list_append(path, i), part, k, length(part) < {size} FROM (
+    SELECT doc_id, path, k, unnest(parts) AS part, unnest(range(1, len(parts) + 1))::INT AS i FROM (
+      SELECT doc_id, path, k, list_filter(list_transform(string_split(body, sep), lambda x, i: CASE WHEN i = 1 THEN x ELSE sep || x END), lambda x: x <> '') AS parts FROM (
+        SELECT c.doc_id, c.path, c.body, s.k, s.sep FROM cut c JOIN seps s ON s.k = CASE WHEN c.k < 1 AND contains(body, chr(10) || chr(10)) THEN 1
+          WHEN c.k < 2 AND contains(body, chr(10)) THEN 2 WHEN c.k < 3 AND contains(body, '. ') THEN 3 WHEN c.k < 4 AND contains(body, ' ') THEN 4 ELSE 5 END WHERE NOT c.small)))),
+leaves AS (SELECT doc_id, path[1:len(path) - 1] AS parent, path[len(path)] AS i, body, small, count(*) FILTER (NOT small) OVER (PARTITION BY doc_id, path[1:len(path) - 1] ORDER BY path[len(path)]) AS g FROM cut WHERE len(path) > 0),
+sums AS (SELECT doc_id, parent, g, i, body, sum(length(body)) OVER (PARTITION BY doc_id, parent, g ORDER BY i) AS upto FROM leaves WHERE small),
+groups AS (SELECT doc_id, parent, g, list(i ORDER BY i) AS places, list(body ORDER BY i) AS bodies, list(upto ORDER BY i) AS ends, list(upto - length(body) ORDER BY i) AS begins FROM sums GROUP BY ALL),
+runs AS (SELECT doc_id, parent, g, 1 AS a, len(list_filter(ends, lambda x: x <= {size})) AS b FROM groups
+  UNION ALL
+  SELECT doc_id, parent, g, next, len(list_filter(ends, lambda x: x - begins[next] <= {size})) FROM (
+    SELECT g.*, 1 + len(list_filter(begins, lambda x: ends[b] - x > {overlap} OR ends[b + 1] - x > {size})) AS next FROM runs r JOIN groups g USING (doc_id, parent, g) WHERE b < len(ends))),
+found AS (SELECT doc_id, list_append(parent, places[a]) AS place, {strip("array_to_string(bodies[a:b], '')")} AS chunk FROM runs JOIN groups USING (doc_id, parent, g)),
+split AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS chunk_index, chunk FROM found WHERE chunk <> ''
+  UNION ALL SELECT doc_id, 0, {strip('text')} FROM given WHERE length(text) < {size})"""
+
+
+@query("WITH RECURSIVE " + split_sql("documents") + "\nSELECT doc_id, chunk_index, chunk FROM split")
 def text_split(spark, sf):
     return splitter.split_frame(V.table(spark, sf, "documents").select("doc_id", "text"), "text", F.lit("text")).select("doc_id", "chunk_index", "chunk")
 
 
-@query()
-def text_chunks(spark, sf):
-    return chunks.text_chunks(_runs(spark, sf))
-
-
 def _table_chunks(spark, sf):
     t = tables.preprocess(V.grids(spark, sf), header_mode="fixed")
     t = t.withColumns({"source": F.lit("spec-B51.pdf"), "version": F.lit("5.1"), "page_start": F.col("table_id").cast("int"), "page_end": F.col("table_id").cast("int"), "section_path": F.array(F.lit("7")), "section_title": F.lit("Registers"), "heading_level": F.lit(1), "section_label": F.lit("7 Registers"), "section_front": F.lit(False), "caption": F.lit("Table 3 - Lines")})
@@ -460,6 +489,20 @@ def uuid5_sql(key: str) -> str:
     return f"(SELECT h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ('89ab')[1 + ('0x' || h[17])::INT % 4] || h[18:20] || '-' || h[21:32] FROM (SELECT {h} AS h))"
 
 
+def _text_chunks_sql() -> str:
+    key = uuid5_sql("source || '|' || lang || '|text|1|6/6.1|' || chunk_index || '|' || sha256(chunk)[1:16]")
+    prefix = "'[eMMC ' || lang || ' | 6.1 Bus | Page 1]' || chr(10)"
+    return f"""
+SELECT {key} AS chunk_id, source, lang AS version, 1 AS page_start, 1 AS page_end, '6/6.1' AS section_path, 'Bus' AS section_title, 2 AS heading_level, 'text' AS content_type, false AS is_front_matter, chunk_index, {prefix} || chunk AS text, chunk AS raw_text, false AS is_row_chunk
+FROM split JOIN documents USING (doc_id)"""
+
+
+@query("WITH RECURSIVE " + split_sql("documents") + _text_chunks_sql())
+def text_chunks(spark, sf):
+    c = chunks.text_chunks(_runs(spark, sf)).withColumn("section_path", F.array_join("section_path", "/"))
+    return c.drop("table_markdown", "figure_caption", "term", "parent_chunk_id")  # text chunks have none
+
+
 @query(with_(MD) + f""", grouped AS (SELECT table_id, k, min(ord) AS first, string_agg('| ' || k || ' | ' || c1 || ' | ' || c2 || ' |  |', chr(10) ORDER BY ord) AS lines FROM body GROUP BY table_id, k),
 whole AS (SELECT table_id, any_value(top) || coalesce(chr(10) || string_agg('| ' || k || ' | ' || c1 || ' | ' || c2 || ' |  |', chr(10) ORDER BY ord), '') AS md FROM tops LEFT JOIN body USING (table_id) GROUP BY table_id),
 parents AS (SELECT table_id, md, {uuid5_sql("'spec-B51.pdf|5.1|table|' || table_id || '|7|0|' || sha256(md)[1:16]")} AS id FROM whole),

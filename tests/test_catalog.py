@@ -42,3 +42,23 @@ def test_entry_without_llm(spark):
     assert set(catalog.QUERIES) <= set(names)
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(40, 10), (60, 59)])
+def test_splitter_against_recursion(spark, size, overlap):
+    """Texts of all separators and of words longer than a piece."""
+    import random
+
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from lodestrata.operators import splitter
+
+    r = random.Random(size)
+    tokens = ["a", "bb", "\n", "\n\n", ". ", " ", "ccccccc", "é" * 30, "x" * 50]
+    texts = [(i, "".join(r.choice(tokens) for _ in range(r.randint(0, 200)))) for i in range(200)] + [(200, None), (201, " \n ")]
+    got = splitter.split_frame(spark.createDataFrame(texts, "doc_id long, text string"), "text", F.lit("text"), size, overlap)
+    con = duckdb.connect()
+    con.register("texts", pd.DataFrame(texts, columns=["doc_id", "text"]))
+    expected = con.sql("WITH RECURSIVE " + catalog.split_sql("texts", size, overlap) + " SELECT doc_id, chunk_index, chunk FROM split").fetchall()
+    assert sorted(map(tuple, got.select("doc_id", "chunk_index", "chunk").collect())) == sorted(expected)
