@@ -8,8 +8,8 @@ Four pieces of evidence about a document's language are combined by Bayes' rule:
 * its host: the host's share of each language, smoothed towards that of the hosts which share its last three labels, those towards that of
   the last two, those towards that of the last, and those towards the corpus'. An address of numbers has no labels.
 
-The models are fitted on a bounded sample of labelled rows (`FIT_ROWS` of each label by least hash, so that every label has a
-model, however rare). All counts behind the other evidence are
+The models are fitted on a bounded sample of labelled rows (`FIT_ROWS` of each label by least hash, so that a label has a
+model however rare; of more than `LABELS` labels, those of the most texts). All counts behind the other evidence are
 grouped aggregations over all rows, of the texts' own posteriors. A document is rejected when the background
 wins, or no language has `ACCEPT` of the posterior.
 """
@@ -32,6 +32,8 @@ WINDOW = 1 << 20
 FIT_ROWS = 2_000
 #: trigrams of one text are not independent: a text counts as this many at most
 EFFECTIVE = 48
+#: labels that have a text model, at most: those of the most texts. Others are read as declarations only
+LABELS = 500
 ACCEPT = 0.5
 #: pseudo-counts: a trigram's in a model, a declaration's, and a parent's weight in its child's prior
 ALPHA, DECLARED, PARENT = 0.1, 1.0, 20.0
@@ -107,19 +109,24 @@ def text_posteriors(texts: list[str], model: np.ndarray) -> np.ndarray:
     return out / out.sum(axis=1, keepdims=True)
 
 
-def labelled_sample(docs: DataFrame, text: str = "text", label: str = "lang", rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """The models, each fitted on the `rows` texts of its label with the least hash, copies aside. Every label has one,
-    but for NO_LANGUAGE and null; the driver holds one row per label and the models."""
+def primary(tag: Column) -> Column:
+    """The language of a tag such as "en-GB"; null where it names none."""
+    return F.nullif(F.lower(F.substring_index(F.trim(tag), "-", 1)), F.lit(""))
+
+
+def labelled_sample(docs: DataFrame, text: str = "text", label: str = "lang", rows: int = FIT_ROWS, most: int = LABELS) -> tuple[list[str], np.ndarray]:
+    """The models, each fitted on the `rows` texts of its label with the least hash, copies aside. The `most` labels of the most
+    texts have one (ties: the first by name), but for NO_LANGUAGE, null and empty ones, "-x" among them; the driver holds a row per label with a model, and the models."""
     spark = docs.sparkSession
-    own = F.lower(F.substring_index(F.col(label), "-", 1))
-    labelled = docs.filter(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("t"), own.alias("l"), F.xxhash64(text).alias("h")).filter(F.col("l") != NO_LANGUAGE)
-    totals = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    own = primary(F.col(label))
+    labelled = docs.filter(F.length(text) > 0).select(F.col(text).alias("t"), own.alias("l"), F.xxhash64(text).alias("h")).filter(F.col("l") != NO_LANGUAGE)
+    totals = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(most).collect()}
     if not totals:
         return fit([], np.zeros((0, BUCKETS)))
     names = sorted(totals)
 
     def below(edges: dict[str, int]) -> DataFrame:
-        some = F.broadcast(spark.createDataFrame([*edges.items()], "l string, edge long"))  # one row per label
+        some = F.broadcast(spark.createDataFrame([*edges.items()], "l string, edge long"))  # one row per label with a model
         return labelled.join(some, "l").filter(F.col("h") <= F.col("edge"))
 
     # hashes are even, so a bound on them leaves about twice the rows that are wanted; copies count once and move only their hashes
@@ -139,6 +146,22 @@ def labelled_sample(docs: DataFrame, text: str = "text", label: str = "lang", ro
     return fit(names, seen)
 
 
+def numbers(values: list[float]) -> Column:
+    return F.array(*[F.lit(float(x)) for x in values])
+
+
+def masses(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """(by, m, n): the sums of the arrays x (the mass of k languages and the background, then a count of rows) of each value.
+
+    A language is a row here, never a column, so plans are alike for any number of them; zeros, most of an array, make no row.
+    A value's sums are made before they meet, so that a value of many rows is no large group.
+    """
+    long = rows.select(by, F.posexplode("x").alias("i", "x")).filter("x > 0").groupBy(by, "i").agg(F.sum("x").alias("x"))
+    sums = long.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("e"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.coalesce(F.col("e")[i], F.lit(0.0)))
+    return sums.select(by, dense.alias("m"), F.col("e")[k + 1].alias("n"))
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], uri: str, text: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (default: all) and __lang, __posterior, __text_lang, __accepted, one row per row.
 
@@ -153,8 +176,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], uri: str, tex
     shared = spark.sparkContext.broadcast(table)
     keep = docs.columns if keep is None else keep
     none = F.lit(None).cast("string")
-    clean = lambda c: F.lower(F.substring_index(F.trim(c), "-", 1)) if c is not None else none
-    evidence = [clean(declared).alias("__declared"), (F.lower(host) if host is not None else none).alias("__host"), (F.lower(suffix) if suffix is not None else none).alias("__suffix")]
+    evidence = [(primary(declared) if declared is not None else none).alias("__declared"), (F.lower(host) if host is not None else none).alias("__host"), (F.lower(suffix) if suffix is not None else none).alias("__suffix")]
     # a text that is kept goes to the workers once
     given = docs.select(*([] if text in keep else [F.col(text).alias("__text")]), *evidence, *[F.col(f"`{c}`") for c in keep])
     place = given.columns.index(text if text in keep else "__text")
@@ -173,52 +195,51 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], uri: str, tex
                 yield pa.RecordBatch.from_arrays([*columns, lists], names=schema.names)
 
     scored = common.stash(given.mapInArrow(score, schema), f"{uri}/scored")
-    mass = [F.sum(F.col("__p")[i]).alias(f"m{i}") for i in range(k + 1)]
+    whole = F.concat("__p", F.array(F.lit(1.0)))
 
     # the corpus' prior, and for each declaration and suffix the mass of each language: few values are common, all are counted
-    top = scored.agg(F.count("*").alias("n"), *mass).first()
-    total = [float(top[f"m{i}"] or 0) for i in range(k + 1)]
+    top = masses(scored.select(F.lit(0).alias("all"), whole.alias("x")), "all", k).first()
+    total = top["m"] if top else [0.0] * (k + 1)
     prior = [(x + 1 / (k + 1)) / (sum(total) + 1) for x in total]
 
     def likelihood(column: str) -> DataFrame:
         """log P(value | language), with a pseudo-count for each value."""
-        by = scored.filter(F.col(column).isNotNull()).groupBy(column).agg(*mass)
-        found = by.agg(F.count("*").alias("n"), *[F.sum(f"m{i}").alias(f"m{i}") for i in range(k + 1)]).first()
-        n = max(1, found["n"])
-        own = [F.log((F.col(f"m{i}") + DECLARED) / F.lit(float(found[f"m{i}"] or 0) + DECLARED * n)) for i in range(k + 1)]
-        return common.stash(by.select(column, F.array(*own).alias(f"{column}_log")), f"{uri}/{column}")
+        by = common.stash(masses(scored.filter(F.col(column).isNotNull()).select(column, whole.alias("x")), column, k), f"{uri}/{column}")
+        found = dict(by.select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x")).collect())
+        n = max(1, by.count())
+        sums = numbers([found.get(i, 0.0) + DECLARED * n for i in range(k + 1)])
+        return by.select(column, F.zip_with("m", sums, lambda x, s: F.log((x + DECLARED) / s)).alias(f"{column}_log"))
 
     def attach(rows: DataFrame, facts: DataFrame, column: str) -> DataFrame:
         few = facts.count() * (16 * (k + 1) + 300) <= BROADCAST_BYTES  # names are short beside that
         return rows.join(F.broadcast(facts) if few else facts, column, "left")
 
     # hosts and, for each level, the names of so many last labels; a host's name itself is its last level
-    hosts = scored.filter(F.col("__host").isNotNull()).groupBy("__host").agg(F.count("*").alias("n"), *mass)
-    numbers = F.col("__host").rlike(r"^[0-9.]+$") | F.contains("__host", F.lit(":"))
-    labels = F.when(numbers, F.array("__host")).otherwise(F.split("__host", r"\."))
+    hosts = masses(scored.filter(F.col("__host").isNotNull()).select("__host", whole.alias("x")), "__host", k)
+    address = F.col("__host").rlike(r"^[0-9.]+$") | F.contains("__host", F.lit(":"))
+    labels = F.when(address, F.array("__host")).otherwise(F.split("__host", r"\."))
     # every host below or at a level's name counts there; a host is smoothed by the levels above itself alone
     last = lambda j: F.when(F.size(labels) >= j, F.array_join(F.slice(labels, F.size(labels) - j + 1, j), "."))
     hosts = common.stash(hosts.withColumn("depth", F.size(labels)).withColumns({f"level{j}": last(j) for j in range(1, LEVELS + 1)}), f"{uri}/hosts")
-    smooth, above = hosts, [F.lit(x) for x in prior]
+    smoothed = lambda m, n, above: F.zip_with(m, above, lambda x, a: (x + PARENT * a) / (F.col(n) + PARENT))
+    smooth, above = hosts, numbers(prior)
     for j in range(1, LEVELS + 1):
-        level = hosts.filter(F.col(f"level{j}").isNotNull()).groupBy(f"level{j}").agg(F.sum("n").alias(f"n_{j}"), *[F.sum(f"m{i}").alias(f"m_{j}_{i}") for i in range(k + 1)])
+        below = hosts.filter(F.col(f"level{j}").isNotNull()).select(f"level{j}", F.concat("m", F.array("n")).alias("x"))
+        level = masses(below, f"level{j}", k).select(f"level{j}", F.col("m").alias(f"m{j}"), F.col("n").alias(f"n{j}"))
         smooth = attach(smooth, common.stash(level, f"{uri}/level{j}"), f"level{j}")
-        inside = F.col("depth") > j
-        smooth = smooth.withColumns({f"q_{j}_{i}": F.when(inside, (F.col(f"m_{j}_{i}") + PARENT * above[i]) / (F.col(f"n_{j}") + PARENT)).otherwise(above[i]) for i in range(k + 1)})
-        above = [F.col(f"q_{j}_{i}") for i in range(k + 1)]
-    smooth = smooth.select("__host", F.array(*[F.log((F.col(f"m{i}") + PARENT * above[i]) / (F.col("n") + PARENT)) for i in range(k + 1)]).alias("__host_log"))
+        smooth = smooth.withColumn(f"q{j}", F.when(F.col("depth") > j, smoothed(f"m{j}", f"n{j}", above)).otherwise(above))
+        above = F.col(f"q{j}")
+    smooth = smooth.select("__host", F.transform(smoothed("m", "n", above), lambda x: F.log(x)).alias("__host_log"))
     smooth = common.stash(smooth, f"{uri}/smooth")
 
     rows = attach(attach(attach(scored, likelihood("__declared"), "__declared"), likelihood("__suffix"), "__suffix"), smooth, "__host")
     flat = [math.log((1 - JUNK_PRIOR) / max(1, k))] * k + [math.log(JUNK_PRIOR)]
     zero = F.lit(0.0)
+    joint = F.zip_with("__p", numbers(flat), lambda x, f: F.log(F.greatest(x, F.lit(1e-12))) - f)  # the text's likelihood
+    for more, absent in (("__host_log", [math.log(x) for x in prior]), ("__declared_log", [0.0] * (k + 1)), ("__suffix_log", [0.0] * (k + 1))):
+        joint = F.zip_with(joint, F.coalesce(more, numbers(absent)), lambda x, y: x + y)
 
-    def joint(i: int) -> Column:
-        text_log = F.log(F.greatest(F.col("__p")[i], F.lit(1e-12))) - F.lit(flat[i])  # the text's likelihood
-        place = F.coalesce(F.col("__host_log")[i], F.lit(math.log(prior[i])))
-        return text_log + place + F.coalesce(F.col("__declared_log")[i], zero) + F.coalesce(F.col("__suffix_log")[i], zero)
-
-    rows = rows.withColumn("__joint", F.array(*[joint(i) for i in range(k + 1)]))
+    rows = rows.withColumn("__joint", joint)
     most = F.array_max("__joint")
     where = F.array_position("__joint", most).cast("int")
     shares = F.aggregate("__joint", zero, lambda s, x: s + F.exp(x - most))
