@@ -265,8 +265,10 @@ def write_archives(pages: DataFrame, uri: str, key: str = "page_id", html: str =
 
 
 def _with_first(first, rest):
+    """first, then the rest one by one: that a full package stops asking must not close what is left (as `yield from` would)."""
     yield first
-    yield from rest
+    for record in rest:
+        yield record  # noqa: UP028
 
 
 def read_archives(manifest: DataFrame, key: str = "page_id", payload: bool = False) -> DataFrame:

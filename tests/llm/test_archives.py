@@ -66,6 +66,15 @@ def test_package_is_zip_and_range_read():
         assert z.testzip() is None and z.namelist() == [archives.ARCHIVE, archives.INDEX]
 
 
+def test_records_after_a_full_package(monkeypatch):
+    """A package that is full leaves the other records to the next one."""
+    monkeypatch.setattr(archives, "PACKAGE_RECORDS", 3)
+    rest, sizes = (x for x in [(i, b"x", "response") for i in range(10)]), []
+    while (first := next(rest, None)) is not None:
+        sizes.append(archives.write_package(io.BytesIO(), archives._with_first(first, rest)))
+    assert sizes == [3, 3, 3, 1]
+
+
 def test_zip64_directory():
     """Fields that overflow are read from the ZIP64 extra field, the ZIP64 end record and its locator."""
     data = b"hello"
