@@ -35,6 +35,24 @@ def _mega(kb: Column, unit: str) -> Column:
     return F.when(kb >= 1024, _say(" = ", F.bround(kb / 1024.0, 0).cast("long"), f" {unit}")).otherwise("")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """x with so many decimals as its exact binary value rounds, an exact half to the even digit (format_string rounds the shortest decimals, half up).
+
+    x is compared with the middle of its last digits: scale x minus an odd number, taken in powers of two from the greatest, is exact in every step
+    wherever its sign is in doubt. Numbers that have no such digits, and those that are not finite, are as format_string shows them.
+    """
+    ten, a = 10**digits, F.abs(x.cast("double"))
+    k = F.floor(a * ten).cast("double")
+    rest = -(k * 2 + 1)
+    for bit in reversed(range((2 * ten).bit_length())):
+        if 2 * ten >> bit & 1:
+            rest = rest + a * float(1 << bit)
+    up = F.when(rest == 0, k % 2 == 1).otherwise(rest > 0)
+    units = (k + F.when(up, 1.0).otherwise(0.0)).cast("long")
+    shown = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(units / ten).cast("string"), F.lit("."), F.lpad((units % ten).cast("string"), digits, "0"))
+    return F.when(a * ten < float(1 << 51), shown).otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
+
+
 def kilobytes(name: str, *args: Column) -> Column:
     """The sizes in KB behind the sentences."""
     a = [x.cast("long") for x in args]
@@ -56,7 +74,7 @@ def sentence(name: str, *args: Column) -> Column:
         return _say(f"{what} = 128 KB × ", a[0], " = ", kb, " KB", _mega(kb, "MB"), f"  [EXT_CSD{where}]")
     if name == "capacity":
         total = a[0] * 512
-        return _say("Device capacity = SEC_COUNT × 512 bytes = ", a[0], " × 512 = ", F.format_number(total, 0), " bytes ≈ ", F.format_string("%.2f", total / float(1 << 30)), " GiB (", F.format_string("%.2f", total / 1e9), " GB)  [EXT_CSD[215:212] SEC_COUNT]")
+        return _say("Device capacity = SEC_COUNT × 512 bytes = ", a[0], " × 512 = ", F.format_number(total, 0), " bytes ≈ ", fixed(total / float(1 << 30), 2), " GiB (", fixed(total / 1e9, 2), " GB)  [EXT_CSD[215:212] SEC_COUNT]")
     if name == "tran_speed":
         # decimals as exact binary values round, so the few results are rendered when the plan is made
         shown = {k * 16 + m: f"{u * v / 1e6:.1f}" for k, u in FREQUENCY.items() for m, v in MULTIPLIER.items()}

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..profile import CHARACTERS, DEFAULT, DEFINITION_PARTS, REGISTER_WORDS, Profile
+from .formulas import fixed
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -108,7 +109,7 @@ def preview(c: Column, n: int, mark: str = "…") -> Column:
 
 def metric_cell(c: Column) -> Column:
     """Four decimals; null and NaN as a dash."""
-    return F.when(c.isNull() | F.isnan(c), F.lit("—")).otherwise(F.format_string("%.4f", c))
+    return F.when(c.isNull() | F.isnan(c), F.lit("—")).otherwise(fixed(c, 4))
 
 
 def is_register_text(c: Column) -> Column:

@@ -147,7 +147,7 @@ def verification(questions: DataFrame, hits: DataFrame, n: int = 2) -> DataFrame
     """(query_id, report): for each question (query_id, query) the section of a report on its n best hits (query_id, rank, distance, source, page_start,
     section_path, section_title, document)."""
     place = F.concat(shown_path(F.coalesce("section_path", F.lit(""))), F.lit(" > "), F.coalesce("section_title", F.lit("Untitled")))
-    hit = F.concat(F.lit("### Hit "), F.col("rank").cast("string"), F.lit(" (Score: "), F.format_string("%.4f", score(F.col("distance"))), F.lit(")\n- **Source**: "), F.coalesce("source", F.lit("?")), F.lit(" (Page "), F.coalesce(F.col("page_start").cast("string"), F.lit("?")), F.lit(")\n- **Path**: "), place, F.lit("\n\n```text\n"), F.left("document", F.lit(SHOWN)), F.lit("\n```\n"))
+    hit = F.concat(F.lit("### Hit "), F.col("rank").cast("string"), F.lit(" (Score: "), formulas.fixed(score(F.col("distance")), 4), F.lit(")\n- **Source**: "), F.coalesce("source", F.lit("?")), F.lit(" (Page "), F.coalesce(F.col("page_start").cast("string"), F.lit("?")), F.lit(")\n- **Path**: "), place, F.lit("\n\n```text\n"), F.left("document", F.lit(SHOWN)), F.lit("\n```\n"))
     best = hits.filter(F.col("rank") <= n).select("query_id", F.struct("rank", hit.alias("t")).alias("x"))
     texts = best.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n").alias("body"))
     none = F.lit("> No results found for this query.\n")

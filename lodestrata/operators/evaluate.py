@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.bind import bound
+from ..functions.formulas import fixed
 
 METRICS = ["faithfulness", "answer_relevancy", "context_precision", "context_recall"]
 TYPES = ["factual", "calculation", "comparison", "edge_case"]
@@ -37,7 +38,7 @@ def delta(results: DataFrame, base: str, other: str, metrics: list[str] | None =
 
 
 def signed(c: Column) -> Column:
-    return F.when(c.isNull(), "—").otherwise(F.concat(F.when(c >= 0, "+").otherwise(""), F.format_string("%.4f", c)))
+    return F.when(c.isNull(), "—").otherwise(F.concat(F.when(c >= 0, "+").otherwise(""), fixed(c, 4)))
 
 
 def zip_records(records: DataFrame, responses: DataFrame) -> DataFrame:

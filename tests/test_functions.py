@@ -82,6 +82,20 @@ def test_boot_size(spark, m, tail):
     assert tail in one(spark, formulas.calculate(F.lit("boot_size"), F.create_map(F.lit("boot_size_mult"), F.col("m"))), m=m)
 
 
+@pytest.mark.parametrize("digits", [1, 2, 3, 4])
+def test_fixed_rounds_exact_binary_values(spark, digits):
+    """Halves that are exact go to the even digit, those that only look so go where their binary value lies."""
+    scale = 2 * 10**digits
+    values = [k / scale for k in range(-41, 2000, 2)] + [k * 512e3 / 1e9 for k in range(0, 20000, 625)] + [0.125, 0.375, 2.675, 1.005, 1e15 + 0.5, 1e300, 123456789.015]
+    got = [r.s for r in spark.createDataFrame([(v,) for v in values], "x double").select(formulas.fixed(F.col("x"), digits).alias("s")).collect()]
+    assert [g for g, v in zip(got, values, strict=True) if v < 1e300] == [f"{v:.{digits}f}" for v in values if v < 1e300]
+
+
+def test_capacity_of_an_exact_half(spark):
+    row = spark.createDataFrame([(1_220_703_125,)], "n long").select(formulas.sentence("capacity", F.col("n")).alias("s"), formulas.sentence("capacity", F.col("n") * 0 + 5_625_000).alias("h")).first()
+    assert f"({1_220_703_125 * 512 / 1e9:.2f} GB)" in row.s and f"({5_625_000 * 512 / 1e9:.2f} GB)" in row.h
+
+
 def test_calculate_errors(spark):
     bad = lambda name, key, value: one(spark, formulas.calculate(F.lit(name), F.create_map(F.lit(key), F.col("m"))), m=value)
     assert bad("boot_size", "boot_size_mult", "0x10").startswith("Calculation error")
