@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.bind import bound
+from ..functions.bind import bound, let
 from ..functions.formulas import fixed
 
 METRICS = ["faithfulness", "answer_relevancy", "context_precision", "context_recall"]
 TYPES = ["factual", "calculation", "comparison", "edge_case"]
+#: queries up to which their runs of words are sent to the documents
+FEW = 100_000
 
 
 def mean(c: str) -> Column:
@@ -108,9 +110,12 @@ def verbatim(queries: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
     """
     parts = F.split("query", " ")
     asked = queries.withColumn("run", F.when(F.size(parts) >= words + 2, F.array_join(F.slice(parts, 2, words), " ")))
-    run = F.split("text", " ")
-    runs = F.transform(F.sequence(F.lit(1), F.size(run) - words + 1), lambda i: F.array_join(F.slice(run, i, words), " "))
-    met = docs.filter(F.size(run) >= words).select("id", F.explode(F.array_distinct(runs)).alias("run")).join(asked.filter("run IS NOT NULL").select("query_id", "run"), "run").select("query_id", "id").distinct()
+    # a text is cut once, not once for each of its runs
+    every = let(F.split("text", " "), lambda p: F.transform(F.when(F.size(p) >= words, F.sequence(F.lit(1), F.size(p) - words + 1)), lambda i: F.array_join(F.slice(p, i, words), " ")))
+    named = asked.filter("run IS NOT NULL").select("query_id", "run")
+    if named.limit(FEW + 1).count() <= FEW:
+        named = F.broadcast(named)  # the runs stay where their documents are
+    met = docs.select("id", F.explode(F.array_distinct(every)).alias("run")).join(named, "run").select("query_id", "id").distinct()
     long = met.join(docs, "id").join(queries, "query_id").filter(F.contains("text", "query")).select("query_id", "id")
     short = docs.join(asked.filter("run IS NULL"), F.contains("text", "query")).select("query_id", "id")
     return long.unionByName(short)
