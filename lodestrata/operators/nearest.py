@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from ..session import stored_at, working_folder
 
 #: numbers of a block of vectors and of a block of queries (in doubles)
-VECTOR_BLOCK, QUERY_BLOCK = 1 << 22, 1 << 20
+VECTOR_BLOCK, QUERY_BLOCK = 1 << 20, 1 << 20
+#: numbers of a product of blocks: it is this that would fill a worker, not the blocks
+PRODUCT = 1 << 21
 #: by how much products of blocks may differ from sums of one row's products
 SLACK = 1e-9
 
@@ -55,8 +57,8 @@ def best_pairs(queries: DataFrame, vectors: DataFrame, n: int, key: str, where:
         table = ds.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=False)
         small = table.to_table() if table.count_rows() <= 5000 else None
 
-        def query_blocks(g, size):
-            rows = max(1, QUERY_BLOCK // size)
+        def query_blocks(g, size, against):
+            rows = max(1, min(QUERY_BLOCK // size, PRODUCT // against))
             own = ds.field("g") == g
             found = small.filter(own).to_batches(max_chunksize=rows) if small is not None else table.to_batches(filter=own, batch_size=rows)
             for b in found:
@@ -66,13 +68,13 @@ def best_pairs(queries: DataFrame, vectors: DataFrame, n: int, key: str, where:
 
         def best(ids, units, g):
             order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-            for names, q in query_blocks(g, units.shape[1]):
-                near = units @ q.T
+            for names, q in query_blocks(g, units.shape[1], len(units)):
+                near = q @ units.T
                 k = min(n, len(units))
-                least = np.partition(near, len(units) - k, axis=0)[len(units) - k] - SLACK
+                least = np.partition(near, len(units) - k, axis=1)[:, len(units) - k] - SLACK
                 rows, found, scores = [], [], []
                 for j in range(len(q)):
-                    at = np.flatnonzero(near[:, j] >= least[j])
+                    at = np.flatnonzero(near[j] >= least[j])
                     exact = (units[at] * q[j]).sum(axis=1)  # the same for equal vectors, wherever they are
                     first = np.lexsort((order[at], -exact))[:k]
                     rows += [j] * len(first)

@@ -37,3 +37,14 @@ def test_the_plan_joins_no_pairs(spark):
     v = spark.createDataFrame([("a", [1.0], 1)], "id string, vector array<double>, version int")
     plan = retrieval.dense_search(v.select(F.col("id").alias("query_id"), "vector"), v, 5)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "MapInArrow" in plan
+
+
+def test_products_of_blocks_are_bounded(spark, monkeypatch):
+    """However many the queries, a product of blocks is no larger than PRODUCT; what is found does not depend on it."""
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(90)], "id int, vector array<double>").coalesce(1)
+    q = v.select(F.col("id").alias("query_id"), "vector")
+    show = lambda: sorted((r.query_id, r.id, round(r.distance, 12)) for r in nearest.best_pairs(q, v, 3, "id").collect())
+    want = show()
+    monkeypatch.setattr(nearest, "PRODUCT", 200)
+    assert show() == want and len(want) == 270
