@@ -159,8 +159,13 @@ def definitions(c: Column) -> Column:
 
 def inline_definitions(c: Column) -> Column:
     """(term, definition) pairs of running text, the first of each term whatever its case."""
-    means = _pairs(c, MEANS)
-    short = _pairs(c, ABBREVIATED)
-    both = F.concat(means, short)
-    keys = F.transform(both, lambda p: F.lower(p["term"]))
-    return F.filter(both, lambda p, i: F.array_position(keys, F.lower(p["term"])) == i + 1)
+    # the patterns try every place of a text: they are tried only where it holds their words, and the pairs are found once
+    low = F.lower(c)
+    none = F.array().cast("array<struct<term:string,definition:string>>")
+    means = F.when(low.contains("means") | low.contains("is defined as") | low.contains("refers to"), _pairs(c, MEANS)).otherwise(none)
+    short = F.when(low.contains("abbreviated"), _pairs(c, ABBREVIATED)).otherwise(none)
+
+    def first_ones(both: Column) -> Column:
+        return let(F.transform(both, lambda p: F.lower(p["term"])), lambda keys: F.filter(both, lambda p, i: F.array_position(keys, F.lower(p["term"])) == i + 1))
+
+    return F.when(c.isNotNull(), let(F.concat(means, short), first_ones))
