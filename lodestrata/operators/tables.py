@@ -14,7 +14,7 @@ EMPTY = "array<string>"
 
 def cell(c: Column) -> Column:
     """A cell's text with single blanks; null is empty."""
-    return trim_all(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))  # there are only blanks left to trim
 
 
 def _range(n: Column) -> Column:
@@ -26,8 +26,13 @@ def column_count(rows: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
 
 
-def filled(row: Column) -> Column:
-    return F.size(F.filter(row, lambda c: cell(c) != ""))
+def _read(clean: bool):
+    """How cells are read: those that were cleaned before only lack their nulls."""
+    return (lambda c: F.coalesce(c, F.lit(""))) if clean else cell
+
+
+def filled(row: Column, clean: bool = False) -> Column:
+    return F.size(F.filter(row, lambda c: _read(clean)(c) != ""))
 
 
 def drop_noise(rows: Column, profile: Profile = DEFAULT, noise: str = "i") -> Column:
@@ -48,16 +53,16 @@ def is_plausible(rows: Column) -> Column:
     return F.when(F.size(rows) <= 0, False).when(column_count(rows) <= TABLE_COLUMNS, True).otherwise(wide)
 
 
-def first_data_row(rows: Column, columns: Column) -> Column:
+def first_data_row(rows: Column, columns: Column, clean: bool = False) -> Column:
     """Number from 0 of the first row with a key and at least half of its cells; 1 if there is none."""
     least = F.greatest(F.lit(1), F.floor((columns + 1) / 2).cast("int"))
-    full = F.filter(_range(F.size(rows)), lambda i: (cell(F.get(F.get(rows, i), F.lit(0))) != "") & (filled(F.get(rows, i)) >= least))
+    full = F.filter(_range(F.size(rows)), lambda i: (_read(clean)(F.get(F.get(rows, i), F.lit(0))) != "") & (filled(F.get(rows, i), clean) >= least))
     return F.coalesce(F.get(full, F.lit(0)), F.lit(1))
 
 
-def merge_header(rows: Column, columns: Column) -> Column:
+def merge_header(rows: Column, columns: Column, clean: bool = False) -> Column:
     """One header row: the texts of each column's cells, joined by blanks."""
-    return F.transform(_range(columns), lambda j: F.array_join(F.filter(F.transform(rows, lambda r: cell(F.get(r, j))), lambda c: c != ""), " "))
+    return F.transform(_range(columns), lambda j: F.array_join(F.filter(F.transform(rows, lambda r: _read(clean)(F.get(r, j))), lambda c: c != ""), " "))
 
 
 def _is_note(row: Column) -> Column:
@@ -103,19 +108,19 @@ def preprocess(tables: DataFrame, rows: str = "rows", header_mode: str = "refere
     header_mode "reference": a first row that is complete is data, and the header is empty; "fixed": it is the header.
     A table that is null or has no rows has an empty header and body.
     """
-    given = F.coalesce(F.col(rows), F.array().cast(f"array<{EMPTY}>"))
-    start = lambda v: first_data_row(v["given"], v["columns"])
+    given = F.transform(F.coalesce(F.col(rows), F.array().cast(f"array<{EMPTY}>")), lambda r: F.transform(r, cell))  # each cell once
+    start = lambda v: first_data_row(v["given"], v["columns"], True)
     if header_mode == "fixed":
-        start = lambda v: F.greatest(first_data_row(v["given"], v["columns"]), F.lit(1))
+        start = lambda v: F.greatest(first_data_row(v["given"], v["columns"], True), F.lit(1))
     elif header_mode != "reference":
         raise ValueError(header_mode)
     t = bound(tables, __v=F.struct(given.alias("given"), column_count(given).alias("columns")))
     v = F.col("__v")
     n = F.size(v["given"])
     t = bound(t, columns=v["columns"], data_start=F.when(n > 0, F.least(start(v), n)).otherwise(0))
-    header = F.when(n > 0, merge_header(F.slice(v["given"], F.lit(1), F.col("data_start")), F.col("columns"))).otherwise(F.array().cast(EMPTY))
+    header = F.when(n > 0, merge_header(F.slice(v["given"], F.lit(1), F.col("data_start")), F.col("columns"), True)).otherwise(F.array().cast(EMPTY))
     data = F.slice(v["given"], F.col("data_start") + 1, F.greatest(n - F.col("data_start"), F.lit(0)))
-    t = bound(t, header=header, __body=F.transform(data, lambda r: F.transform(_range(F.col("columns")), lambda j: cell(F.get(r, j)))))
+    t = bound(t, header=header, __body=F.transform(data, lambda r: F.transform(_range(F.col("columns")), lambda j: F.coalesce(F.get(r, j), F.lit("")))))
     t = bound(t, n_notes=note_count(F.col("__body")))
     rest = F.size("__body") - F.col("n_notes")
     t = bound(t, notes=notes_text(F.slice("__body", rest + 1, F.col("n_notes"))), body=forward_fill(F.slice("__body", F.lit(1), rest)))
