@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 from ..profile import CHUNK_CHARS, CHUNK_OVERLAP, SEPARATORS
 
+#: characters of a text's copies that a worker holds at once
+COPIES = 1 << 22
+
 
 def _parts(text: str, separator: str) -> list[str]:
     """Pieces that begin with the separator they were cut at, or characters."""
@@ -67,11 +70,13 @@ def split_frame(df: DataFrame, text: str, kind: Column, size: int = CHUNK_CHARS,
         import pyarrow as pa
 
         for batch in batches:
-            for i, t in enumerate(batch.column(at).to_pylist()):
-                found = split_text(t, size, overlap)
-                rows = batch.take(pa.array([i] * len(found), pa.int64()))
-                if found:
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(range(len(found)), pa.int32()), pa.array(found)], names=schema.names)
+            for i, value in enumerate(batch.column(at)):
+                t = value.as_py()
+                found, step = split_text(t, size, overlap), max(1, COPIES // len(t))  # a row's pieces repeat its text
+                for a in range(0, len(found), step):
+                    some = found[a : a + step]
+                    rows = batch.take(pa.array([i] * len(some), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(range(a, a + len(some)), pa.int32()), pa.array(some)], names=schema.names)
 
     at = df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk", T.StringType())])
