@@ -85,7 +85,9 @@ def read_toc(spark: SparkSession, path: str, decoder: Callable[[], Decoder], pat
 
 def blocks(pages: DataFrame, kind: str) -> DataFrame:
     """The blocks of one kind of page models, a row each with block_ord from 0."""
-    return pages.select("source", "version", F.col("page_num").alias("page"), "width", "height", F.posexplode(kind).alias("block_ord", "b")).select("source", "version", "page", "width", "height", "block_ord", "b.*")
+    # outer, its empty pages left out after it: before the inner one Spark puts a filter on the list's size, which makes each page's blocks a second time
+    every = pages.select("source", "version", F.col("page_num").alias("page"), "width", "height", F.posexplode_outer(kind).alias("block_ord", "b"))
+    return every.filter(F.col("block_ord").isNotNull()).select("source", "version", "page", "width", "height", "block_ord", "b.*")
 
 
 def html_blocks(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
