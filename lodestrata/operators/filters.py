@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bind import bound
 from ..functions.text import trim_all
 from ..profile import DEFAULT, Profile
 
@@ -18,6 +19,11 @@ def _least(kind: Column, lengths: dict[str, int], other: int) -> Column:
     return out
 
 
+def _has_chars(raw: Column, n: int) -> Column:
+    """length(trim_all(raw)) >= n; looks at the beginning only: a character, n - 2 of any kind, and another one after them."""
+    return raw.rlike(rf"(?Us)^\s*+\S.{{{n - 2}}}\s*+\S") if n >= 2 else F.length(trim_all(raw)) >= n
+
+
 def is_noise(raw: Column, profile: Profile = DEFAULT) -> Column:
     """Whether a text is a continuation mark, or its first line begins like a watermark's."""
     t = trim_all(raw)
@@ -47,9 +53,12 @@ def searchable(chunks: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
 def indexable(chunks: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """Chunks for the vector index: as searchable(), with a lower bound for tables and noise kept."""
     c = F.col
+    chunks = bound(chunks, content_type=c("content_type"), section_title=c("section_title"))  # named often below, computed once
     keep = ~c("is_front_matter") & (~is_full_table(c("content_type"), c("is_row_chunk")) | is_register_section(c("section_title"), profile))
-    lengths = {**profile.least_chars, "table": profile.least_indexed_table}
-    return chunks.filter(keep & (F.length(trim_all(c("raw_text"))) >= _least(c("content_type"), lengths, profile.least_other)))
+    long_enough = _has_chars(c("raw_text"), profile.least_other)
+    for kind, n in {**profile.least_chars, "table": profile.least_indexed_table}.items():
+        long_enough = F.when(c("content_type") == kind, _has_chars(c("raw_text"), n)).otherwise(long_enough)
+    return chunks.filter(keep & long_enough)
 
 
 def keyword_indexable(chunks: DataFrame) -> DataFrame:
